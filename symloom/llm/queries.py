@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks, mixture
+from . import leaks, mixture, residue
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +25,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.reached(p7_mixture(spark, d), table(spark, d, "source_weights"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_mixture, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.join(residue.residue(docs), "doc_id", "left_anti").select("doc_id", "source")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_kinds, p8_kept)}
 
 _WORDS = "list_transform(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
 _P6 = f"""WITH dw AS (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents WHERE text IS NOT NULL),

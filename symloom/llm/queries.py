@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks, mixture, residue
+from . import leaks, mixture, residue, syntax
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid(table(spark, d, "blob_facts")).select("blob_oid").distinct()
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "blob_facts"), table(spark, d, "manifest"), table(spark, d, "graphs"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +46,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(residue.residue(docs), "doc_id", "left_anti").select("doc_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_kinds, p8_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_kinds, p8_kept)}
 
 _WORDS = "list_transform(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
 _P6 = f"""WITH dw AS (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents WHERE text IS NOT NULL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks, mixture, residue, syntax
+from . import generated, leaks, mixture, residue, syntax
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,22 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(table(spark, d, "blob_facts"), table(spark, d, "manifest"), table(spark, d, "graphs"))
 
 
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    x = generated.files(table(spark, d, "graphs"), table(spark, d, "manifest"), table(spark, d, "blob_facts"))
+    return x.select("repo", "file", F.explode("kinds").alias("kind"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_kinds(spark, d).select("repo", "file").distinct()
+
+
+def p5_hand_written(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the manifests that remain as hand-written source."""
+    repos = table(spark, d, "graphs").where(F.col("repo").isNotNull()).select("graph_id", "repo").distinct()
+    every = table(spark, d, "manifest").where(F.col("path").isNotNull()).select("graph_id", F.col("path").alias("file")).distinct().join(repos, "graph_id").select("repo", "file").distinct()
+    return every.join(p5_found(spark, d), ["repo", "file"], "left_anti")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -46,7 +62,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(residue.residue(docs), "doc_id", "left_anti").select("doc_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_kinds, p8_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p5_found, p5_kinds, p5_hand_written, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_kinds, p8_kept)}
 
 _WORDS = "list_transform(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
 _P6 = f"""WITH dw AS (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents WHERE text IS NOT NULL),

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType, StringType
 
 from ..session import cut
 from .grammars import PARTNER, SOURCES, grammar
@@ -38,12 +39,12 @@ def distinct_files(blobs: DataFrame) -> DataFrame:
     return b.groupBy("blob_oid", "lang").agg(F.min("content").alias("content"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _lexed(lang: pd.Series, content: pd.Series) -> pd.Series:
     return pd.Series([grammar(l).text([_BEGIN, *lex(l, c), _END]) for l, c in zip(lang, content)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _fits(lang: pd.Series, before: pd.Series, opener: pd.Series, content: pd.Series) -> pd.Series:
     out, known = [], {}
     for key in zip(lang, before, opener, content):
@@ -113,7 +114,7 @@ def wrong_structure(toks: DataFrame) -> DataFrame:
     return groups.where(~ok).select("blob_oid", "lang").distinct()
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _parses(lang: pd.Series, content: pd.Series) -> pd.Series:
     out = []
     for l, c in zip(lang, content):

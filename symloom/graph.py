@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.patterns import matches
-from .model import CONDITIONS, CONFIDENCES, EDGE_KINDS
+from .model import CONDITIONS, CONFIDENCES, EDGE_DDL, EDGE_KINDS, NODE_DDL
 from .session import table
 
 
@@ -36,6 +36,15 @@ def plain_lang(c: Column) -> Column:
     return F.when(low.isin("golang"), "go").when(low.isin("py", "python3"), "python").when(low.isin("ts", "tsx"), "typescript").when(low.isin("c++", "cc"), "cpp").when(low.isin("rs"), "rust").otherwise(low)
 
 
+def _names(ddl: str) -> set[str]:
+    """The names of a schema's top-level columns."""
+    flat, depth = "", 0
+    for c in ddl:
+        depth += {"<": 1, ">": -1}.get(c, 0)
+        flat += c if not depth else ""
+    return {x.split()[0] for x in flat.split(",")}
+
+
 @dataclass
 class CodeGraph:
     """nodes: nid and the model's node columns. edges: eid, src, dst (as nid) and the model's edge columns. candidates: grp, dst, rank.
@@ -53,6 +62,8 @@ class CodeGraph:
         if "graph_id" not in nodes.columns:
             nodes, edges = nodes.withColumn("graph_id", F.lit(0)), edges.withColumn("graph_id", F.lit(0))
             candidates = None if candidates is None else candidates.withColumn("graph_id", F.lit(0))
+        # columns beyond the model are dropped, so that none clashes with an operator's own
+        nodes, edges = (x.select(*[c for c in x.columns if c == "graph_id" or c in known]) for x, known in ((nodes, _names(NODE_DDL)), (edges, _names(EDGE_DDL))))
         n = nodes.where(F.col("graph_id").isNotNull() & F.col("node_id").isNotNull()).dropDuplicates(["graph_id", "node_id"])
         n = n.withColumn("nid", packed(F.col("graph_id"), F.col("node_id"))).withColumn("lang", plain_lang(F.col("lang")))
         e = edges.where(F.col("graph_id").isNotNull() & F.col("edge_id").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()).dropDuplicates(["graph_id", "edge_id"])

@@ -113,9 +113,7 @@ def _towards(steps: DataFrame, goals: DataFrame, depth: int | None) -> DataFrame
         thin = back.distinct()
         for _ in range(depth - 1):
             new = front.join(thin, "node").select(F.col("peer").alias("node")).distinct()
-            for seen in layers:
-                new = new.join(seen, "node", "left_anti")
-            front = cut(new)
+            front = cut(new.join(reduce(DataFrame.unionByName, layers), "node", "left_anti"))
             if front.isEmpty():
                 break
             layers.append(front)

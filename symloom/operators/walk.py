@@ -10,14 +10,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import confidence_rank
 from ..model import EXCEPTIONAL
 from ..session import cut, discard
+from . import walk_local
 from .skew import hot_keys, lookup_join
 
+BFS_SCHEMA = "root long, node long, depth int, path array<long>, edges array<long>, raised boolean, conf int"
+
 
 def oriented(edges: DataFrame, forward: bool = True) -> DataFrame:
     """(node, peer, edge, spawns, raises, conf): edges as steps in the direction of the walk."""
@@ -27,19 +31,30 @@ def oriented(edges: DataFrame, forward: bool = True) -> DataFrame:
     )
 
 
+def _all(layers: list[DataFrame], *columns: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [x.select(*columns) for x in layers])
+
+
 def _next(front: DataFrame, steps: DataFrame) -> DataFrame:
     """front joined to its steps; the steps of a node with very many edges are spread, the front holds a node once per root."""
     return front.join(steps, "node")
 
 
-def bfs(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, goals: DataFrame | None = None) -> DataFrame:
+def bfs(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, goals: DataFrame | None = None, local: bool = True) -> DataFrame:
     """(root, node, depth, path, edges, raised, conf) of what seeds (root, node) reach, each once at its least depth; seeds themselves are left out.
 
     path and edges lead from the seed to the node by the walk's own tree; raised tells whether an exceptional edge was crossed since the
-    last spawn, conf is the least confidence on that path. With goals (root, node) the walk ends for a root when its goals are met.
+    last spawn, conf is the least confidence on that path. With goals (root, node) the walk ends when all are met. A graph of few
+    edges is walked on the driver unless local is off, with the same result.
     """
     steps = steps.persist()
     try:
+        if local and (held := walk_local.small(steps, seeds.select("root", "node").distinct())) is not None:
+            adj, own = held
+            ends = None if goals is None else {(r["root"], r["node"]) for r in goals.select("root", "node").limit(walk_local.ROOTS).collect()}
+            got = walk_local.bfs(adj, own.column("root").to_numpy(), own.column("node").to_numpy(), max_depth, ends)
+            if got is not None:
+                return steps.sparkSession.createDataFrame(got, BFS_SCHEMA)
         start = seeds.select("root", "node").distinct().select("root", "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.array().cast("array<bigint>").alias("edges"), F.lit(False).alias("raised"), F.lit(2).alias("conf"))
         layers = [cut(start)]
         depth = 0
@@ -51,16 +66,14 @@ def bfs(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, goals:
                 F.struct("path", "edge", "edges", F.when(F.col("spawns"), False).otherwise(F.col("raised") | F.col("raises")).alias("raised"), F.least("front_conf", "conf").alias("conf")).alias("x"),
             )
             best = found.groupBy("root", "node").agg(F.min("x").alias("x"))
-            for seen in layers:
-                best = best.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+            best = best.join(_all(layers, "root", "node"), ["root", "node"], "left_anti")
             new = cut(best.select("root", "node", F.lit(depth).alias("depth"), F.concat("x.path", F.array("node")).alias("path"), F.concat("x.edges", F.array("x.edge")).alias("edges"), "x.raised", "x.conf"))
             if new.isEmpty():
                 discard(new)
                 break
             layers.append(new)
             if goals is not None and goals.join(new, ["root", "node"], "left_semi").count():
-                met = reduce(DataFrame.unionByName, [x.select("root", "node") for x in layers])
-                if goals.join(met, ["root", "node"], "left_anti").isEmpty():
+                if goals.join(_all(layers, "root", "node"), ["root", "node"], "left_anti").isEmpty():
                     break
         if len(layers) == 1:
             return layers[0].where(F.lit(False))
@@ -69,20 +82,21 @@ def bfs(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, goals:
         steps.unpersist()
 
 
-def reached(steps: DataFrame, seeds: DataFrame, by_root: bool = False) -> DataFrame:
+def reached(steps: DataFrame, seeds: DataFrame, by_root: bool = False, local: bool = True) -> DataFrame:
     """(node) or (root, node): all that seeds reach by any number of steps, seeds included."""
     key = ["root", "node"] if by_root else ["node"]
     thin = steps.select("node", "peer").distinct().persist()
     try:
+        if local and not by_root and (held := walk_local.small(thin.withColumn("edge", F.lit(0)), seeds.select("node").distinct())) is not None:
+            adj, own = held
+            return thin.sparkSession.createDataFrame(pa.table({"node": walk_local.reached(adj, own.column("node").to_numpy())}), "node long")
         front = cut(seeds.select(*key).distinct())
         layers = [front]
+        hot = [] if by_root else hot_keys(thin, ["node"])
         while True:
-            hot = hot_keys(thin, ["node"]) if len(layers) == 1 else hot
             new = lookup_join(thin, front, ["node"], "inner", hot) if not by_root else front.join(thin, "node")
             new = new.select(*(["root"] if by_root else []), F.col("peer").alias("node")).distinct()
-            for seen in layers:
-                new = new.join(seen, key, "left_anti")
-            front = cut(new)
+            front = cut(new.join(_all(layers, *key), key, "left_anti"))
             if front.isEmpty():
                 discard(front)
                 return reduce(DataFrame.unionByName, layers)
@@ -91,7 +105,7 @@ def reached(steps: DataFrame, seeds: DataFrame, by_root: bool = False) -> DataFr
         thin.unpersist()
 
 
-def within(steps: DataFrame, seeds: DataFrame, least: int = 1, most: int = 8) -> DataFrame:
+def within(steps: DataFrame, seeds: DataFrame, least: int = 1, most: int = 8, local: bool = True) -> DataFrame:
     """(root, node): nodes that a walk of `least` to `most` steps reaches; nodes and edges may repeat, so a root may reach itself.
 
     A walk of no step yields nothing, so least 0 is as 1. Each level is a set; no visited set is taken off, which would lose circles.
@@ -99,6 +113,11 @@ def within(steps: DataFrame, seeds: DataFrame, least: int = 1, most: int = 8) ->
     thin = steps.select("node", "peer").distinct().persist()
     try:
         front = seeds.select("root", "node").distinct()
+        if local and (held := walk_local.small(thin.withColumn("edge", F.lit(0)), front)) is not None:
+            adj, own = held
+            got = walk_local.within(adj, own.column("root").to_numpy(), own.column("node").to_numpy(), least, most)
+            if got is not None:
+                return thin.sparkSession.createDataFrame(got, "root long, node long")
         levels = []
         for k in range(1, most + 1):
             front = cut(front.join(thin, "node").select("root", F.col("peer").alias("node")).distinct())

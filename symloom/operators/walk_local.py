@@ -1,0 +1,144 @@
+"""Walks over a graph that is known to be small, in numpy on the driver.
+
+The same levels, the same order and the same results as the walks over DataFrames, without a job per level. Callers check the number
+of edges first; a walk that grows beyond its own bound gives None and is done over DataFrames instead.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Edges up to which a graph is brought to the driver (about 40 bytes each), roots, and rows a level may expand to.
+EDGES, ROOTS, EXPANDED = 2_000_000, 200_000, 20_000_000
+
+
+class Adjacency:
+    """Steps sorted by (node, peer, edge)."""
+
+    def __init__(self, steps: pa.Table):
+        col = {c: steps.column(c).to_numpy() for c in steps.column_names}
+        node, peer = col["node"].astype(np.int64), col["peer"].astype(np.int64)
+        self.ids, both = np.unique(np.concatenate([node, peer]), return_inverse=True)
+        node, peer = both[: len(node)], both[len(node) :]
+        # steps that stand for no edge come first, as nulls do
+        edge = np.nan_to_num(col["edge"].astype(np.float64), nan=-1).astype(np.int64) if col["edge"].dtype.kind == "f" else col["edge"].astype(np.int64) if "edge" in col else np.zeros(len(node), np.int64)
+        order = np.lexsort([edge, peer, node])
+        self.peer, self.edge = peer[order], edge[order]
+        self.spawns, self.raises, self.conf = (col[c][order] if c in col else np.zeros(len(node), np.int8) for c in ("spawns", "raises", "conf"))
+        self.start = np.searchsorted(node[order], np.arange(len(self.ids) + 1))
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Index of each id, -1 where no step knows it."""
+        at = np.searchsorted(self.ids, ids)
+        at[at == len(self.ids)] = 0
+        return np.where(self.ids[at] == ids, at, -1) if len(self.ids) else np.full(len(ids), -1)
+
+    def expand(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows at nodes: the row each step comes from, and the step."""
+        n = self.start[nodes + 1] - self.start[nodes]
+        rows = np.repeat(np.arange(len(nodes)), n)
+        return rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[nodes], n)
+
+
+class _Seen:
+    """Pairs (root, node) that were met."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.int64)
+
+    def fresh(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+
+    def add(self, keys: np.ndarray) -> None:
+        self.keys = np.union1d(self.keys, keys)
+
+
+def bfs(adj: Adjacency, roots: np.ndarray, nodes: np.ndarray, max_depth: int | None, goals: set[tuple[int, int]] | None) -> pa.Table | None:
+    names, root = np.unique(roots, return_inverse=True)
+    at = adj.places(nodes)
+    # seeds without steps end at once
+    keep = at >= 0
+    order = np.lexsort([nodes[keep], root[keep]])
+    root, at = root[keep][order], at[keep][order]
+    n, seen = max(1, len(adj.ids)), _Seen()
+    seen.add(root * n + at)
+    path, edges = adj.ids[at][:, None], np.zeros((len(at), 0), np.int64)
+    raised, conf = np.zeros(len(at), bool), np.full(len(at), 2)
+    out: list[pa.Table] = []
+    left = None if goals is None else {g for g in goals if g[0] != g[1]}
+    depth = 0
+    while len(at) and (max_depth is None or depth < max_depth):
+        depth += 1
+        if (adj.start[at + 1] - adj.start[at]).sum() > EXPANDED:
+            return None
+        rows, step = adj.expand(at)
+        key = root[rows] * n + adj.peer[step]
+        ok = seen.fresh(key)
+        rows, step, key = rows[ok], step[ok], key[ok]
+        _, first = np.unique(key, return_index=True)
+        first.sort()  # rows come in order of their paths, steps in order of peers
+        rows, step = rows[first], step[first]
+        seen.add(key[first])
+        raised = np.where(adj.spawns[step].astype(bool), False, raised[rows] | adj.raises[step].astype(bool))
+        conf = np.minimum(conf[rows], adj.conf[step])
+        root, at = root[rows], adj.peer[step]
+        path = np.hstack([path[rows], adj.ids[at][:, None]])
+        edges = np.hstack([edges[rows], adj.edge[step][:, None]])
+        if not len(at):
+            break
+        flat = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), a.shape[1]).cast(pa.list_(pa.int64()))
+        steps_of = pa.array(edges.ravel(), mask=edges.ravel() < 0)
+        out.append(pa.table({"root": names[root], "node": adj.ids[at], "depth": pa.array(np.full(len(at), depth), pa.int32()), "path": flat(path), "edges": pa.FixedSizeListArray.from_arrays(steps_of, edges.shape[1]).cast(pa.list_(pa.int64())), "raised": raised, "conf": pa.array(conf, pa.int32())}))
+        if left is not None:
+            left -= set(zip(names[root].tolist(), adj.ids[at].tolist()))
+            if not left:
+                break
+    return pa.concat_tables(out) if out else pa.table({"root": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "depth": pa.array([], pa.int32()), "path": pa.array([], pa.list_(pa.int64())), "edges": pa.array([], pa.list_(pa.int64())), "raised": pa.array([], pa.bool_()), "conf": pa.array([], pa.int32())})
+
+
+def reached(adj: Adjacency, nodes: np.ndarray) -> np.ndarray:
+    """Ids reached from nodes, these included."""
+    at = adj.places(nodes)
+    met = np.zeros(len(adj.ids), bool)
+    front = np.unique(at[at >= 0])
+    met[front] = True
+    while len(front):
+        _, step = adj.expand(front)
+        front = np.unique(adj.peer[step])
+        front = front[~met[front]]
+        met[front] = True
+    return np.union1d(adj.ids[met], nodes)
+
+
+def within(adj: Adjacency, roots: np.ndarray, nodes: np.ndarray, least: int, most: int) -> pa.Table | None:
+    names, root = np.unique(roots, return_inverse=True)
+    at = adj.places(nodes)
+    n = max(1, len(adj.ids))
+    key = np.unique(root[at >= 0] * n + at[at >= 0])
+    met = np.zeros(0, np.int64)
+    for k in range(1, most + 1):
+        here = key % n
+        if (adj.start[here + 1] - adj.start[here]).sum() > EXPANDED:
+            return None
+        rows, step = adj.expand(here)
+        key = np.unique(key[rows] // n * n + adj.peer[step])
+        if k >= max(1, least):
+            met = np.union1d(met, key)
+        if len(met) > EXPANDED:
+            return None
+        if not len(key):
+            break
+    return pa.table({"root": names[met // n], "node": adj.ids[met % n]}) if len(met) else pa.table({"root": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+
+
+def small(steps: DataFrame, seeds: DataFrame) -> tuple[Adjacency, pa.Table] | None:
+    """The steps and seeds on the driver, if both are within bounds; steps should be persisted."""
+    held = steps.limit(EDGES + 1).toArrow()
+    if held.num_rows > EDGES:
+        return None
+    roots = seeds.limit(ROOTS + 1).toArrow()
+    return None if roots.num_rows > ROOTS else (Adjacency(held), roots)

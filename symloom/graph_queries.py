@@ -217,3 +217,27 @@ def _coupling(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["coupling"] = _coupling
+
+
+# passes over the linked graph
+from .link import passes  # noqa: E402
+
+_SIX = "('calls','calls-virtual','calls-closure','calls-callback','calls-async','calls-indirect')"
+query(
+    "effect_closure",
+    f"""--cte k AS (SELECT DISTINCT src, dst FROM e WHERE kind IN {_SIX}), w AS (SELECT nid, CAST(1 << b AS INT) AS bit FROM n, range(16) t(b) WHERE (own_effects & (1 << b)::INT) > 0 UNION SELECT k.src, w.bit FROM w JOIN k ON k.dst = w.nid)
+SELECT n.nid, coalesce(x.bits, 0) AS transitive_effects FROM n LEFT JOIN (SELECT nid, CAST(bit_or(bit) AS INT) AS bits FROM w GROUP BY 1) x ON x.nid = n.nid""",
+    True,
+)(passes.effect_closure)
+_UP = "u AS (SELECT DISTINCT src AS sub, src AS super FROM e WHERE kind IN ('implements', 'inherits') UNION SELECT DISTINCT dst, dst FROM e WHERE kind IN ('implements', 'inherits') UNION SELECT u.sub, e.dst FROM u JOIN e ON e.src = u.super AND e.kind IN ('implements', 'inherits'))"
+query("supertypes", f"--cte {_UP} SELECT sub, super FROM u", True)(passes.supertypes)
+query(
+    "cha_targets",
+    f"""--cte {_UP}, ty AS (SELECT graph_id, fqn AS type, min(nid) AS t FROM n WHERE kind = 'type' GROUP BY ALL),
+has AS (SELECT m.graph_id, ty.t, string_split(m.fqn, '::')[-1] AS method, m.nid AS body, m.is_abstract FROM n m JOIN ty ON ty.graph_id = m.graph_id AND ty.type = regexp_extract(m.fqn, '^(.*)::[^:]*$', 1) WHERE m.kind IN ('method', 'function')),
+b AS (SELECT d.graph_id, d.method, CASE WHEN h.body IS NOT NULL AND NOT h.is_abstract THEN h.body WHEN h.body IS NULL AND NOT d.is_abstract THEN d.body END AS dst FROM has d JOIN u ON u.super = d.t LEFT JOIN has h ON h.t = u.sub AND h.method = d.method)
+SELECT DISTINCT graph_id, method, dst FROM b WHERE dst IS NOT NULL""",
+    True,
+)(passes.cha_targets)
+QUERIES["link_cha"] = lambda spark, d: passes.cha(CodeGraph.load(spark, d)).edges.where(F.col("kind") == "calls-virtual").select("graph_id", "src", "dst", "rule", "confidence", "site_id")
+QUERIES["link_rta"] = lambda spark, d: passes.rta(passes.cha(CodeGraph.load(spark, d))).edges.where(F.col("kind") == "calls-virtual").select("graph_id", "src", "dst", "rule", "confidence", "site_id")

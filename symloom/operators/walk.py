@@ -90,6 +90,11 @@ def reached(steps: DataFrame, seeds: DataFrame, by_root: bool = False, local: bo
         if local and not by_root and (held := walk_local.small(thin.withColumn("edge", F.lit(0)), seeds.select("node").distinct())) is not None:
             adj, own = held
             return thin.sparkSession.createDataFrame(pa.table({"node": walk_local.reached(adj, own.column("node").to_numpy())}), "node long")
+        if local and by_root and (held := walk_local.small(thin.withColumn("edge", F.lit(0)), seeds.select("root", "node").distinct())) is not None:
+            adj, own = held
+            got = walk_local.reached_by_root(adj, own.column("root").to_numpy(), own.column("node").to_numpy())
+            if got is not None:
+                return thin.sparkSession.createDataFrame(got, "root long, node long")
         front = cut(seeds.select(*key).distinct())
         layers = [front]
         hot = [] if by_root else hot_keys(thin, ["node"])

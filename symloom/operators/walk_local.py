@@ -114,6 +114,25 @@ def reached(adj: Adjacency, nodes: np.ndarray) -> np.ndarray:
     return np.union1d(adj.ids[met], nodes)
 
 
+def reached_by_root(adj: Adjacency, roots: np.ndarray, nodes: np.ndarray) -> pa.Table | None:
+    """(root, node) reached from seeds, these included."""
+    names, root = np.unique(roots, return_inverse=True)
+    at = adj.places(nodes)
+    n, seen = max(1, len(adj.ids)), _Seen()
+    front = np.unique(root[at >= 0] * n + at[at >= 0])
+    seen.add(front)
+    while len(front):
+        here = front % n
+        if (adj.start[here + 1] - adj.start[here]).sum() > EXPANDED or len(seen.keys) > EXPANDED:
+            return None
+        rows, step = adj.expand(here)
+        front = np.unique(front[rows] // n * n + adj.peer[step])
+        front = front[seen.fresh(front)]
+        seen.add(front)
+    lone = at < 0
+    return pa.table({"root": np.concatenate([names[seen.keys // n] if len(seen.keys) else np.zeros(0, np.int64), roots[lone]]), "node": np.concatenate([adj.ids[seen.keys % n] if len(seen.keys) else np.zeros(0, np.int64), nodes[lone]])})
+
+
 def within(adj: Adjacency, roots: np.ndarray, nodes: np.ndarray, least: int, most: int) -> pa.Table | None:
     names, root = np.unique(roots, return_inverse=True)
     at = adj.places(nodes)

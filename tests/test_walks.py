@@ -92,6 +92,7 @@ def test_within_reached_and_paths(spark, seed):
     full = {0} | set(queue_bfs(E, 0, None))
     for local in (True, False):
         assert {r["node"] for r in walk.reached(steps, one, local=local).collect()} == full
+        assert {tuple(r) for r in walk.reached(steps, seeds.where("root < 2"), True, local).collect()} == {(k, x) for k in (0, 1) for x in {k} | set(queue_bfs(E, k, None))}
 
     def all_paths(trails):
         out = []

@@ -241,3 +241,14 @@ SELECT DISTINCT graph_id, method, dst FROM b WHERE dst IS NOT NULL""",
 )(passes.cha_targets)
 QUERIES["link_cha"] = lambda spark, d: passes.cha(CodeGraph.load(spark, d)).edges.where(F.col("kind") == "calls-virtual").select("graph_id", "src", "dst", "rule", "confidence", "site_id")
 QUERIES["link_rta"] = lambda spark, d: passes.rta(passes.cha(CodeGraph.load(spark, d))).edges.where(F.col("kind") == "calls-virtual").select("graph_id", "src", "dst", "rule", "confidence", "site_id")
+
+
+# what an answer may lack
+from .operators import contract  # noqa: E402
+
+SQL["contract_callees"] = f"""WITH RECURSIVE {_BASE}, s AS (SELECT graph_id, min(nid) AS nid FROM n WHERE fqn = '{BOOT}' GROUP BY graph_id), a AS (SELECT * FROM c WHERE confidence IN ('probable', 'certain')),
+w0 AS (SELECT nid AS root, nid, 0 AS depth FROM s UNION SELECT w0.root, a.dst, w0.depth + 1 FROM w0 JOIN a ON a.src = w0.nid WHERE w0.depth < 2), t AS (SELECT nid, min(depth) AS depth FROM w0 GROUP BY 1),
+nn AS (SELECT CAST(sum(n.unresolved_calls) AS BIGINT) AS unresolved_calls, CAST(sum(CASE WHEN t.depth < 2 THEN n.external_calls ELSE 0 END) AS BIGINT) AS external_calls FROM t JOIN n ON n.nid = t.nid),
+ee AS (SELECT count(*) FILTER (list_contains(cut_markers, 'external')) AS cut_external, count(*) FILTER (list_contains(cut_markers, 'dynamic')) AS cut_dynamic, count(*) FILTER (coalesce(confidence, 'possible') = 'possible') AS below_floor FROM t JOIN c ON c.src = t.nid),
+hh AS (SELECT count(*) AS horizon FROM t JOIN a ON a.src = t.nid WHERE t.depth = 2 AND a.dst NOT IN (SELECT nid FROM t)) SELECT * FROM nn, ee, hh"""
+QUERIES["contract_callees"] = lambda spark, d: (lambda g: contract.frontier(g, ask.resolve_one(g, BOOT), True, 2, EdgeFilter(confidence="probable")).select("unresolved_calls", "external_calls", "cut_external", "cut_dynamic", "below_floor", "horizon"))(CodeGraph.load(spark, d))

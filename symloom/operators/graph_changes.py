@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import EDGE_KINDS
+from ..model import CONDITIONS, CONFIDENCES, EDGE_KINDS
 from ..session import cut
 from .skew import hot_keys, lookup_join
 from .snapshots import blocks_for, diff_blocks, fingerprint, ordinals, snapshot_order, tagged
@@ -23,7 +23,7 @@ def changes(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     order = snapshot_order(graphs)
     last = order.groupBy("repo").agg(F.max("seq").alias("last"), F.min("graph_id").alias("series"))
-    order = cut(order.join(last, "repo"))
+    order = cut(order.join(last, "repo").withColumn("final", F.col("seq") == F.col("last")).drop("last"))
     node_rows = nodes.count()
     known_kind = F.col("kind").isin(*EDGE_KINDS)
     seen = edges.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(~known_kind, F.col("kind"))).alias("other")).first()
@@ -41,15 +41,19 @@ def changes(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     numbered = cut(ordinals(known, ["repo", "fqn"], F.pmod(F.xxhash64("repo", "fqn"), F.lit(nb)).cast("int")).drop("repo"))
     node_diff = diff_blocks(numbered, "series", ["ord"], F.shiftright("ord", 24).cast("int"))
 
-    value = tagged(F.col("condition"), F.col("confidence"), F.col("tier"))
+    # the three values are small enumerations: together they make a small number, which travels well; others are hashed
+    code = lambda c, values: F.when(F.col(c).isNull(), 0).otherwise(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c)))
+    told = (F.col("condition").isNull() | F.col("condition").isin(*CONDITIONS)) & (F.col("confidence").isNull() | F.col("confidence").isin(*CONFIDENCES)) & (F.col("tier").isNull() | F.col("tier").between(0, 99))
+    small_mark = (code("condition", CONDITIONS) * 10 + code("confidence", CONFIDENCES)) * 1000 + F.coalesce(F.col("tier").cast("long") + 1, F.lit(0))
+    value = F.when(F.coalesce(told, F.lit(False)), small_mark).otherwise(F.xxhash64(tagged(F.col("condition"), F.col("confidence"), F.col("tier"))))
     kind = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
     plain = edges.where(F.col("graph_id").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col("kind").isNotNull())
-    small = plain.select("graph_id", "src", "dst", kind.alias("kind_code"), F.xxhash64(value).alias("mark"))
+    small = plain.select("graph_id", "src", "dst", kind.cast("int").alias("kind_code"), value.alias("mark"))
     ends = numbered.select("graph_id", "node_id", "ord").distinct()
     by_src = lookup_join(small.withColumnRenamed("src", "node_id"), ends.withColumnRenamed("ord", "src_ord"), ["graph_id", "node_id"], "inner", hot_keys(plain.select("graph_id", F.col("src").alias("node_id")), ["graph_id", "node_id"]))
     by_src = by_src.drop("node_id").withColumnRenamed("dst", "node_id")
     by_dst = lookup_join(by_src, ends.withColumnRenamed("ord", "dst_ord"), ["graph_id", "node_id"], "inner", hot_keys(plain.select("graph_id", F.col("dst").alias("node_id")), ["graph_id", "node_id"])).drop("node_id")
-    ready = by_dst.join(F.broadcast(order.select("graph_id", "series", "seq", "last")) if order.count() < 100_000 else order.select("graph_id", "series", "seq", "last"), "graph_id")
+    ready = by_dst.join(F.broadcast(order.select("graph_id", "series", "seq", "final")) if order.count() < 100_000 else order.select("graph_id", "series", "seq", "final"), "graph_id")
     eb = blocks_for(edge_rows)
     edge_diff = diff_blocks(ready, "series", ["src_ord", "dst_ord", "kind_code"], F.pmod(F.xxhash64("series", "src_ord", "dst_ord", "kind_code"), F.lit(eb)).cast("int"))
 

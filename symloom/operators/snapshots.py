@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows aimed at in a block of ordinals, over all snapshots of one series.
-BLOCK_ROWS = 60_000
+BLOCK_ROWS = 20_000
 #: Bits of an ordinal below its block number.
 LOCAL_BITS = 24
 
@@ -70,10 +70,10 @@ def _bits(packed: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=n).astype(bool)
 
 
-def diff_block(series: np.ndarray, seq: np.ndarray, last: np.ndarray, keys: list[np.ndarray], mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def diff_block(series: np.ndarray, seq: np.ndarray, final: np.ndarray, keys: list[np.ndarray], mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Indexes of rows, the seq of the later snapshot and the change (0 added, 1 removed, 2 changed) within one block.
 
-    series, seq: which snapshot a row is of. last: the last seq of the series, so that removal of all keys shows. keys: the key
+    series, seq: which snapshot a row is of. final: whether it is the series' last one, after which nothing is removed. keys: the key
     columns. mark: fingerprints. Rows that repeat a key within a snapshot count once.
     """
     index, at, change = [], [], []
@@ -89,17 +89,18 @@ def diff_block(series: np.ndarray, seq: np.ndarray, last: np.ndarray, keys: list
     for one in np.unique(s):
         rows = np.flatnonzero(s == one)
         base, n = ordinal[rows[0]], ordinal[rows[-1]] - ordinal[rows[0]] + 1
-        maps, vectors, where = {}, {}, {}
+        maps, vectors, where, ends = {}, {}, {}, None
         for step in np.unique(q[rows]):
             mine = rows[q[rows] == step]
             local = ordinal[mine] - base
             vector, place = np.zeros(n, mark.dtype), np.zeros(n, np.int64)
             vector[local], place[local] = m[mine], order[mine]
             maps[step], vectors[step], where[step] = _bitmap(local, n), vector, place
+            ends = step if final[order[mine[0]]] else ends
         empty = _bitmap(np.zeros(0, int), n)
         steps = sorted({int(x) for x in maps} | {int(x) + 1 for x in maps})
         for step in steps:
-            if step == 0 or step > last[order[rows[0]]]:
+            if step == 0 or (ends is not None and step > ends):
                 continue
             now, old = _bits(maps.get(step, empty), n), _bits(maps.get(step - 1, empty), n)
             both = now & old
@@ -121,16 +122,17 @@ CHANGES = ("added", "removed", "changed")
 def diff_blocks(rows: DataFrame, series: str, keys: list[str], block: Column, partitions: int | None = None) -> DataFrame:
     """Differences of consecutive snapshots: (series, keys..., seq, change).
 
-    rows has the integer columns `series`, seq, last, the integer `keys` and the fingerprint `mark`. `block` spreads rows by key, so
-    that no task gets an unbounded group. seq is that of the later snapshot.
+    rows has the integer columns `series`, seq, the flag final (the series' last snapshot), the integer `keys` and the fingerprint `mark`. `block`
+    spreads rows by key, so that no task gets an unbounded group. seq is that of the later snapshot.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"{series} {kinds[series]}, " + ", ".join(f"{k} {kinds[k]}" for k in keys) + ", seq int, change string"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, at, change = diff_block(pdf[series].to_numpy(), pdf["seq"].to_numpy(), pdf["last"].to_numpy(), [pdf[k].to_numpy() for k in keys], pdf["mark"].to_numpy())
+        i, at, change = diff_block(pdf[series].to_numpy(), pdf["at"].to_numpy() >> 1, pdf["at"].to_numpy() & 1, [pdf[k].to_numpy() for k in keys], pdf["mark"].to_numpy())
         out = pdf[[series, *keys]].iloc[i].copy()
         out["seq"], out["change"] = at.astype("int32"), np.array(CHANGES, object)[change]
         return out
 
-    return rows.select(series, "seq", "last", *keys, "mark", block.alias("__block")).groupBy("__block").applyInPandas(run, schema)
+    at = F.shiftleft("seq", 1) + F.col("final").cast("int")
+    return rows.select(series, at.alias("at"), *keys, "mark", block.alias("__block")).groupBy("__block").applyInPandas(run, schema)

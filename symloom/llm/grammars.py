@@ -598,6 +598,12 @@ class Grammar:
                 return False
         return self._accepts[s]
 
+    def level(self, before: str, opener: str) -> tuple | None:
+        """The contents a bracket may have, by the chars of the terminal before it and its own; None where it must not stand."""
+        if not hasattr(self, "_names"):
+            self._names = {v: k for k, v in self.chars.items()}
+        return self.levels.get((self._names[before], self._names[opener]))
+
     def text(self, terminals: list[str]) -> str:
         return "".join(self.chars.get(t, self.chars["BAD"]) for t in terminals)
 

@@ -30,6 +30,8 @@ LOCALITY = ("same-file", "same-module", "same-crate", "global")
 class Options:
     arity_filter: bool = True
     name_arity: bool = True
+    #: Whether a call on a receiver whose type is plain is linked to that type's method alone.
+    receivers: bool = False
 
 
 def dense_order(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -127,6 +129,10 @@ def link(facts: Facts, options: Options = Options()) -> CodeGraph:
     exact = wanted.join(nodes.select("fqn", "node_id"), "fqn").select("ref", F.col("node_id").alias("dst"))
     settle(exact, F.lit("import-ref"), F.when(F.col("size") == 1, "probable").otherwise("possible"), 1)
 
+    if options.receivers:
+        for rule, types in _receiver_types(facts, todo, nodes):
+            settle(_member_of(types, facts, nodes), F.lit(rule), F.when(F.col("size") == 1, "probable").otherwise("possible"), 1)
+
     methods = short.where(F.col("kind") == "method").select("lang", F.col("short").alias("last"), F.col("node_id").alias("dst"))
     settle(todo.where("virtual").join(methods, ["lang", "last"]).select("ref", "dst"), F.lit("name-method"), F.when(F.col("size") == 1, "probable").otherwise("possible"), 1)
 
@@ -163,6 +169,39 @@ def link(facts: Facts, options: Options = Options()) -> CodeGraph:
     return CodeGraph.of(cut(full), cut(out), cut(candidates))
 
 
+def _receiver_types(facts: Facts, todo: DataFrame, nodes: DataFrame) -> list[tuple[str, DataFrame]]:
+    """By rule, (ref, type, last): calls whose receiver has a plain type.
+
+    recv-self: the receiver is the method's own object. recv-ctor: it is a local that is only ever made by calling one type of that name.
+    """
+    calls = todo.where(F.col("virtual") & (F.size("name_path") == 2)).select("ref", "head", "last", "caller_fqn")
+    types = nodes.where(F.col("kind") == "type").select(F.col("fqn").alias("type"), _short(F.col("fqn")).alias("name"))
+    own = calls.where(F.col("head").isin("self", "this", "cls")).withColumn("type", _parent(F.col("caller_fqn"))).join(types.select("type").distinct(), "type", "left_semi")
+    alone = types.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("type")).where(F.col("n") == 1)
+    writes = facts.flows.groupBy(F.col("fn").alias("caller_fqn"), F.col("derived").alias("head")).agg(F.count_distinct(F.coalesce("callee", F.lit(""))).alias("ways"), F.max("callee").alias("callee"))
+    made = writes.where((F.col("ways") == 1) & F.col("callee").isNotNull()).withColumn("name", _short(F.col("callee"))).join(alone.select("name", "type"), "name")
+    return [("recv-self", own.select("ref", "type", "last")), ("recv-ctor", calls.join(made, ["caller_fqn", "head"]).select("ref", "type", "last"))]
+
+
+def _member_of(types: DataFrame, facts: Facts, nodes: DataFrame) -> DataFrame:
+    """(ref, dst): the method of that name in the type, or in the nearest type it inherits from (by last segment, up to eight steps)."""
+    has = nodes.where(F.col("kind") == "method").select(_parent(F.col("fqn")).alias("type"), _short(F.col("fqn")).alias("last"), F.col("node_id").alias("dst"))
+    up = facts.relations.where(F.col("relation").isin("Inherits", "Implements")).select(F.array_join("subject", "::").alias("type"), F.element_at("object", -1).alias("name")).distinct()
+    every = nodes.where(F.col("kind") == "type").select(F.col("fqn").alias("next"), _short(F.col("fqn")).alias("name"))
+    step = cut(up.join(every, "name").select("type", "next").distinct())
+    at, found = cut(types), []
+    for _ in range(8):
+        hit = cut(at.join(has, ["type", "last"]).select("ref", "dst"))
+        found.append(hit)
+        at = cut(at.join(hit.select("ref").distinct(), "ref", "left_anti").join(step, "type").select("ref", F.col("next").alias("type"), "last").distinct())
+        if at.isEmpty():
+            break
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def _relations(facts: Facts, nodes: DataFrame, by_fqn: DataFrame, short: DataFrame) -> DataFrame:
     """implements, inherits and overrides edges; a name that fits no or several definitions gives none."""
     kind = F.element_at(F.create_map(*[F.lit(v) for kv in (("Implements", "implements"), ("Inherits", "inherits"), ("Overrides", "overrides")) for v in kv]), F.col("relation"))

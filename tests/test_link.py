@@ -86,3 +86,15 @@ def test_value_flows_and_summaries(spark):
 def test_empty_facts(spark):
     g = link(Facts.empty(spark))
     assert g.nodes.count() == 0 and g.edges.count() == 0
+
+
+def test_receivers_with_plain_types(spark):
+    from symloom.link.facts import FLOWS
+
+    f = hierarchy_facts(spark)
+    more = Facts.empty(spark, defs=[d("m::A::both", "method", scope=3, line=8), d("m::D", "type", line=9), d("m::use", line=12)], scopes=[dict(path="a.py", scope=5, parent=0, owner_fqn="m::A::both"), dict(path="a.py", scope=6, parent=0, owner_fqn="m::use")],
+                       refs=[r("self.go", 5, "CallVirtualReceiver", line=20), r("k.go", 6, "CallVirtualReceiver", line=21), r("w.go", 6, "CallVirtualReceiver", line=22)], relations=[dict(path="a.py", lang="python", relation="Inherits", subject=["m", "D"], object=["B"])],
+                       flows=[dict(path="a.py", fn="m::use", pos=1, derived="k", derived_version=1, callee="D", args=[]), dict(path="a.py", fn="m::use", pos=2, derived="w", derived_version=1, callee="A", args=[]), dict(path="a.py", fn="m::use", pos=3, derived="w", derived_version=2, callee="B", args=[])])
+    e = edges(link(f.union(more), Options(receivers=True)))
+    assert ("m::A::both", "m::A::go", "calls-virtual", "recv-self", "probable", False) in e and ("m::use", "m::B::go", "calls-virtual", "recv-ctor", "probable", False) in e
+    assert {x[3] for x in e if x[0] == "m::use"} == {"recv-ctor", "name-method"}

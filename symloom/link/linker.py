@@ -130,8 +130,8 @@ def link(facts: Facts, options: Options = Options()) -> CodeGraph:
     settle(exact, F.lit("import-ref"), F.when(F.col("size") == 1, "probable").otherwise("possible"), 1)
 
     if options.receivers:
-        for rule, types in _receiver_types(facts, todo, nodes):
-            settle(_member_of(types, facts, nodes), F.lit(rule), F.when(F.col("size") == 1, "probable").otherwise("possible"), 1)
+        for rule in ("recv-self", "recv-ctor"):
+            settle(_member_of(_receiver_types(rule, facts, todo, nodes), facts, nodes), F.lit(rule), F.when(F.col("size") == 1, "probable").otherwise("possible"), 1)
 
     methods = short.where(F.col("kind") == "method").select("lang", F.col("short").alias("last"), F.col("node_id").alias("dst"))
     settle(todo.where("virtual").join(methods, ["lang", "last"]).select("ref", "dst"), F.lit("name-method"), F.when(F.col("size") == 1, "probable").otherwise("possible"), 1)
@@ -169,18 +169,20 @@ def link(facts: Facts, options: Options = Options()) -> CodeGraph:
     return CodeGraph.of(cut(full), cut(out), cut(candidates))
 
 
-def _receiver_types(facts: Facts, todo: DataFrame, nodes: DataFrame) -> list[tuple[str, DataFrame]]:
-    """By rule, (ref, type, last): calls whose receiver has a plain type.
+def _receiver_types(rule: str, facts: Facts, todo: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ref, type, last): open calls whose receiver has a plain type by a rule.
 
     recv-self: the receiver is the method's own object. recv-ctor: it is a local that is only ever made by calling one type of that name.
     """
     calls = todo.where(F.col("virtual") & (F.size("name_path") == 2)).select("ref", "head", "last", "caller_fqn")
     types = nodes.where(F.col("kind") == "type").select(F.col("fqn").alias("type"), _short(F.col("fqn")).alias("name"))
-    own = calls.where(F.col("head").isin("self", "this", "cls")).withColumn("type", _parent(F.col("caller_fqn"))).join(types.select("type").distinct(), "type", "left_semi")
+    if rule == "recv-self":
+        own = calls.where(F.col("head").isin("self", "this", "cls")).withColumn("type", _parent(F.col("caller_fqn")))
+        return own.join(types.select("type").distinct(), "type", "left_semi").select("ref", "type", "last")
     alone = types.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("type")).where(F.col("n") == 1)
     writes = facts.flows.groupBy(F.col("fn").alias("caller_fqn"), F.col("derived").alias("head")).agg(F.count_distinct(F.coalesce("callee", F.lit(""))).alias("ways"), F.max("callee").alias("callee"))
     made = writes.where((F.col("ways") == 1) & F.col("callee").isNotNull()).withColumn("name", _short(F.col("callee"))).join(alone.select("name", "type"), "name")
-    return [("recv-self", own.select("ref", "type", "last")), ("recv-ctor", calls.join(made, ["caller_fqn", "head"]).select("ref", "type", "last"))]
+    return calls.join(made, ["caller_fqn", "head"]).select("ref", "type", "last")
 
 
 def _member_of(types: DataFrame, facts: Facts, nodes: DataFrame) -> DataFrame:

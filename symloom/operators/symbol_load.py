@@ -51,7 +51,7 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     e = cut(_once(edges))
     codes = cut(dictionary(nodes, "fqn"))
     ids = cut(_named(nodes).join(codes, "fqn").select("graph_id", "node_id", "code"))
-    pairs = e.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("graph_id", "src", "dst").distinct()
+    pairs = e.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("graph_id", "src", "dst")
     for s in SIDES:
         keyed = pairs.withColumnRenamed(s, "node_id")
         pairs = lookup_join(keyed, ids.withColumnRenamed("code", f"{s}_code"), ["graph_id", "node_id"], "inner", hot_keys(e.select("graph_id", F.col(s).alias("node_id")), ["graph_id", "node_id"])).drop("node_id")

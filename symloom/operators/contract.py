@@ -154,3 +154,18 @@ class Answer:
 
     rows: DataFrame
     contract: callable = field(default=lambda: Contract())
+
+
+def of_paths(g: CodeGraph, subject: DataFrame, depth: int | None, found: int, cap: int | None, admit: EdgeFilter = EdgeFilter()) -> Contract:
+    """The contract of paths: that of the walk, and whether the cap on paths was met."""
+    c = of_walk(g, subject, True, depth, admit, not found)
+    return replace(c, reasons=(*c.reasons, Reason("truncated-path-cap", "under", cap))) if cap is not None and found >= cap else c
+
+
+def of_impacted(g: CodeGraph, reached: DataFrame) -> Contract:
+    """Impacted tests: calls that stay open in code that was not reached may hide a test; reached is (nid)."""
+    rest = g.nodes.join(reached.select("nid").distinct(), "nid", "left_anti")
+    x = rest.agg(F.sum(F.coalesce("unresolved_calls", F.lit(0))).alias("open"), F.sum(F.coalesce("external_calls", F.lit(0))).alias("out")).first()
+    vague = g.edges.where(F.col("kind").isin(*CALL_FAMILY) & F.col("candidate_group").isNotNull()).count()
+    parts = (("impacted-unresolved-calls", "under", x["open"] or 0), ("impacted-external-calls", "under", x["out"] or 0), ("impacted-candidate-set", "over", vague))
+    return Contract(tuple(Reason(*p) for p in parts if p[2]))

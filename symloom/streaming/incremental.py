@@ -37,3 +37,21 @@ def edge_counts(edges: DataFrame, time: str = "loaded_at", window: str = "1 hour
     """A stream's edges per graph, kind and window of arrival; rows later than `late` behind the latest are dropped, repeated ones count once."""
     e = edges.withWatermark(time, late).dropDuplicatesWithinWatermark(["graph_id", "edge_id"])
     return e.groupBy(F.window(time, window), "graph_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kind_counts(edges: DataFrame) -> DataFrame:
+    """A stream's distinct edges per graph and kind."""
+    return edges.dropDuplicates(["graph_id", "edge_id"]).groupBy("graph_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def drained(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """The table a stream's aggregate has come to once all that is there has been read."""
+    from ..session import cut
+
+    last: list[DataFrame] = []
+
+    def keep(batch: DataFrame, _: int) -> None:
+        last[:] = [cut(batch, drop=last[0] if last else None)]
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return last[0] if last else stream.sparkSession.createDataFrame([], stream.schema)

@@ -115,6 +115,8 @@ def test_contract(spark):
     assert {(r.code, r.count) for r in c.reasons} == {("unresolved-external-calls", 2), ("below-confidence-floor", 1), ("depth-limit", 1)} and c.approximation == "under"
     assert contract.of_walk(g, ask.resolve_one(g, "f4"), True, None).approximation == "exact" and contract.of_unused(g).approximation == "over"
     assert contract.Contract((contract.Reason("a", "over", 1), contract.Reason("b", "under", 1))).approximation == "over_under"
+    assert [r.code for r in contract.of_paths(g, ask.resolve_one(g, "f4"), None, 5, 5).reasons] == ["truncated-path-cap"]
+    assert {(r.code, r.count) for r in contract.of_impacted(g, spark.createDataFrame([(3,)], "nid long")).reasons} == {("impacted-unresolved-calls", 2), ("impacted-external-calls", 1)}
     f = contract.Freshness("a", "b", 0)
     assert f.stale and f.matches_head is False and not contract.Freshness("a").stale
     A = contract.Assertion

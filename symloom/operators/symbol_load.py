@@ -27,8 +27,11 @@ def side_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     node_id is the dictionary code within a graph, so edges are counted before anything is joined. Ids without a node or a node
     without fqn give no row.
     """
-    e = _once(edges)
-    ends = e.select(F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(s).alias("code")) for i, s in enumerate(SIDES)])).alias("x"), "graph_id")
+    return _counts(_once(edges), nodes)
+
+
+def _counts(once: DataFrame, nodes: DataFrame) -> DataFrame:
+    ends = once.select(F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(s).alias("code")) for i, s in enumerate(SIDES)])).alias("x"), "graph_id")
     counts = dense_counts(ends.select((F.col("graph_id").cast("long") * 2 + F.col("x.side")).alias("grp"), F.col("x.code").alias("code")))
     keyed = counts.select(F.floor(F.col("grp") / 2).cast("int").alias("graph_id"), F.pmod("grp", F.lit(2)).alias("side"), F.col("code").cast("int").alias("node_id"), "n")
     by_name = keyed.join(_named(nodes), ["graph_id", "node_id"]).groupBy("side", "fqn").agg(F.sum("n").alias("n"))
@@ -39,7 +42,7 @@ def heavy(edges: DataFrame, nodes: DataFrame, share: float = 0.04) -> DataFrame:
     """(side, fqn) of the symbols that stand on that side of at least `share` of all edges; without edges no rows."""
     e = cut(_once(edges))
     total = e.count()
-    counts = side_counts(e, nodes)
+    counts = _counts(e, nodes)
     return counts.where(F.col("n") >= share * total).select("side", "fqn")
 
 
@@ -58,5 +61,5 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = pairs.select("src_code", "dst_code").distinct()
     each = pairs.select(F.explode(F.array(*[F.struct(F.lit(i).alias("grp"), F.col(f"{s}_code").alias("code")) for i, s in enumerate(SIDES)])).alias("x")).select("x.*")
     peers = dense_counts(each).join(codes, "code").select(F.when(F.col("grp") == 0, "src").otherwise("dst").alias("side"), "fqn", F.col("n").alias("n_peers"))
-    n = side_counts(e, nodes).withColumnRenamed("n", "n_edges")
+    n = _counts(e, nodes).withColumnRenamed("n", "n_edges")
     return n.join(peers, ["side", "fqn"], "left").select("side", "fqn", "n_edges", F.coalesce("n_peers", F.lit(0)).alias("n_peers"))

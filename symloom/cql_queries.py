@@ -38,9 +38,9 @@ _TRAIL = f"""--cte w AS (SELECT nid AS root, nid AS here, [nid] AS ns, []::BIGIN
  UNION ALL SELECT w.root, k.dst, list_append(ns, k.dst), list_append(es, k.eid), list_append(cs, k.condition) FROM w JOIN c k ON k.src = w.here WHERE len(es) < 3 AND NOT list_contains(es, k.eid)),
 t AS (SELECT w.* FROM w JOIN n g ON g.nid = w.here WHERE g.fqn = '{SINK}' AND len(es) > 0 AND NOT list_contains(ns[2:-2], w.here))"""
 query("cql_path_transience", f'MATCH p = (a {{fqn: "{BOOT}"}})-[*1..3]->(b {{fqn: "{SINK}"}}) WHERE ANY(r IN relationships(p) WHERE r.condition IN ["exception", "panic"]) RETURN a.file AS file, length(p) AS hops, [r IN relationships(p) | r.condition] AS conditions',
-      _TRAIL + " SELECT a.file, len(es) AS hops, array_to_string(cs, ',') AS conditions FROM t JOIN n a ON a.nid = t.root WHERE list_has_any(cs, ['exception', 'panic'])", True)
+      _TRAIL + " SELECT a.file, CAST(len(es) AS INTEGER) AS hops, array_to_string(cs, ',') AS conditions FROM t JOIN n a ON a.nid = t.root WHERE list_has_any(cs, ['exception', 'panic'])", True)
 query("cql_path_avoiding", f'MATCH p = (a {{fqn: "{BOOT}"}})-[*2..3]->(b {{fqn: "{SINK}"}}) WHERE NONE(x IN nodes(p) WHERE x.kind = "method") RETURN size(nodes(p)) AS nodes, count(*) AS paths, max(length(p)) AS longest',
-      _TRAIL + " SELECT len(ns) AS nodes, count(*) AS paths, max(len(es)) AS longest FROM t WHERE len(es) >= 2 AND NOT EXISTS (SELECT 1 FROM n m WHERE list_contains(t.ns, m.nid) AND m.kind = 'method') GROUP BY 1", True)
+      _TRAIL + " SELECT CAST(len(ns) AS INTEGER) AS nodes, count(*) AS paths, CAST(max(len(es)) AS INTEGER) AS longest FROM t WHERE len(es) >= 2 AND NOT EXISTS (SELECT 1 FROM n m WHERE list_contains(t.ns, m.nid) AND m.kind = 'method') GROUP BY 1", True)
 query("cql_exists", 'MATCH (t:type)-[:CONTAINS]->(m:method) WHERE (m)<-[:CALLS]-() AND NOT (m)-[:CALLS]->() RETURN m.fqn AS method',
       "SELECT m.fqn AS method FROM e JOIN n t ON t.nid = e.src JOIN n m ON m.nid = e.dst WHERE e.kind = 'contains' AND t.kind = 'type' AND m.kind = 'method' AND m.nid IN (SELECT dst FROM k) AND m.nid NOT IN (SELECT src FROM k)")
 query("cql_exists_or", 'MATCH (t:type)-[:CONTAINS]->(m:method) WHERE (m)<-[:SPAWNS]-() OR m.line < 10 RETURN m.fqn AS method',
@@ -50,7 +50,7 @@ query("cql_with_filter", "MATCH (a:function)-[:CALLS]->(b) WITH a, count(*) AS n
 query("cql_with_limit_first", "MATCH (a)-[:CALLS]->(b) WITH b, count(*) AS n ORDER BY n DESC LIMIT 10 WHERE n > 5 RETURN b.fqn AS callee, n AS n",
       "SELECT b.fqn AS callee, x.n FROM (SELECT k.dst, count(*) AS n FROM k JOIN n a ON a.nid = k.src JOIN n b ON b.nid = k.dst GROUP BY 1 ORDER BY n DESC, dst LIMIT 10) x JOIN n b ON b.nid = x.dst WHERE x.n > 5")
 query("cql_collect", 'MATCH (t:type)-[:CONTAINS]->(m:method) WITH t, collect(m) AS ms RETURN t.fqn AS type, t.file AS file, [x IN ms WHERE x.line > 10 | x.name] AS names, size(ms) AS n',
-      "SELECT t.fqn AS type, t.file, coalesce(string_agg(m.fqn, ',' ORDER BY least(t.nid, m.nid), m.nid) FILTER (m.line_start > 10), '') AS names, count(*) AS n FROM e JOIN n t ON t.nid = e.src JOIN n m ON m.nid = e.dst WHERE e.kind = 'contains' AND t.kind = 'type' AND m.kind = 'method' GROUP BY t.nid, t.fqn, t.file")
+      "SELECT t.fqn AS type, t.file, coalesce(string_agg(m.fqn, ',' ORDER BY least(t.nid, m.nid), m.nid) FILTER (m.line_start > 10), '') AS names, CAST(count(*) AS INTEGER) AS n FROM e JOIN n t ON t.nid = e.src JOIN n m ON m.nid = e.dst WHERE e.kind = 'contains' AND t.kind = 'type' AND m.kind = 'method' GROUP BY t.nid, t.fqn, t.file")
 query("cql_min_confidence", "MATCH (a:method)-[r:CALLS]->(b) RETURN a.fqn AS caller, min(r.confidence) AS weakest, max(r.confidence) AS strongest, count(r.confidence) AS n",
       "SELECT a.fqn AS caller, ['possible', 'probable', 'certain'][min(list_position(['possible', 'probable', 'certain'], k.confidence))] AS weakest, ['possible', 'probable', 'certain'][max(list_position(['possible', 'probable', 'certain'], k.confidence))] AS strongest, count(k.confidence) AS n FROM k JOIN n a ON a.nid = k.src JOIN n b ON b.nid = k.dst WHERE a.kind = 'method' GROUP BY 1")
 query("cql_null_logic", "MATCH (a:lambda)-[r:CALLS]->(b) WHERE NOT (r.confidence <> \"certain\") RETURN a.fqn AS caller, b.fqn AS callee",

@@ -78,9 +78,13 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(f1, f2, lang, pos, tok): a row of numbers per terminal, between a begin and an end mark; partitioned as files are."""
+    """(f1, f2, lang, pos, tok): a row of numbers per terminal, between a begin and an end mark; all rows of a file in one partition.
+
+    Files are lexed once, into a table with an array each; what travels to its partition is that array, before it becomes rows.
+    """
     code = (F.array_position(F.array(*[F.lit(x) for x in _LANGS]), F.col("lang")) - 1).cast("int")
-    return files.select("f1", "f2", code.alias("lang"), F.posexplode(_lexed("lang", "content")).alias("pos", "tok"))
+    lexed = cut(files.select("f1", "f2", code.alias("lang"), _lexed("lang", "content").alias("toks")))
+    return lexed.repartition("f1", "f2").select("f1", "f2", "lang", F.posexplode("toks").alias("pos", "tok"))
 
 
 def wrong_neighbours(toks: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from .grammars import PARTNER, SOURCES, grammar
 from .lexing import LANGUAGES, lex
 
 _BEGIN, _END = "^", "$"
+#: Terminals aimed at in one task: as arrays they are small, as rows in a sort they are not.
+TASK_TOKENS = 500_000
 #: Numbers that stand for the languages in the rows of terminals.
 _LANGS = tuple(sorted(SOURCES))
 
@@ -84,7 +86,8 @@ def tokens(files: DataFrame) -> DataFrame:
     """
     code = (F.array_position(F.array(*[F.lit(x) for x in _LANGS]), F.col("lang")) - 1).cast("int")
     lexed = cut(files.select("f1", "f2", code.alias("lang"), _lexed("lang", "content").alias("toks")))
-    return lexed.repartition("f1", "f2").select("f1", "f2", "lang", F.posexplode("toks").alias("pos", "tok"))
+    total = lexed.agg(F.sum(F.size("toks"))).first()[0] or 0
+    return lexed.repartition(max(1, -(-total // TASK_TOKENS)), "f1", "f2").select("f1", "f2", "lang", F.posexplode("toks").alias("pos", "tok"))
 
 
 def wrong_neighbours(toks: DataFrame) -> DataFrame:

@@ -196,6 +196,58 @@ def _dirty(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["dirty_files"] = _dirty
+
+# the same over all pairs of consecutive snapshots of each repository: series is the repository's least graph_id, seq that of the base
+_BY = ("series", "seq")
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, repo, series, seq) of the snapshots that are a base, and of those that are a head; seq is the base's in both."""
+    from .operators.snapshots import snapshot_order
+
+    order = snapshot_order(table(spark, d, "graphs"))
+    of = order.groupBy("repo").agg(F.min("graph_id").alias("series"), F.max("seq").alias("last"))
+    x = order.join(of, "repo").select("graph_id", "repo", "series", "seq", "last")
+    return x.where(F.col("seq") < F.col("last")).drop("last"), x.where(F.col("seq") > 0).withColumn("seq", F.col("seq") - 1).drop("last")
+
+
+def _pairs(spark: SparkSession, d: str) -> tuple[CodeGraph, CodeGraph]:
+    g = CodeGraph.load(spark, d)
+    of = lambda x, side: x.join(side.select("graph_id", *_BY), "graph_id")
+    return tuple(CodeGraph(of(g.nodes, s), of(g.edges, s), g.candidates) for s in _sides(spark, d))
+
+
+_EACH_O = """o AS (SELECT graph_id, repo, min(graph_id) OVER (PARTITION BY repo) AS series, row_number() OVER (PARTITION BY repo ORDER BY committed_at, graph_id) - 1 AS seq, count(*) OVER (PARTITION BY repo) AS snapshots FROM (SELECT DISTINCT graph_id, repo, committed_at FROM graphs)),
+side AS (SELECT graph_id, repo, series, seq, 0 AS side FROM o WHERE seq < snapshots - 1 UNION ALL SELECT graph_id, repo, series, seq - 1, 1 FROM o WHERE seq > 0)"""
+_EACH = f"""{_EACH_O},
+sz AS (SELECT graph_id, candidate_group, count(*) AS size FROM (SELECT DISTINCT * FROM candidates) GROUP BY ALL),
+ie AS (SELECT o.series, o.seq, o.side, s.fqn AS src_fqn, t.fqn AS dst_fqn, e.kind, s.file, e.condition, e.confidence, e.tier, coalesce(sz.size, 0) AS group_size, e.cfg_condition FROM e JOIN side o USING (graph_id) JOIN n s ON s.nid = e.src JOIN n t ON t.nid = e.dst
+ LEFT JOIN sz ON sz.graph_id = e.graph_id AND sz.candidate_group = e.candidate_group QUALIFY row_number() OVER (PARTITION BY o.series, o.seq, o.side, s.fqn, t.fqn, e.kind, s.file ORDER BY e.eid DESC) = 1),
+b AS (SELECT * FROM ie WHERE side = 0), h AS (SELECT * FROM ie WHERE side = 1)"""
+_EACH_JOINED = f"{_JOINED} AND b.series = h.series AND b.seq = h.seq"
+_PAIR = "coalesce(h.series, b.series) AS series, coalesce(h.seq, b.seq) AS seq"
+SQL["diff_graphs_each"] = f"""WITH {_BASE}, {_EACH},
+nd AS (SELECT DISTINCT o.series, o.seq, o.side, fqn FROM n JOIN side o USING (graph_id))
+SELECT {_PAIR}, 'edge' AS record_type, coalesce(h.src_fqn, b.src_fqn) AS fqn, coalesce(h.dst_fqn, b.dst_fqn) AS dst_fqn, coalesce(h.kind, b.kind) AS kind, CASE WHEN b.seq IS NULL THEN 'added' WHEN h.seq IS NULL THEN 'removed' ELSE 'changed' END AS change {_EACH_JOINED} WHERE b.seq IS NULL OR h.seq IS NULL OR {_CHANGED}
+UNION ALL SELECT series, seq, 'node', fqn, '', '', CASE WHEN min(side) = 1 THEN 'added' ELSE 'removed' END FROM nd GROUP BY series, seq, fqn HAVING count(*) = 1"""
+QUERIES["diff_graphs_each"] = lambda spark, d: diff.diff_graphs(*_pairs(spark, d), _BY).select(*_BY, "record_type", "fqn", "dst_fqn", "kind", "change")
+SQL["diff_filtered_each"] = f"""WITH {_BASE}, {_EACH} SELECT {_PAIR}, coalesce(h.src_fqn, b.src_fqn) AS fqn, coalesce(h.dst_fqn, b.dst_fqn) AS dst_fqn {_EACH_JOINED}
+WHERE b.seq IS NOT NULL AND h.seq IS NOT NULL AND {_CHANGED} AND b.kind = 'calls' AND (b.condition = 'exception' OR h.condition = 'exception')"""
+QUERIES["diff_filtered_each"] = lambda spark, d: diff.DiffFilter(("changed",), ("calls",), "exception").apply(diff.diff_graphs(*_pairs(spark, d), _BY)).select(*_BY, "fqn", "dst_fqn")
+SQL["edges_newer_each"] = f"WITH {_BASE}, {_EACH} SELECT series, seq, src_fqn, dst_fqn, kind, file FROM h ANTI JOIN b USING (series, seq, src_fqn, dst_fqn, kind, file)"
+QUERIES["edges_newer_each"] = lambda spark, d: diff.newer_edges(*_pairs(spark, d), _BY).select(*_BY, "src_fqn", "dst_fqn", "kind", "file")
+SQL["dirty_files_each"] = f"""WITH {_EACH_O},
+m AS (SELECT DISTINCT o.series, o.seq, o.side, o.repo || '/' || path AS path, blob_oid FROM manifest JOIN side o USING (graph_id)), a AS (SELECT * FROM m WHERE side = 0), b AS (SELECT * FROM m WHERE side = 1)
+SELECT coalesce(a.series, b.series) AS series, coalesce(a.seq, b.seq) AS seq, coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS state FROM a FULL JOIN b ON a.path = b.path AND a.series = b.series AND a.seq = b.seq WHERE a.blob_oid IS DISTINCT FROM b.blob_oid"""
+
+
+def _dirty_each(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "manifest")
+    a, b = (m.join(s, "graph_id").select(*_BY, F.concat_ws("/", "repo", "path").alias("path"), "blob_oid") for s in _sides(spark, d))
+    return diff.dirty_files(a, b, _BY)
+
+
+QUERIES["dirty_files_each"] = _dirty_each
 _COMMITS = """m AS (SELECT DISTINCT graph_id, path, blob_oid FROM manifest), o AS (SELECT DISTINCT graph_id, repo, committed_at FROM graphs),
 x AS (SELECT o.repo, m.graph_id, m.path, m.blob_oid, lag(m.blob_oid) OVER (PARTITION BY o.repo, m.path ORDER BY o.committed_at, m.graph_id) AS before FROM m JOIN o USING (graph_id)),
 cf AS (SELECT DISTINCT graph_id, repo || '/' || regexp_extract(path, '^(.*)/', 1) AS path FROM x WHERE before IS NULL OR before <> blob_oid),

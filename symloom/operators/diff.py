@@ -19,32 +19,36 @@ IDENTITY = ("src_fqn", "dst_fqn", "kind", "file", "anchor")
 CHANGING = ("condition", "confidence", "tier", "group_size", "cfg_condition")
 
 
-def identified(g: CodeGraph) -> DataFrame:
+def identified(g: CodeGraph, by: tuple[str, ...] = ()) -> DataFrame:
     """Edges by identity: names of both ends, kind, the caller's file and the edge's rank among equal ones there; no lines, so moved lines don't
-    count. Of edges with one identity the last by id stands. Group numbers are only counters, so the group's size is compared.
+    count. Of edges with one identity the last by id stands. Group numbers are only counters, so the group's size is compared. by: columns
+    of nodes and edges that part many graphs in one; they belong to the identity.
     """
     n = g.nodes.select("nid", "fqn", "file")
     e = g.edges.join(n.select(F.col("nid").alias("src"), F.col("fqn").alias("src_fqn"), "file"), "src").join(n.select(F.col("nid").alias("dst"), F.col("fqn").alias("dst_fqn")), "dst")
     e = e.join(g.group_sizes, "candidate_group", "left").withColumn("group_size", F.coalesce("size", F.lit(0)))
     # the anchor tells apart parallel edges of different sites; edges of one site share it
     e = e.withColumn("anchor", F.lit(0))
-    best = e.groupBy(*IDENTITY).agg(F.max(F.struct("eid", *CHANGING)).alias("x"))
-    return best.select(*IDENTITY, "x.*")
+    best = e.groupBy(*by, *IDENTITY).agg(F.max(F.struct("eid", *CHANGING)).alias("x"))
+    return best.select(*by, *IDENTITY, "x.*")
 
 
-def diff_graphs(base: CodeGraph, head: CodeGraph) -> DataFrame:
-    """(record_type, fqn, dst_fqn, kind, file, change, what): added, removed and changed edges, added and removed nodes (by name)."""
-    b, h = identified(base), identified(head)
-    both = b.select(*IDENTITY, F.struct(*CHANGING).alias("b")).join(h.select(*IDENTITY, F.struct(*CHANGING).alias("h")), list(IDENTITY), "full_outer")
+def diff_graphs(base: CodeGraph, head: CodeGraph, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., record_type, fqn, dst_fqn, kind, file, change, what): added, removed and changed edges, added and removed nodes (by name).
+
+    by: see identified; graphs are compared where these columns are equal.
+    """
+    b, h = identified(base, by), identified(head, by)
+    both = b.select(*by, *IDENTITY, F.struct(*CHANGING).alias("b")).join(h.select(*by, *IDENTITY, F.struct(*CHANGING).alias("h")), [*by, *IDENTITY], "full_outer")
     moved = F.array_compact(F.array(*[F.when(~F.col(f"b.{c}").eqNullSafe(F.col(f"h.{c}")), F.lit(c)) for c in CHANGING]))
     change = F.when(F.col("b").isNull(), "added").when(F.col("h").isNull(), "removed").when(F.size(moved) > 0, "changed")
     conditions = F.array(F.col("b.condition"), F.col("h.condition"))
     e = both.withColumn("change", change).where(F.col("change").isNotNull()).select(
-        F.lit("edge").alias("record_type"), F.col("src_fqn").alias("fqn"), "dst_fqn", "kind", "file", "change", F.when(F.col("change") == "changed", F.array_join(moved, ",")).otherwise("").alias("what"), conditions.alias("conditions")
+        *by, F.lit("edge").alias("record_type"), F.col("src_fqn").alias("fqn"), "dst_fqn", "kind", "file", "change", F.when(F.col("change") == "changed", F.array_join(moved, ",")).otherwise("").alias("what"), conditions.alias("conditions")
     )
-    names = lambda g, flag: g.nodes.select("fqn").distinct().withColumn(flag, F.lit(True))
-    n = names(base, "b").join(names(head, "h"), "fqn", "full_outer").where(F.col("b").isNull() | F.col("h").isNull())
-    n = n.select(F.lit("node").alias("record_type"), "fqn", F.lit("").alias("dst_fqn"), F.lit("").alias("kind"), F.lit("").alias("file"), F.when(F.col("b").isNull(), "added").otherwise("removed").alias("change"), F.lit("").alias("what"), F.array().cast("array<string>").alias("conditions"))
+    names = lambda g, flag: g.nodes.select(*by, "fqn").distinct().withColumn(flag, F.lit(True))
+    n = names(base, "b").join(names(head, "h"), [*by, "fqn"], "full_outer").where(F.col("b").isNull() | F.col("h").isNull())
+    n = n.select(*by, F.lit("node").alias("record_type"), "fqn", F.lit("").alias("dst_fqn"), F.lit("").alias("kind"), F.lit("").alias("file"), F.when(F.col("b").isNull(), "added").otherwise("removed").alias("change"), F.lit("").alias("what"), F.array().cast("array<string>").alias("conditions"))
     return e.unionByName(n)
 
 
@@ -74,9 +78,9 @@ class DiffFilter:
         return d
 
 
-def newer_edges(base: CodeGraph, head: CodeGraph) -> DataFrame:
-    """Edges of head whose identity base lacks."""
-    return identified(head).join(identified(base).select(*IDENTITY), list(IDENTITY), "left_anti").drop("eid")
+def newer_edges(base: CodeGraph, head: CodeGraph, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edges of head whose identity base lacks. by: see identified."""
+    return identified(head, by).join(identified(base, by).select(*by, *IDENTITY), [*by, *IDENTITY], "left_anti").drop("eid")
 
 
 def new_paths(base: CodeGraph, head: CodeGraph, source: str, target: str) -> DataFrame:
@@ -132,9 +136,9 @@ def changed_nodes(base: CodeGraph, head: CodeGraph, base_manifest: DataFrame, he
     return by_name.unionByName(head.nodes.join(files, "file", "left_semi").select("nid")).distinct()
 
 
-def dirty_files(indexed: DataFrame, work: DataFrame) -> DataFrame:
-    """(path, state): files that differ between two manifests (path, blob_oid): added, removed or modified."""
-    a = indexed.select("path", F.col("blob_oid").alias("a")).distinct()
-    b = work.select("path", F.col("blob_oid").alias("b")).distinct()
+def dirty_files(indexed: DataFrame, work: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., path, state): files that differ between two manifests (by..., path, blob_oid): added, removed or modified."""
+    a = indexed.select(*by, "path", F.col("blob_oid").alias("a")).distinct()
+    b = work.select(*by, "path", F.col("blob_oid").alias("b")).distinct()
     state = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified")
-    return a.join(b, "path", "full_outer").withColumn("state", state).where(F.col("state").isNotNull()).select("path", "state")
+    return a.join(b, [*by, "path"], "full_outer").withColumn("state", state).where(F.col("state").isNotNull()).select(*by, "path", "state")

@@ -1,0 +1,24 @@
+from symloom.graph import CodeGraph
+from symloom.operators import diff
+
+
+def test_every_pair_of_every_repository(spark):
+    """What goes in one repository and stands in another is reported, as is what changes after the second snapshot."""
+    sides = {
+        "base": [(1, 1, 0, "aux::j"), (1, 2, 0, "f"), (2, 1, 1, "aux::j"), (2, 2, 1, "f"), (7, 1, 0, "aux::j"), (7, 2, 0, "f")],
+        "head": [(2, 1, 0, "aux::j"), (2, 2, 0, "f"), (3, 2, 1, "f"), (3, 3, 1, "new"), (8, 2, 0, "f")],
+    }
+    series = {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+
+    def graph(rows, edges):
+        n = spark.createDataFrame([(series[g], q, g * 100 + i, f, "a.py") for g, i, q, f in rows], "series int, seq int, nid long, fqn string, file string")
+        e = spark.createDataFrame([(series[g], q, g, g * 100 + 2, g * 100 + 1, "calls", None, "always", "certain", 1, None) for g, q in edges], "series int, seq int, eid long, src long, dst long, kind string, candidate_group long, condition string, confidence string, tier int, cfg_condition string")
+        return CodeGraph(n, e, spark.createDataFrame([], "grp long, dst long, rank int"))
+
+    base, head = graph(sides["base"], [(1, 0), (2, 1), (7, 0)]), graph(sides["head"], [(2, 0)])
+    got = {tuple(r) for r in diff.diff_graphs(base, head, ("series", "seq")).select("series", "seq", "record_type", "fqn", "change").collect()}
+    assert got == {(1, 1, "edge", "f", "removed"), (7, 0, "edge", "f", "removed"), (1, 1, "node", "aux::j", "removed"), (1, 1, "node", "new", "added"), (7, 0, "node", "aux::j", "removed")}
+    assert diff.newer_edges(base, head, ("series", "seq")).count() == 0 and {(r["series"], r["seq"]) for r in diff.newer_edges(head, base, ("series", "seq")).collect()} == {(1, 1), (7, 0)}
+    files = lambda rows: spark.createDataFrame(rows, "series int, seq int, path string, blob_oid string")
+    d = diff.dirty_files(files([(1, 0, "r/a", "x"), (1, 1, "r/a", "x")]), files([(1, 0, "r/a", "x"), (1, 1, "r/a", "y"), (1, 1, "r/b", "z")]), ("series", "seq"))
+    assert {tuple(r) for r in d.collect()} == {(1, 1, "r/a", "modified"), (1, 1, "r/b", "added")}

@@ -1,15 +1,13 @@
 """Generated, minified or vendored source files and data saved as code.
 
 A Re-Pair grammar is inferred over each file's tokens (numbers in names as one sign, runs of literals as one token): if the grammar is
-far smaller than the sequence, a tool wrote the file. The literals taken out are judged by themselves: a file whose code is
-little but literals which no grammar shortens is data. Long rules that come up in several repositories tell copied code, as do a notice of
+far smaller than the sequence, a tool wrote the file. A file whose code is little but runs of literals is data, however regular these are. Long rules that come up in several repositories tell copied code, as do a notice of
 another project in the leading comment and a package folder. Minified files hold most tokens on very long lines.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,8 +23,8 @@ from .syntax import plain_language
 
 #: Grammar size over sequence length up to which a file counts as written by a tool, and the least number of tokens to judge.
 REUSE, LEAST_TOKENS = 0.3, 50
-#: Share of a file's code characters in literals from which it is data, unless these literals compress below LITERAL_RATIO.
-LITERALS, LITERAL_RATIO = 0.68, 0.15
+#: Share of a file's code characters in runs of literals from which it is data.
+LITERALS = 0.68
 #: Tokens of a line from which on it is a minified one, and the share of tokens on such lines.
 LINE_TOKENS, LINE_SHARE = 100, 0.5
 #: Tokens of a rule from which on it tells copied code, and the share of a file such shared rules must cover.
@@ -90,9 +88,7 @@ class Features:
         every = sum(len(s) for _, s in toks)
         held = sum(map(len, literals))
         if every and held >= LITERALS * every:
-            raw = "".join(literals).encode()
-            if len(zlib.compress(raw, 6)) >= LITERAL_RATIO * len(raw):
-                self.kinds.add("data")
+            self.kinds.add("data")
         lines = Counter(_line_numbers(content, toks))
         if len(toks) >= LEAST_TOKENS and "data" not in self.kinds and len(kept) > LEAST_TOKENS // 2:
             dense = sum(n for n in lines.values() if n >= LINE_TOKENS)

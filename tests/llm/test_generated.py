@@ -65,3 +65,12 @@ def test_files_over_tables(spark):
     assert got.pop(("r2", "vendor/pkg/x.py")) == ["vendored"]
     assert set(got) == {("r1", "data/tab.py"), ("r1", "src/own.py")}
     assert generated.files(G.limit(0), M, B).collect() == [] and generated.files(G, M, B.limit(0)).count() == 1
+
+
+def test_data_tables_of_any_content():
+    rows = lambda cells: "T = [\n" + "".join("    " + ", ".join(cells[i : i + 8]) + ",\n" for i in range(0, len(cells), 8)) + "]\n"
+    sparse = ["0x00"] * 480
+    sparse[77] = "0x13"
+    assert kinds(rows(sparse)) == {"data"}
+    assert kinds(rows([f"0x{i % 256:02x}" for i in range(1024)])) == {"data"}
+    assert kinds(rows(["0xff", "0x0f"] * 300)) == {"data"}

@@ -13,8 +13,8 @@ from .streaming.incremental import drained, kind_counts
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    """(blob_oid, path, content): each content once per path it is found at."""
-    b = table(spark, d, "blob_facts").where(F.col("content").isNotNull()).groupBy("blob_oid").agg(F.min("content").alias("content"))
+    """(blob_oid, path, content, lang): each content once per path it is found at."""
+    b = table(spark, d, "blob_facts").where(F.col("content").isNotNull()).groupBy("blob_oid").agg(F.min("content").alias("content"), F.min("lang").alias("lang"))
     m = table(spark, d, "manifest").where(F.col("path").isNotNull()).select("blob_oid", "path").distinct()
     return m.join(b, "blob_oid")
 

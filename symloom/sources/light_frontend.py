@@ -15,11 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import plain_lang
 from ..model import CONDITIONS
 
 #: Raised when what is read from a file changes.
 VERSION = 1
-EXTENSIONS = {"rs": "rust", "go": "go", "java": "java", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp"}
+EXTENSIONS = {"rs": "rust", "go": "go", "java": "java", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "mts": "typescript", "cts": "typescript", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp"}
 _BLANK = re.compile(r"""//[^\n]*|/\*.*?\*/|R"(?P<d>[^()\s]{0,16})\(.*?\)(?P=d)"|b?r(?P<h>#*)".*?"(?P=h)|\"\"\".*?\"\"\"|"(?:[^"\\\n]|\\.)*"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{1,8})'""", re.S)
 # Words that stand before a bracket without being called.
 _NOT_CALLED = frozenset("if for while switch match catch return sizeof function func fn new throw typeof await else do in of and or not case synchronized assert super this void delete yield unsafe move loop where impl let const var static".split())
@@ -182,14 +183,21 @@ def extract(path: str, content: str, lang: str | None = None) -> dict[str, list[
 
 
 def read(sources: DataFrame) -> DataFrame:
-    """(blob_oid, path, kind, fact), as of the Python frontend; sources: (blob_oid, path, content), others than brace languages are left out."""
-    s = sources.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*EXTENSIONS) & F.col("content").isNotNull()).select("blob_oid", "path", F.col("content").cast("string").alias("content"))
+    """(blob_oid, path, kind, fact), as of the Python frontend; sources: (blob_oid, path, content[, lang]), others than brace languages are left out.
+
+    Where the extension tells no language, lang does; files of the Python frontend are not read again.
+    """
+    lang = F.element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), F.lower(F.element_at(F.split("path", r"\."), -1)))
+    if "lang" in sources.columns:
+        told = plain_lang(F.col("lang"))
+        lang = F.coalesce(lang, F.when(told.isin(*_DEF) & ~F.col("path").rlike(r"\.pyi?$"), told))
+    s = sources.where(F.col("content").isNotNull()).select("blob_oid", "path", F.col("content").cast("string").alias("content"), lang.alias("lang")).where(F.col("lang").isNotNull())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             rows = []
-            for oid, path, content in zip(x["blob_oid"], x["path"], x["content"]):
-                facts = [(oid, path, k, json.dumps(f)) for k, fs in extract(path, content).items() for f in fs]
+            for oid, path, content, lang in zip(x["blob_oid"], x["path"], x["content"], x["lang"]):
+                facts = [(oid, path, k, json.dumps(f)) for k, fs in extract(path, content, lang).items() for f in fs]
                 rows += facts or [(oid, path, "none", "{}")]
             yield pd.DataFrame(rows, columns=["blob_oid", "path", "kind", "fact"])
 

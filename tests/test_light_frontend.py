@@ -40,3 +40,10 @@ def test_read(spark):
     g = link(facts(f))
     assert {r["fqn"] for r in g.nodes.collect()} == {d[0] for _, ds, _ in FILES.values() for d in ds} | {"k::a", "k::b"}
     assert [(r["kind"], r["condition"], r["rule"]) for r in g.edges.collect()] == [("calls", "conditional", "scope-ref")]
+
+
+def test_read_takes_every_file_of_a_brace_language(spark):
+    ts = "export function f(y) { return g(y); }\n"
+    rows = [(x, f"w/{x}.{x}", ts, None) for x in ("mjs", "cjs", "mts", "cts")] + [("odd", "w/odd.es6", ts, " TS"), ("bare", "tool", ts, "TypeScript"), ("py", "w/p.py", ts, "ts"), ("none", "w/n.txt", ts, None), ("other", "w/o.cob", ts, "cobol")]
+    f = lf.read(spark.createDataFrame(rows, "blob_oid string, path string, content string, lang string"))
+    assert {(r["blob_oid"], r["kind"]) for r in f.where("kind in ('defs', 'refs')").collect()} == {(x, k) for x in ("mjs", "cjs", "mts", "cts", "odd", "bare") for k in ("defs", "refs")}

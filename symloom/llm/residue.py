@@ -83,14 +83,19 @@ _COMMON = frozenset("sed do ut et ad ex ea in eu non qui id est quam sit".split(
 _AROUND = re.compile(r"^\s*(?:back to top|menu\s+search\s+sign in|skip to (?:main )?content|share this page|home(?:\s*>\s*[\w -]+)+|(?:\(c\)|©)\s.{1,60}|all rights reserved)\s*\.?\s*$", re.I)
 _PAGE = re.compile(r'^\s*(?:<(?:\?xml[^>]*>\s*<)?error>.*</error>|\{\s*"(?:error|status|code|message)"\s*:[^{}]*"(?:error|status|code|message|path)"\s*:[^{}]*\}|status=\d{3}\s+message="[^"]*".*)\s*$', re.I | re.S)
 _NAME = r"[A-Za-z][\w-]*(?:\.\w+)*"
+def _held(excluded: str) -> str:
+    """What a delimited form holds: any length, without the excluded signs and blank lines."""
+    return rf"(?:[^{excluded}\n]|\n(?![^\S\n]*\n))"
+
+
 PLACEHOLDERS = re.compile(
     "|".join(
         (
-            r"\{\{\{?\s*[^{}\n]{1,60}?\s*\}?\}\}",  # {{ name }}
+            r"\{\{\{?(?=[^{}]*[^{}\n])\s*+" + _held("{}") + r"*+\s*+\}?\}\}",  # {{ name }}
             r"(?<![\w$#{%\\])\{(?:[A-Za-z_][\w.]*|\d{1,2})\}(?![\w}])",  # {name} {0}
             rf"[$#]\{{\s*{_NAME}\s*\}}",  # ${NAME} #{name}
-            r"<%[=-]?[^%<>\n]{1,80}%>",
-            r"\{%[^%{}\n]{1,80}%\}",
+            r"<%[=-]?" + _held("%<>") + "+%>",
+            r"\{%" + _held("%{}") + r"+%\}",
             rf"\[\[\s*{_NAME}\s*\]\]",
             rf"<<\s*{_NAME}\s*>>",
             rf"\$\$\s*{_NAME}\s*\$\$",
@@ -98,10 +103,10 @@ PLACEHOLDERS = re.compile(
             r"(?<![\w*])__[A-Z][A-Z0-9_.]*?__(?!\w)",
             r"(?<![\w%])%[A-Z][A-Z0-9_.]*%(?![\w%])",
             r"%\(\w[\w.]*\)[sdif]",
-            r"\[(?:INSERT|ENTER|ADD|YOUR|REPLACE|FILL IN)\b[^\[\]\n]{0,80}\]",
-            r"\[(?:insert|enter|your|replace|fill in|add your)\s[^\[\]\n]{1,60}\]",
-            r"<(?:your|insert|enter)[-_ ][^<>\n]{1,60}>",
-            r"<[^<>\n/]{1,60}\bgoes here>",
+            r"\[(?:INSERT|ENTER|ADD|YOUR|REPLACE|FILL IN)\b" + _held(r"\[\]") + r"*\]",
+            r"\[(?:insert|enter|your|replace|fill in|add your)\s" + _held(r"\[\]") + r"+\]",
+            r"<(?:your|insert|enter)[-_ ]" + _held("<>") + "+>",
+            r"<" + _held("<>/") + r"+\bgoes here>",
             r"\bTODO_[A-Z][A-Z0-9_.]*\b",
             r"(?<!\w)X{4,}(?!\w)",
             r"\b(?:TKTK|TBD|TBA|T\.B\.D\.)(?!\w)",

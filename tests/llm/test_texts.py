@@ -132,3 +132,10 @@ def test_residue_over_tables(spark):
     got = residue.residue(docs(spark, rows)).collect()
     assert sorted(r["doc_id"] for r in got) == [*range(len(texts)), 5000]
     assert residue.residue(docs(spark, [])).collect() == []
+
+
+def test_placeholders_of_any_length():
+    long = "customer.address.street_name | default('the street of the customer') | title"
+    for text in (f"Dear {{{{ {long} }}}}, hello.", "{{ name\n | upper }}", f"<%= {long} or {long} %>", f"{{% if {long} and {long} %}}", f"[INSERT {long} {long}]", f"[insert the\n{long}]", f"<your {long}>", f"<{long} goes here>"):
+        assert residue.PLACEHOLDERS.search(text), text
+    assert not residue.PLACEHOLDERS.search("[INSERT a\n\nb]") and not residue.PLACEHOLDERS.search("{{}}")

@@ -47,14 +47,22 @@ _LITERAL = frozenset(("NUM", "STR", "CHR"))
 _BETWEEN = frozenset((",", "PM", "NL"))
 
 
-def _leading_comment(content: str, lines: int = 12) -> str:
-    out = []
-    for line in content.lstrip("﻿").splitlines()[: 4 * lines]:
-        if line.strip() and not _COMMENT.match(line):
+def _leading_comment(content: str) -> str:
+    """All comment lines before the code, with the whole of block comments and docstrings that begin there."""
+    out, end = [], ""
+    for line in content.lstrip("﻿").splitlines():
+        if not line.strip():
+            continue
+        if not end and not _COMMENT.match(line):
             break
-        if line.strip():
-            out.append(line)
-    return "\n".join(out[:lines])
+        out.append(line)
+        text = line.lstrip()
+        if end:
+            end = "" if end in text else end
+        elif text.startswith(("/*", '"""')):
+            closing = "*/" if text.startswith("/*") else '"""'
+            end = "" if closing in text[len(closing) :] else closing
+    return "\n".join(out)
 
 
 class Features:

@@ -74,3 +74,11 @@ def test_data_tables_of_any_content():
     assert kinds(rows(sparse)) == {"data"}
     assert kinds(rows([f"0x{i % 256:02x}" for i in range(1024)])) == {"data"}
     assert kinds(rows(["0xff", "0x0f"] * 300)) == {"data"}
+
+
+def test_notices_far_down_the_leading_comment():
+    notice, rng = "left-pad 3.0.1 - imported unchanged from upstream", random.Random(6)
+    assert "vendored" in kinds("# words of a licence\n" * 60 + f"# {notice}\n" + code(rng))
+    assert "vendored" in kinds(f'"""A module.\n\nPlain words.\n{notice}\n"""\n' + code(rng))
+    assert "vendored" in kinds(f"/* A file\n   of words\n   {notice}\n*/\nint x;\n", "c")
+    assert kinds(f'"""A module."""\nx = 1\n# {notice}\n' + code(rng)) == set()

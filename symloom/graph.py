@@ -21,6 +21,10 @@ def packed(graph_id: Column, node_id: Column) -> Column:
     return F.shiftleft(graph_id.cast("long"), 32) + node_id.cast("long")
 
 
+def _packed(column: str) -> str:
+    return f"shiftleft(cast(graph_id as bigint), 32) + cast({column} as bigint)"
+
+
 def ordinal(c: Column, values: tuple[str, ...]) -> Column:
     """Place of a token in its enumeration, from 0; null for null, -1 for unknown tokens."""
     return (F.array_position(F.array(*[F.lit(v) for v in values]), c) - 1).cast("int")
@@ -30,10 +34,15 @@ def token(c: Column, values: tuple[str, ...]) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), c)
 
 
+# Other spellings of languages.
+SPELLINGS = {"golang": "go", "py": "python", "python3": "python", "ts": "typescript", "tsx": "typescript", "c++": "cpp", "cc": "cpp", "rs": "rust"}
+_LANG = "case lower(trim(lang)) " + " ".join(f"when '{k}' then '{v}'" for k, v in SPELLINGS.items()) + " else lower(trim(lang)) end"
+
+
 def plain_lang(c: Column) -> Column:
     """One spelling of the languages' names."""
     low = F.lower(F.trim(c))
-    return F.when(low.isin("golang"), "go").when(low.isin("py", "python3"), "python").when(low.isin("ts", "tsx"), "typescript").when(low.isin("c++", "cc"), "cpp").when(low.isin("rs"), "rust").otherwise(low)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv]), low), low)
 
 
 def _names(ddl: str) -> set[str]:
@@ -45,35 +54,41 @@ def _names(ddl: str) -> set[str]:
     return {x.split()[0] for x in flat.split(",")}
 
 
+_NODE_COLUMNS, _EDGE_COLUMNS = _names(NODE_DDL), _names(EDGE_DDL)
+
+
 @dataclass
 class CodeGraph:
-    """nodes: nid and the model's node columns. edges: eid, src, dst (as nid) and the model's edge columns. candidates: grp, dst, rank.
+    """raw_nodes: nid and the model's node columns. raw_edges: eid, src, dst (as nid) and the model's edge columns. candidates: grp, dst, rank.
 
-    Exact duplicates are removed; rows without graph_id or own id, and edges without src or dst, are left out.
+    Rows without graph_id or own id, and edges without src or dst, are left out. Unless `unique` says that the tables hold each row once, exact
+    duplicates are in the raw tables; node_rows and edge_rows filter and prune first and then take each row once, so that conditions
+    and the choice of columns reach the files, and no more is shuffled than is asked for. Walks take raw edges, as their sets absorb duplicates.
     """
 
-    nodes: DataFrame
-    edges: DataFrame
+    raw_nodes: DataFrame
+    raw_edges: DataFrame
     candidates: DataFrame
+    unique: bool = True
 
     @classmethod
-    def of(cls, nodes: DataFrame, edges: DataFrame, candidates: DataFrame | None = None) -> CodeGraph:
+    def of(cls, nodes: DataFrame, edges: DataFrame, candidates: DataFrame | None = None, unique: bool = False) -> CodeGraph:
         """From tables in the model's schema; graph_id may be missing in all of them (one graph)."""
         if "graph_id" not in nodes.columns:
             nodes, edges = nodes.withColumn("graph_id", F.lit(0)), edges.withColumn("graph_id", F.lit(0))
             candidates = None if candidates is None else candidates.withColumn("graph_id", F.lit(0))
         # columns beyond the model are dropped, so that none clashes with an operator's own
-        nodes, edges = (x.select(*[c for c in x.columns if c == "graph_id" or c in known]) for x, known in ((nodes, _names(NODE_DDL)), (edges, _names(EDGE_DDL))))
-        n = nodes.where(F.col("graph_id").isNotNull() & F.col("node_id").isNotNull()).dropDuplicates(["graph_id", "node_id"])
-        n = n.withColumn("nid", packed(F.col("graph_id"), F.col("node_id"))).withColumn("lang", plain_lang(F.col("lang")))
-        e = edges.where(F.col("graph_id").isNotNull() & F.col("edge_id").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()).dropDuplicates(["graph_id", "edge_id"])
-        e = e.select(*[c for c in e.columns if c not in ("src", "dst", "candidate_group")], packed(F.col("graph_id"), F.col("edge_id")).alias("eid"), *[packed(F.col("graph_id"), F.col(c)).alias(c) for c in ("src", "dst", "candidate_group")])
-        spark = nodes.sparkSession
+        known = [c for c in nodes.columns if c != "lang" and (c == "graph_id" or c in _NODE_COLUMNS)]
+        n = nodes.where("graph_id is not null and node_id is not null").selectExpr(*known, f"{_packed('node_id')} as nid", *([f"{_LANG} as lang"] if "lang" in nodes.columns else []))
+        ends = ("src", "dst", "candidate_group")
+        known = [c for c in edges.columns if c not in ends and (c == "graph_id" or c in _EDGE_COLUMNS)]
+        e = edges.where("graph_id is not null and edge_id is not null and src is not null and dst is not null").selectExpr(*known, f"{_packed('edge_id')} as eid", *[f"{_packed(c)} as {c}" for c in ends if c in edges.columns])
         if candidates is None:
-            c = spark.createDataFrame([], "grp long, dst long, rank int")
+            c = nodes.sparkSession.createDataFrame([], "grp long, dst long, rank int")
         else:
-            c = candidates.where(F.col("graph_id").isNotNull() & F.col("candidate_group").isNotNull()).select(packed(F.col("graph_id"), F.col("candidate_group")).alias("grp"), packed(F.col("graph_id"), F.col("dst")).alias("dst"), "rank").distinct()
-        return cls(n, e, c)
+            c = candidates.where("graph_id is not null and candidate_group is not null").selectExpr(f"{_packed('candidate_group')} as grp", f"{_packed('dst')} as dst", "rank")
+            c = c if unique else c.distinct()
+        return cls(n, e, c, unique)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> CodeGraph:
@@ -81,8 +96,31 @@ class CodeGraph:
 
     def at(self, graph_id: int) -> CodeGraph:
         """One graph of many."""
-        n, e = self.nodes.where(F.col("graph_id") == graph_id), self.edges.where(F.col("graph_id") == graph_id)
-        return CodeGraph(n, e, self.candidates.where(F.shiftright("grp", 32) == graph_id))
+        n, e = self.raw_nodes.where(F.col("graph_id") == graph_id), self.raw_edges.where(F.col("graph_id") == graph_id)
+        return CodeGraph(n, e, self.candidates.where(F.shiftright("grp", 32) == graph_id), self.unique)
+
+    def _once(self, df: DataFrame) -> DataFrame:
+        return df if self.unique else df.distinct()
+
+    def node_rows(self, *columns: str, where: Column | None = None) -> DataFrame:
+        """nid and the named columns of the nodes a condition admits, each node once."""
+        x = self.raw_nodes if where is None else self.raw_nodes.where(where)
+        return self._once(x.select("nid", *[c for c in columns if c != "nid"]))
+
+    def edge_rows(self, *columns: str, where: Column | None = None) -> DataFrame:
+        """eid and the named columns of the edges a condition admits, each edge once."""
+        x = self.raw_edges if where is None else self.raw_edges.where(where)
+        return self._once(x.select("eid", *[c for c in columns if c != "eid"]))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """All columns of each node once; ask node_rows for some."""
+        return self._once(self.raw_nodes)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """All columns of each edge once; ask edge_rows for some."""
+        return self._once(self.raw_edges)
 
     @cached_property
     def group_sizes(self) -> DataFrame:
@@ -90,8 +128,8 @@ class CodeGraph:
         return self.candidates.groupBy(F.col("grp").alias("candidate_group")).agg(F.count(F.lit(1)).alias("size"))
 
     def find(self, pattern: str) -> DataFrame:
-        """nodes whose name matches a pattern."""
-        return self.nodes.where(matches(pattern, F.col("fqn")))
+        """nid, graph_id, fqn, kind, file and line_start of the nodes whose name matches a pattern."""
+        return self.node_rows("graph_id", "fqn", "kind", "file", "line_start", where=matches(pattern, F.col("fqn")))
 
     def views(self, prefix: str = "") -> None:
         """Register the read views: v_symbols, v_call_edges (all edges), v_data_flow_edges, v_call_sites, v_provenance."""

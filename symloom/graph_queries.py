@@ -57,7 +57,7 @@ _FLOW_START = "nid IN (SELECT src FROM e WHERE kind = 'derives-from')"
 
 
 def _flow_subjects(g: CodeGraph) -> DataFrame:
-    e = g.edges.where(F.col("kind") == "derives-from")
+    e = g.raw_edges.where(F.col("kind") == "derives-from")
     return e.groupBy("graph_id").agg(F.min("src").alias("root")).select("root", F.col("root").alias("node"))
 
 
@@ -132,7 +132,7 @@ query("interface_map", """SELECT DISTINCT e.graph_id, s.fqn AS type, t.fqn AS in
 query("dependency_footprint", _bfs_sql(f"fqn = '{BOOT}'", 2, True, columns="w.root, count(*) AS total, count(*) FILTER (w.depth = 1) AS direct, count(*) FILTER (n.file = '<external>') AS external") + " GROUP BY w.root", True)(lambda g: ask.dependency_footprint(g, BOOT))
 query("dump_symbol", "SELECT DISTINCT e.eid, e.src, e.dst, e.kind FROM e JOIN n ON n.nid IN (e.src, e.dst) WHERE contains(n.fqn, 'rand')")(lambda g: ask.dump(g, "rand").select("eid", "src", "dst", "kind"))
 query("export_edges", "SELECT eid, src, dst, kind FROM c WHERE kind = 'calls-virtual' AND coalesce(confidence, 'possible') <> 'possible' AND eid >= 8589934592 ORDER BY eid LIMIT 1000")(lambda g: ask.export_edges(g, 2 << 32, 1000, "calls-virtual", "probable").select("eid", "src", "dst", "kind"))
-query("page_of_nodes", "SELECT nid, fqn FROM n ORDER BY nid LIMIT 20 OFFSET 40")(lambda g: ask.page(g.nodes.select("nid", "fqn"), ["nid"], 40))
+query("page_of_nodes", "SELECT nid, fqn FROM n ORDER BY nid LIMIT 20 OFFSET 40")(lambda g: ask.page(g.node_rows("fqn"), ["nid"], 40))
 query(
     "doctor",
     f"""--cte ee AS (SELECT graph_id, count(*) AS n_edges, count(*) FILTER (kind IN {_CALLS}) AS n_calls, count(*) FILTER (kind IN {_CALLS} AND confidence = 'certain') AS n_certain, count(*) FILTER (kind IN {_CALLS} AND confidence = 'probable') AS n_probable,
@@ -144,15 +144,15 @@ SELECT graph_id, n_nodes, n_edges, n_calls, n_certain, n_probable, n_possible, c
  CASE WHEN odd >= 2 THEN 'low' WHEN odd > 0 OR coalesce(ur, 0) > 0.3 OR coalesce(ps, 0) > 0.6 THEN 'moderate' ELSE 'high' END AS trust FROM q""",
 )(lambda g: ask.doctor(g).select("graph_id", "n_nodes", "n_edges", "n_calls", "n_certain", "n_probable", "n_possible", "cut_unresolved", "cut_external", "n_dangling", "trust"))
 query("max_candidates", f"""--cte sz AS (SELECT graph_id, candidate_group, count(*) AS size FROM (SELECT DISTINCT * FROM candidates) GROUP BY ALL)
-SELECT c.eid FROM c LEFT JOIN sz ON sz.graph_id = c.graph_id AND sz.candidate_group = c.candidate_group WHERE coalesce(sz.size, 1) <= 2""")(lambda g: EdgeFilter(max_candidates=2).apply(g).select("eid"))
-query("effects_own", "SELECT graph_id, CAST(bit_or(own_effects) AS INT) AS effects, count(*) AS n FROM n GROUP BY graph_id")(lambda g: g.nodes.groupBy("graph_id").agg(F.bit_or("own_effects").alias("effects"), F.count(F.lit(1)).alias("n")))
-query("call_sites", "SELECT DISTINCT graph_id, site_id, src AS caller, stmt_index FROM e WHERE site_id IS NOT NULL")(lambda g: g.edges.where(F.col("site_id").isNotNull()).select("graph_id", "site_id", F.col("src").alias("caller"), "stmt_index").distinct())
+SELECT c.eid FROM c LEFT JOIN sz ON sz.graph_id = c.graph_id AND sz.candidate_group = c.candidate_group WHERE coalesce(sz.size, 1) <= 2""")(lambda g: EdgeFilter(max_candidates=2).apply(g, "eid"))
+query("effects_own", "SELECT graph_id, CAST(bit_or(own_effects) AS INT) AS effects, count(*) AS n FROM n GROUP BY graph_id")(lambda g: g.node_rows("graph_id", "own_effects").groupBy("graph_id").agg(F.bit_or("own_effects").alias("effects"), F.count(F.lit(1)).alias("n")))
+query("call_sites", "SELECT DISTINCT graph_id, site_id, src AS caller, stmt_index FROM e WHERE site_id IS NOT NULL")(lambda g: g.raw_edges.where(F.col("site_id").isNotNull()).select("graph_id", "site_id", F.col("src").alias("caller"), "stmt_index").distinct())
 _IMPACT_SQL = """--cte ch AS (SELECT nid FROM n WHERE fqn LIKE '%::net::%' AND kind = 'function'),
 own AS (SELECT graph_id, fqn, min(nid) AS nid FROM n GROUP BY ALL),
 st AS (SELECT dst AS a, src AS b FROM c UNION SELECT l.nid, o.nid FROM n l JOIN own o ON o.graph_id = l.graph_id AND o.fqn = regexp_extract(l.fqn, '^(.*)::\\{(?:closure|func)@[^{}]*\\}$', 1)),
 w AS (SELECT nid FROM ch UNION SELECT st.b FROM w JOIN st ON st.a = w.nid)
 SELECT n.graph_id, n.nid AS test, n.fqn FROM w JOIN n ON n.nid = w.nid WHERE n.entrypoint_kind = 'test'"""
-query("impacted_tests", _IMPACT_SQL, True)(lambda g: ask.impacted_tests(g, g.nodes.where(F.col("fqn").like("%::net::%") & (F.col("kind") == "function")).select("nid")).select("graph_id", "test", "fqn"))
+query("impacted_tests", _IMPACT_SQL, True)(lambda g: ask.impacted_tests(g, g.raw_nodes.where(F.col("fqn").like("%::net::%") & (F.col("kind") == "function")).select("nid")).select("graph_id", "test", "fqn"))
 
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:

@@ -17,6 +17,7 @@ from ..model import CALLABLE
 from ..operators import hierarchy
 from ..session import cut
 from .facts import Facts
+from .numbering import dense_order
 
 # Kinds of references and the edges they become.
 EDGE_OF = {
@@ -34,16 +35,6 @@ class Options:
     receivers: bool = False
 
 
-def dense_order(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """df with `name`: 0, 1, ... in the given total order. Rows are ranged over partitions; only the partitions' sizes meet in one place."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    held = cut(ranged)
-    local = held.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1)
-    sizes = held.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    start = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__start"))  # a row per partition
-    return local.join(start, "__p").withColumn(name, (F.col("__start") + F.col("__i")).cast("int")).drop("__p", "__i", "__start")
-
-
 def _short(fqn: Column) -> Column:
     return F.element_at(F.split(fqn, "::"), -1)
 

@@ -13,6 +13,7 @@ from ..operators import walk
 from ..operators.ask import entrypoints
 from ..operators.filters import EdgeFilter
 from ..session import cut
+from .numbering import dense_order
 
 #: A candidate set beyond this is kept whole but marked as unresolved.
 SUPERNODE = 64
@@ -28,10 +29,10 @@ def effect_closure(g: CodeGraph) -> DataFrame:
 
     Each effect walks backward from the nodes that have it, all effects at once; nodes on a circle share theirs by themselves.
     """
-    steps = walk.oriented(EdgeFilter(kinds=CALL_FAMILY[:6]).apply(g), False)
-    bits = g.nodes.where(F.col("own_effects") > 0).select(F.col("nid").alias("node"), F.explode(F.expr("filter(transform(sequence(0, 15), i -> int(shiftleft(1, i))), b -> (own_effects & b) > 0)")).alias("root"))
+    steps = walk.oriented(EdgeFilter(kinds=CALL_FAMILY[:6]).raw(g), False)
+    bits = g.raw_nodes.where(F.col("own_effects") > 0).select(F.col("nid").alias("node"), F.explode(F.expr("filter(transform(sequence(0, 15), i -> int(shiftleft(1, i))), b -> (own_effects & b) > 0)")).alias("root"))
     got = walk.reached(steps, bits.select(F.col("root").cast("long").alias("root"), "node"), by_root=True)
-    return g.nodes.select("nid").join(got.groupBy(F.col("node").alias("nid")).agg(F.bit_or("root").cast("int").alias("x")), "nid", "left").select("nid", F.coalesce("x", F.lit(0)).alias("transitive_effects"))
+    return g.node_rows().join(got.groupBy(F.col("node").alias("nid")).agg(F.bit_or("root").cast("int").alias("x")), "nid", "left").select("nid", F.coalesce("x", F.lit(0)).alias("transitive_effects"))
 
 
 def with_effects(g: CodeGraph) -> CodeGraph:
@@ -40,7 +41,7 @@ def with_effects(g: CodeGraph) -> CodeGraph:
 
 def supertypes(g: CodeGraph) -> DataFrame:
     """(sub, super): each type with the traits or classes it implements or inherits, through any number of steps, and itself."""
-    e = g.edges.where(F.col("kind").isin("implements", "inherits"))
+    e = g.raw_edges.where(F.col("kind").isin("implements", "inherits"))
     steps = walk.oriented(e)
     types = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return walk.reached(steps, types.select(F.col("node").alias("root"), "node"), by_root=True).select(F.col("root").alias("sub"), F.col("node").alias("super"))
@@ -53,8 +54,8 @@ def cha_targets(g: CodeGraph) -> DataFrame:
     the declaring type's, unless that is abstract.
     """
     up = cut(supertypes(g))
-    own = g.nodes.where(F.col("kind").isin("method", "function")).select("graph_id", F.col("nid").alias("body"), short_name(F.col("fqn")).alias("method"), owner(F.col("fqn")).alias("type"), "is_abstract")
-    types = g.nodes.where(F.col("kind") == "type").groupBy("graph_id", F.col("fqn").alias("type")).agg(F.min("nid").alias("t"))
+    own = g.node_rows("graph_id", "fqn", "is_abstract", where=F.col("kind").isin("method", "function")).select("graph_id", F.col("nid").alias("body"), short_name(F.col("fqn")).alias("method"), owner(F.col("fqn")).alias("type"), "is_abstract")
+    types = g.raw_nodes.where(F.col("kind") == "type").groupBy("graph_id", F.col("fqn").alias("type")).agg(F.min("nid").alias("t"))
     has = cut(own.join(types, ["graph_id", "type"]).select("graph_id", "t", "method", "body", "is_abstract"))
     declared = has.join(up.select(F.col("super").alias("t")).distinct(), "t", "left_semi")
     below = declared.select("graph_id", "method", F.col("t").alias("super"), F.col("body").alias("default"), "is_abstract").join(up, "super")
@@ -64,12 +65,17 @@ def cha_targets(g: CodeGraph) -> DataFrame:
 
 
 def _renumbered(g: CodeGraph, edges: DataFrame) -> CodeGraph:
-    """edges with groups by `grp` (any long) as a graph; ids are in the canonical order within each graph."""
+    """edges with groups by `grp` (any long) as a graph; ids are in the canonical order within each graph.
+
+    Rows are ranged in that order and numbered by partition; a graph's first number is taken off, so a large graph is spread over many tasks.
+    """
     from ..graph import kind_order
 
-    order = W.partitionBy("graph_id").orderBy("src", "dst", kind_order(F.col("kind")), F.col("stmt_index").asc_nulls_last(), F.col("grp").asc_nulls_last(), "site_id", "rule")
-    e = edges.withColumn("edge_id", (F.row_number().over(order) - 1).cast("int")).withColumn("eid", F.shiftleft(F.col("graph_id").cast("long"), 32) + F.col("edge_id"))
-    e = cut(e.withColumn("candidate_group", F.col("grp")))
+    e = edges.withColumn("__k", kind_order(F.col("kind"))).withColumn("__s", F.coalesce("stmt_index", F.lit(2**31 - 1))).withColumn("__g", F.coalesce("grp", F.lit(2**63 - 1)))
+    e = dense_order(e, "__no", "graph_id", "src", "dst", "__k", "__s", "__g", "site_id", "rule")
+    first = e.groupBy("graph_id").agg(F.min("__no").alias("__first"))
+    e = e.join(first, "graph_id").withColumn("edge_id", (F.col("__no") - F.col("__first")).cast("int")).withColumn("eid", F.shiftleft(F.col("graph_id").cast("long"), 32) + F.col("edge_id"))
+    e = cut(e.drop("__k", "__s", "__g", "__no", "__first").withColumn("candidate_group", F.col("grp")))
     ranked = e.where(F.col("grp").isNotNull()).select("grp", "dst", (F.row_number().over(W.partitionBy("grp").orderBy("dst")) - 1).alias("rank"))
     return CodeGraph(g.nodes, e.drop("grp"), cut(ranked))
 
@@ -79,9 +85,9 @@ def cha(g: CodeGraph) -> CodeGraph:
 
     One site is one caller and site id; a method no declaring type knows stays as it is. One target is probable, several are possible.
     """
-    sites = g.edges.where((F.col("kind") == "calls-virtual") & (F.col("rule") == "name-method") & F.col("site_id").isNotNull())
+    sites = g.raw_edges.where((F.col("kind") == "calls-virtual") & (F.col("rule") == "name-method") & F.col("site_id").isNotNull())
     first = sites.groupBy("graph_id", "src", "site_id").agg(F.min(F.struct("eid", "dst")).alias("x")).select("graph_id", "src", "site_id", F.col("x.eid").alias("eid"), F.col("x.dst").alias("first"))
-    named = first.join(g.nodes.select(F.col("nid").alias("first"), short_name(F.col("fqn")).alias("method")), "first").drop("first")
+    named = first.join(g.node_rows("fqn").select(F.col("nid").alias("first"), short_name(F.col("fqn")).alias("method")), "first").drop("first")
     hits = cut(named.join(cha_targets(g), ["graph_id", "method"]))
     if hits.isEmpty():
         return g
@@ -103,13 +109,14 @@ def rta(g: CodeGraph) -> CodeGraph:
     construction, nor at a site with a cut.
     """
     roots = entrypoints(g).withColumn("graph_id", F.shiftright("nid", 32).cast("int"))
-    without = g.nodes.where(F.col("kind").isin("function", "method", "lambda")).join(roots.select("graph_id").distinct(), "graph_id", "left_anti").select("nid")
-    live = cut(walk.reached(walk.oriented(EdgeFilter().apply(g)), roots.select("nid").unionByName(without).select(F.col("nid").alias("node"))))
-    made = g.edges.where(F.col("kind") == "instantiates").join(live.withColumnRenamed("node", "src"), "src", "left_semi")
+    without = g.raw_nodes.where(F.col("kind").isin("function", "method", "lambda")).join(roots.select("graph_id").distinct(), "graph_id", "left_anti").select("nid")
+    live = cut(walk.reached(walk.oriented(EdgeFilter().raw(g)), roots.select("nid").unionByName(without).select(F.col("nid").alias("node"))))
+    made = g.raw_edges.where(F.col("kind") == "instantiates").join(live.withColumnRenamed("node", "src"), "src", "left_semi")
     cut_graphs = made.where(F.size("cut_markers") > 0).select("graph_id").distinct().withColumn("cut", F.lit(True))
-    types = made.join(g.nodes.select(F.col("nid").alias("dst"), F.col("fqn").alias("type")), "dst").select("graph_id", "type").distinct().withColumn("made", F.lit(True))
-    s = g.edges.where((F.col("rule") == "cha-trait-set") & F.col("site_id").isNotNull()).join(g.nodes.select(F.col("nid").alias("dst"), owner(F.col("fqn")).alias("type")), "dst")
-    s = s.join(types, ["graph_id", "type"], "left").join(F.broadcast(cut_graphs) if cut_graphs.count() < 100_000 else cut_graphs, "graph_id", "left")
+    types = made.join(g.raw_nodes.select(F.col("nid").alias("dst"), F.col("fqn").alias("type")), "dst").select("graph_id", "type").distinct().withColumn("made", F.lit(True))
+    s = g.edge_rows("graph_id", "src", "dst", "site_id", "cut_markers", where=(F.col("rule") == "cha-trait-set") & F.col("site_id").isNotNull())
+    s = s.join(g.node_rows("fqn").select(F.col("nid").alias("dst"), owner(F.col("fqn")).alias("type")), "dst")
+    s = s.join(types, ["graph_id", "type"], "left").join(cut_graphs, "graph_id", "left")
     site = W.partitionBy("graph_id", "src", "site_id")
     keep = F.coalesce("made", F.lit(False)) | (F.col("type") == "")
     s = s.withColumn("keep", keep).withColumn("n_keep", F.count_if(F.col("keep")).over(site)).withColumn("n", F.count(F.lit(1)).over(site)).withColumn("cuts", F.max(F.size("cut_markers")).over(site))
@@ -125,8 +132,8 @@ def rta(g: CodeGraph) -> CodeGraph:
 def signature_match(g: CodeGraph) -> CodeGraph:
     """Calls through a value (rule indirect:<n>) get all closures and free functions of their language with n parameters; ? fits any."""
     n_params = F.size("signature.params")
-    targets = g.nodes.where(F.col("kind").isin("lambda", "function")).select("graph_id", "lang", F.when(F.col("signature").isNotNull(), n_params).alias("n"), F.col("nid").alias("to"))
-    holes = g.edges.where(F.col("rule").startswith("indirect:")).join(g.nodes.select(F.col("nid").alias("src"), "lang"), "src").withColumn("want", F.element_at(F.split("rule", ":"), 2))
+    targets = g.node_rows("graph_id", "lang", "signature", where=F.col("kind").isin("lambda", "function")).select("graph_id", "lang", F.when(F.col("signature").isNotNull(), n_params).alias("n"), F.col("nid").alias("to"))
+    holes = g.edge_rows("graph_id", "src", "rule", where=F.col("rule").startswith("indirect:")).join(g.node_rows("lang").withColumnRenamed("nid", "src"), "src").withColumn("want", F.element_at(F.split("rule", ":"), 2))
     exact = holes.where(F.col("want") != "?").join(targets.withColumn("want", F.col("n").cast("string")), ["graph_id", "lang", "want"]).select("eid", "to")
     loose = holes.where(F.col("want") == "?").join(targets, ["graph_id", "lang"]).select("eid", "to")
     hits = cut(exact.unionByName(loose))

@@ -22,17 +22,18 @@ NODE = ("nid", "graph_id", "fqn", "kind", "file", "line_start")
 
 def seeds(g: CodeGraph, pattern: str) -> DataFrame:
     """(root, node): the nodes a pattern names, each its own root."""
-    return g.find(pattern).select(F.col("nid").alias("root"), F.col("nid").alias("node"))
+    return g.raw_nodes.where(matches(pattern, F.col("fqn"))).select(F.col("nid").alias("root"), F.col("nid").alias("node")).distinct()
 
 
 def resolve_one(g: CodeGraph, pattern: str) -> DataFrame:
     """(root, node) of the first match by id in each graph, as a query with one subject takes it."""
-    return g.find(pattern).groupBy("graph_id").agg(F.min("nid").alias("root")).select("root", F.col("root").alias("node"))
+    return g.raw_nodes.where(matches(pattern, F.col("fqn"))).groupBy("graph_id").agg(F.min("nid").alias("root")).select("root", F.col("root").alias("node"))
 
 
-def _described(g: CodeGraph, found: DataFrame) -> DataFrame:
-    n = g.nodes.select(*NODE)
-    return found.join(n.withColumnRenamed("nid", "node"), "node")
+def _described(g: CodeGraph, found: DataFrame, *keys: str) -> DataFrame:
+    """found with what is asked of its nodes. Duplicates of nodes go after the join, when few are left; keys name a row of found."""
+    x = found.join(g.raw_nodes.select(*NODE).withColumnRenamed("nid", "node"), "node")
+    return x if g.unique else x.dropDuplicates(list(keys))
 
 
 def neighbors(g: CodeGraph, subject: DataFrame, forward: bool, depth: int | None = 2, admit: EdgeFilter = EdgeFilter()) -> DataFrame:
@@ -41,10 +42,8 @@ def neighbors(g: CodeGraph, subject: DataFrame, forward: bool, depth: int | None
     Columns: root, nid, graph_id, fqn, kind, file, line_start, depth, via, condition, confidence, min_confidence, raised. The subject is never in the
     answer, so direct recursion doesn't show.
     """
-    e = admit.apply(g)
-    found = walk.bfs(walk.oriented(e, forward), subject, depth)
-    via = e.select(F.col("eid").alias("via"), "condition", "confidence")
-    x = _described(g, found).withColumn("via", F.element_at("edges", -1)).join(via, "via")
+    found = walk.bfs(walk.oriented(admit.raw(g), forward), subject, depth)
+    x = _described(g, found, "root", "node").withColumn("via", F.element_at("edges", -1))
     return x.select("root", F.col("node").alias("nid"), "graph_id", "fqn", "kind", "file", "line_start", "depth", "via", "condition", "confidence", token(F.col("conf"), CONFIDENCES).alias("min_confidence"), "raised")
 
 
@@ -67,12 +66,12 @@ def flows_to(g: CodeGraph, pattern: str, depth: int | None = 2) -> DataFrame:
 
 def neighborhood(g: CodeGraph, pattern: str, forward: bool = True, depth: int | None = 2, admit: EdgeFilter = EdgeFilter()) -> DataFrame:
     """(root, src, dst, eid): all admitted edges among the subject and what it reaches, in the direction of the walk."""
-    subject = cut(resolve_one(g, pattern))
-    e = admit.apply(g)
-    steps = walk.oriented(e, forward)
+    subject = resolve_one(g, pattern)
+    steps = walk.oriented(admit.raw(g), forward)
     nodes = cut(walk.bfs(steps, subject, depth).select("root", "node").unionByName(subject))
     inner = steps.select("node", "peer", "edge").join(nodes, "node").join(nodes.withColumnRenamed("node", "peer"), ["root", "peer"], "left_semi")
-    return inner.select("root", F.col("node").alias("src"), F.col("peer").alias("dst"), F.col("edge").alias("eid"))
+    inner = inner.select("root", F.col("node").alias("src"), F.col("peer").alias("dst"), F.col("edge").alias("eid"))
+    return inner if g.unique else inner.distinct()
 
 
 def reaches(g: CodeGraph, source: str, target: str, depth: int | None = None, admit: EdgeFilter = EdgeFilter()) -> DataFrame:
@@ -80,9 +79,8 @@ def reaches(g: CodeGraph, source: str, target: str, depth: int | None = None, ad
 
     A subject reaches itself by the path of one node.
     """
-    a, b = cut(resolve_one(g, source)), resolve_one(g, target)
-    goals = cut(a.withColumn("g", F.shiftright("root", 32)).join(b.select(F.shiftright("root", 32).alias("g"), F.col("node").alias("goal")), "g").select("root", F.col("goal").alias("node")))
-    found = walk.bfs(walk.oriented(admit.apply(g)), a.join(goals.select("root").distinct(), "root", "left_semi"), depth, goals)
+    goals = _goals(g, source, target)
+    found = walk.bfs(walk.oriented(admit.raw(g)), goals.select("root", F.col("root").alias("node")), depth, goals)
     hit = found.join(goals, ["root", "node"], "left_semi").select("root", "node", "depth", "path", "edges")
     same = goals.where(F.col("root") == F.col("node")).select("root", "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.array().cast("array<bigint>").alias("edges"))
     return hit.unionByName(same)
@@ -94,49 +92,42 @@ def simple_paths(g: CodeGraph, source: str, target: str, depth: int | None = 6,
     The first `cap` in order of their nodes and edges are given, as a report of paths does; cap None gives all. From a node to itself
     there is none.
     """
-    a, b = cut(resolve_one(g, source)), resolve_one(g, target)
-    goals = cut(a.withColumn("g", F.shiftright("root", 32)).join(b.select(F.shiftright("root", 32).alias("g"), F.col("node").alias("goal")), "g").select("root", F.col("goal").alias("node")))
-    found = walk.paths(_towards(walk.oriented(admit.apply(g)), goals, depth), a, goals, 1, depth)
+    goals = _goals(g, source, target)
+    near = _towards(walk.oriented(admit.raw(g)), goals, depth)
+    found = walk.paths(near, goals.select("root", F.col("root").alias("node")), goals, 1, depth)
     interleaved = F.flatten(F.zip_with(F.slice(F.col("path"), F.lit(2), F.size("edges")), F.col("edges"), lambda n, e: F.array(n, e)))
     return walk.capped(found.withColumn("__o", interleaved), ["root", "node"], [F.col("__o")], cap).drop("__o")
 
 
+def _goals(g: CodeGraph, source: str, target: str) -> DataFrame:
+    """(root, node): the first match of source and that of target, in each graph that has both."""
+    a, b = resolve_one(g, source), resolve_one(g, target)
+    return cut(a.select(F.shiftright("root", 32).alias("g"), "root").join(b.select(F.shiftright("root", 32).alias("g"), "node"), "g").select("root", "node"))
+
+
 def _towards(steps: DataFrame, goals: DataFrame, depth: int | None) -> DataFrame:
     """Steps that can still lead to a goal: what walks backward from the goals within depth finds. It changes no path, only what is tried."""
     back = steps.select(F.col("peer").alias("node"), F.col("node").alias("peer"))
-    if depth is None:
-        near = walk.reached(back, goals)
-    else:
-        start = goals.select(F.col("node").alias("root"), "node").distinct()
-        front = cut(start.select("node"))
-        layers = [front]
-        thin = back.distinct()
-        for _ in range(depth - 1):
-            new = front.join(thin, "node").select(F.col("peer").alias("node")).distinct()
-            front = cut(new.join(reduce(DataFrame.unionByName, layers), "node", "left_anti"))
-            if front.isEmpty():
-                break
-            layers.append(front)
-        near = reduce(DataFrame.unionByName, layers)
-    return steps.join(near.distinct().withColumnRenamed("node", "peer"), "peer", "left_semi")
+    near = walk.reached(back, goals, most=None if depth is None else depth - 1)
+    return cut(steps.join(near.withColumnRenamed("node", "peer"), "peer", "left_semi"))
 
 
 def entrypoints(g: CodeGraph) -> DataFrame:
-    return g.nodes.where(F.col("entrypoint_kind").isNotNull()).select("nid")
+    return g.raw_nodes.where(F.col("entrypoint_kind").isNotNull()).select("nid")
 
 
 def unused(g: CodeGraph, roots: DataFrame | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
     """Nodes no root reaches over the call family. roots (nid), by default all entry points; kinds limits what is reported."""
     roots = entrypoints(g) if roots is None else roots
-    live = walk.reached(walk.oriented(EdgeFilter().apply(g)), roots.select(F.col("nid").alias("node")))
-    n = g.nodes.where(F.col("kind").isin(*kinds)) if kinds else g.nodes
+    live = walk.reached(walk.oriented(EdgeFilter().raw(g)), roots.select(F.col("nid").alias("node")))
+    n = g.node_rows(*NODE, where=F.col("kind").isin(*kinds) if kinds else None)
     return n.join(live.withColumnRenamed("node", "nid"), "nid", "left_anti").select(*NODE)
 
 
 def explain(g: CodeGraph, pattern: str) -> DataFrame:
     """Edges next to the subject: root, direction, peer, eid, kind, condition, confidence, tier, rule. One edge, that of the least id, per peer; loops don't show."""
     subject = resolve_one(g, pattern)
-    e = EdgeFilter().apply(g)
+    e = EdgeFilter().raw(g)  # repeated edges have the least id together
     out = []
     for name, a, b in (("caller", "dst", "src"), ("callee", "src", "dst")):
         near = e.join(subject.select(F.col("node").alias(a)), a).where(F.col("src") != F.col("dst"))
@@ -151,7 +142,7 @@ def degrees(g: CodeGraph) -> DataFrame:
     A loop counts once each way; nodes without edges stay with zeros. Each end is counted apart with map-side sums, so a node with very
     many edges costs no single task.
     """
-    e = g.edges.where(F.col("kind").isin(*CALL_FAMILY, "derives-from"))
+    e = g.edge_rows("src", "dst", "kind", "condition", "confidence", where=F.col("kind").isin(*CALL_FAMILY, "derives-from"))
     call = F.col("kind").isin(*CALL_FAMILY)
     ends = []
     for side, c in (("outbound", "src"), ("inbound", "dst")):
@@ -160,7 +151,7 @@ def degrees(g: CodeGraph) -> DataFrame:
                 F.count(F.lit(1)).alias(side), F.count_if(call).alias(f"{side}_calls"), F.count_if(~call).alias(f"{side}_flows"), F.count_if(F.col("condition").isin("exception", "panic")).alias(f"{side}_exceptional"), F.count_if(F.col("confidence") == "certain").alias(f"{side}_certain")
             )
         )
-    out = g.nodes.select(*NODE).join(ends[0], "nid", "left").join(ends[1], "nid", "left")
+    out = g.node_rows(*NODE).join(ends[0], "nid", "left").join(ends[1], "nid", "left")
     counts = [c for c in out.columns if c.split("_")[0] in ("outbound", "inbound")]
     return out.fillna(0, counts).withColumn("total", F.col("inbound") + F.col("outbound"))
 
@@ -176,10 +167,7 @@ def search(g: CodeGraph, text: str, regex: bool = False, kinds: tuple[str, ...]
     if not text:
         raise ValueError("an empty search pattern matches everything")
     hit = F.col("fqn").rlike(f"(?i){text}") if regex else F.lower("fqn").contains(text.lower())
-    n = g.nodes.where(hit)
-    if kinds:
-        n = n.where(F.col("kind").isin(*kinds))
-    n = n.select(*NODE).orderBy("fqn", "file", "line_start", "nid")
+    n = g.node_rows(*NODE, where=hit & F.col("kind").isin(*kinds) if kinds else hit).orderBy("fqn", "file", "line_start", "nid")
     return n if limit is None else n.limit(limit)
 
 
@@ -187,17 +175,17 @@ def selected(g: CodeGraph, selector: str, agnostic: bool = False) -> DataFrame:
     """Nodes a selector matches, with cross_language for those of another language's syntax."""
     fqn, lang = F.col("fqn"), F.col("lang")
     flag = cross_language(selector, fqn, lang) if agnostic else F.lit(False)
-    return g.nodes.where(select(selector, fqn, lang, agnostic)).select(*NODE, flag.alias("cross_language"))
+    return g.node_rows(*NODE, "lang", where=select(selector, fqn, lang, agnostic)).select(*NODE, flag.alias("cross_language"))
 
 
 def resolve_all(g: CodeGraph, selectors: list[str], agnostic: bool = False) -> DataFrame:
     """(selector, nid, fqn): many selectors in one pass over the nodes."""
     each = F.array(*[F.when(select(s, F.col("fqn"), F.col("lang"), agnostic), F.lit(s)) for s in selectors])
-    return g.nodes.select("nid", "fqn", F.explode(F.array_compact(each)).alias("selector"))
+    return g.node_rows("fqn", "lang").select("nid", "fqn", F.explode(F.array_compact(each)).alias("selector"))
 
 
 def nodes_of_kind(g: CodeGraph, *kinds: str) -> DataFrame:
-    return g.nodes.where(F.col("kind").isin(*kinds)).select(*NODE)
+    return g.node_rows(*NODE, where=F.col("kind").isin(*kinds)).select(*NODE)
 
 
 _OWNER = r"^(.*)::\{(?:closure|func)@[^{}]*\}$"
@@ -210,29 +198,30 @@ def impacted_tests(g: CodeGraph, changed: DataFrame, tests_only: bool = True) ->
     depth counts the steps of the shortest chain found, lifts included; path leads from the test to the changed node. A chain with a lift has the
     confidence possible, any other its weakest edge.
     """
-    steps = walk.oriented(EdgeFilter().apply(g), False)
+    steps = walk.oriented(EdgeFilter().raw(g), False)
     changed = changed.select("nid").distinct()
-    by_name = g.nodes.groupBy("graph_id", "fqn").agg(F.min("nid").alias("owner"))
-    lambdas = g.nodes.withColumn("holder", F.regexp_extract("fqn", _OWNER, 1)).where(F.col("holder") != "")
-    lifts = lambdas.select("graph_id", F.col("nid").alias("node"), F.col("holder").alias("fqn")).join(by_name, ["graph_id", "fqn"]).select("node", F.col("owner").alias("peer"))
-    lift_steps = lifts.select("node", "peer", F.lit(None).cast("bigint").alias("edge"), F.lit(False).alias("spawns"), F.lit(False).alias("raises"), F.lit(0).alias("conf"))
+    lambdas = g.raw_nodes.where(F.col("fqn").endswith("}")).withColumn("holder", F.regexp_extract("fqn", _OWNER, 1)).where(F.col("holder") != "")
+    lambdas = lambdas.select("graph_id", F.col("nid").alias("node"), F.col("holder").alias("fqn")).distinct()
+    holders = g.raw_nodes.join(lambdas.select("graph_id", "fqn").distinct(), ["graph_id", "fqn"], "left_semi").groupBy("graph_id", "fqn").agg(F.min("nid").alias("owner"))
+    lifts = lambdas.join(holders, ["graph_id", "fqn"]).select("node", F.col("owner").alias("peer"))
+    lift_steps = lifts.select("node", "peer", F.lit(None).cast("bigint").alias("edge"), F.lit(False).alias("spawns"), F.lit(False).alias("raises"), F.lit(0).alias("conf"), F.lit(None).cast("string").alias("condition"), F.lit(None).cast("string").alias("confidence"))
     # one root for all changed nodes: what matters is the nearest change
-    one = g.nodes.select("nid", "graph_id").join(changed, "nid", "left_semi").select((F.col("graph_id").cast("long")).alias("root"), F.col("nid").alias("node"))
+    one = changed.select(F.shiftright("nid", 32).alias("root"), F.col("nid").alias("node"))
     found = walk.bfs(steps.unionByName(lift_steps), one)
     own = one.select("root", "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(2).alias("conf"))
     every = found.select("root", "node", "depth", "path", "conf").unionByName(own)
-    t = g.nodes.where(F.col("entrypoint_kind") == "test") if tests_only else g.nodes
-    return every.join(t.select(F.col("nid").alias("node"), "graph_id", "fqn"), "node").select("graph_id", F.col("node").alias("test"), "fqn", "depth", F.reverse("path").alias("path"), token(F.col("conf"), CONFIDENCES).alias("confidence"))
+    t = g.node_rows("graph_id", "fqn", where=F.col("entrypoint_kind") == "test" if tests_only else None)
+    return every.join(t.withColumnRenamed("nid", "node"), "node").select("graph_id", F.col("node").alias("test"), "fqn", "depth", F.reverse("path").alias("path"), token(F.col("conf"), CONFIDENCES).alias("confidence"))
 
 
 def doctor(g: CodeGraph) -> DataFrame:
     """One row per graph: counts, confidence split, rates (null without calls), cut markers, anomalies and the trust they leave."""
     calls = F.col("kind").isin(*CALL_FAMILY)
-    e = g.edges.groupBy("graph_id").agg(
+    e = g.edge_rows("graph_id", "kind", "confidence", "cut_markers").groupBy("graph_id").agg(
         F.count(F.lit(1)).alias("n_edges"), F.count_if(calls).alias("n_calls"), *[F.count_if(calls & (F.col("confidence") == c)).alias(f"n_{c}") for c in CONFIDENCES],
         *[F.count_if(F.array_contains("cut_markers", m)).alias("cut_" + m.replace("-", "_")) for m in CUT_MARKERS],
     )
-    n = g.nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(F.coalesce("unresolved_calls", F.lit(0)) + F.coalesce("external_calls", F.lit(0)) + F.coalesce("narrowing.visible_dropped_out", F.lit(0))).alias("n_dangling"))
+    n = g.node_rows("graph_id", "unresolved_calls", "external_calls", "narrowing").groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(F.coalesce("unresolved_calls", F.lit(0)) + F.coalesce("external_calls", F.lit(0)) + F.coalesce("narrowing.visible_dropped_out", F.lit(0))).alias("n_dangling"))
     x = n.join(e, "graph_id", "left")
     x = x.fillna(0, [c for c in x.columns if c != "graph_id"])
     rate = lambda a, b: F.when(b > 0, a / b)
@@ -247,8 +236,8 @@ def doctor(g: CodeGraph) -> DataFrame:
 
 def interface_map(g: CodeGraph, interface: str | None = None, type_: str | None = None, limit: int | None = 500) -> DataFrame:
     """(graph_id, type, interface): implements pairs by name."""
-    n = g.nodes.select("nid", "fqn")
-    x = g.edges.where(F.col("kind") == "implements").select("graph_id", "src", "dst").distinct()
+    n = g.raw_nodes.select("nid", "fqn")  # pairs are made distinct by name at the end
+    x = g.raw_edges.where(F.col("kind") == "implements").select("graph_id", "src", "dst").distinct()
     x = x.join(n.select(F.col("nid").alias("src"), F.col("fqn").alias("type")), "src").join(n.select(F.col("nid").alias("dst"), F.col("fqn").alias("interface")), "dst")
     if interface:
         x = x.where(matches(interface, F.col("interface")))
@@ -269,9 +258,9 @@ def dump(g: CodeGraph, symbol: str | None = None) -> DataFrame:
     if symbol is None:
         return g.edges
     hit = (F.col("fqn") == symbol) | F.col("fqn").endswith("::" + symbol) | F.col("fqn").contains(symbol)
-    ids = g.nodes.where(hit).select("nid")
-    out = g.edges.join(ids.withColumnRenamed("nid", "src"), "src", "left_semi").unionByName(g.edges.join(ids.withColumnRenamed("nid", "dst"), "dst", "left_semi"))
-    return out.dropDuplicates(["eid"])
+    ids = g.raw_nodes.where(hit).select("nid").distinct()
+    e = g.raw_edges
+    return e.join(ids.withColumnRenamed("nid", "src"), "src", "left_semi").unionByName(e.join(ids.withColumnRenamed("nid", "dst"), "dst", "left_semi")).distinct()
 
 
 def export_edges(g: CodeGraph, cursor: int = 0, max_edges: int = 50_000, kind: str | None = None, confidence: str | None = None) -> DataFrame:

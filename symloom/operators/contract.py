@@ -53,15 +53,15 @@ def frontier(g: CodeGraph, subject: DataFrame, forward: bool, depth: int | None,
     `horizon` tells whether an admitted edge leads on from there.
     """
     a, b = ("src", "dst") if forward else ("dst", "src")
-    got = walk.bfs(walk.oriented(admit.apply(g), forward), subject, depth)
+    got = walk.bfs(walk.oriented(admit.raw(g), forward), subject, depth)
     touched = got.select("node", "depth").unionByName(subject.select("node", F.lit(0).alias("depth"))).groupBy("node").agg(F.min("depth").alias("depth"))
     inside = F.lit(True) if depth is None else F.col("depth") < depth
     calls = set(admit.kinds or CALL_FAMILY) <= set(CALL_FAMILY)
-    n = touched.join(g.nodes.select(F.col("nid").alias("node"), "unresolved_calls", "external_calls", "narrowing.*"), "node")
+    n = touched.join(g.node_rows("unresolved_calls", "external_calls", "narrowing").select(F.col("nid").alias("node"), "unresolved_calls", "external_calls", "narrowing.*"), "node")
     counters = [c for c in (*FORWARD_COUNTERS, *BACKWARD_COUNTERS, "visible_dropped_out")]
     take = {c: calls and (c in BACKWARD_COUNTERS) != forward for c in counters}
     nodes = n.agg(*[F.coalesce(F.sum(F.when(F.lit(True) if c == "unresolved_calls" else inside, F.coalesce(c, F.lit(0)))) if take[c] else F.lit(0), F.lit(0)).cast("long").alias(c) for c in counters])
-    wide = replace(admit, confidence=None, max_candidates=None, only=(), exclude=()).apply(g).join(g.group_sizes, "candidate_group", "left")
+    wide = replace(admit, confidence=None, max_candidates=None, only=(), exclude=()).apply(g, "src", "dst", "confidence", "cut_markers", "candidate_group").join(g.group_sizes, "candidate_group", "left")
     near = wide.join(touched.withColumnRenamed("node", a), a)
     floor = CONFIDENCES.index(admit.confidence) if admit.confidence else 0
     below = F.coalesce(confidence_rank(F.col("confidence")), F.lit(0)) < floor
@@ -73,7 +73,7 @@ def frontier(g: CodeGraph, subject: DataFrame, forward: bool, depth: int | None,
     if depth is None:
         ahead = nodes.sparkSession.createDataFrame([(0,)], "horizon long")
     else:
-        edge_of = admit.apply(g).join(touched.where(F.col("depth") == depth).withColumnRenamed("node", a), a).join(touched.select(F.col("node").alias(b)), b, "left_anti")
+        edge_of = admit.apply(g, "src", "dst").join(touched.where(F.col("depth") == depth).withColumnRenamed("node", a), a).join(touched.select(F.col("node").alias(b)), b, "left_anti")
         ahead = edge_of.agg(F.count(F.lit(1)).alias("horizon"))
     one = F.lit(1)
     return nodes.withColumn("k", one).join(edges.withColumn("k", one), "k").join(ahead.withColumn("k", one), "k").drop("k")  # single rows
@@ -100,8 +100,8 @@ def scope_of(depth: int | None, admit: EdgeFilter) -> dict:
 
 def of_unused(g: CodeGraph) -> Contract:
     """Unused code: every call that could not be followed makes the answer too large."""
-    x = g.nodes.agg(F.sum(F.coalesce("unresolved_calls", F.lit(0))).alias("n")).first()["n"] or 0
-    cuts = g.edges.where(F.col("kind").isin(*CALL_FAMILY)).select(F.explode("cut_markers").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).collect()
+    x = g.node_rows("unresolved_calls").agg(F.sum(F.coalesce("unresolved_calls", F.lit(0))).alias("n")).first()["n"] or 0
+    cuts = g.edge_rows("cut_markers", where=F.col("kind").isin(*CALL_FAMILY)).select(F.explode("cut_markers").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).collect()
     reasons = [Reason("unresolved-external-calls", "over", x)] if x else []
     return Contract(tuple(reasons + sorted((Reason(CUT_CODES.get(r["m"], r["m"]), "over", r["n"]) for r in cuts), key=lambda r: r.code)))
 
@@ -164,8 +164,8 @@ def of_paths(g: CodeGraph, subject: DataFrame, depth: int | None, found: int, ca
 
 def of_impacted(g: CodeGraph, reached: DataFrame) -> Contract:
     """Impacted tests: calls that stay open in code that was not reached may hide a test; reached is (nid)."""
-    rest = g.nodes.join(reached.select("nid").distinct(), "nid", "left_anti")
+    rest = g.node_rows("unresolved_calls", "external_calls").join(reached.select("nid").distinct(), "nid", "left_anti")
     x = rest.agg(F.sum(F.coalesce("unresolved_calls", F.lit(0))).alias("open"), F.sum(F.coalesce("external_calls", F.lit(0))).alias("out")).first()
-    vague = g.edges.where(F.col("kind").isin(*CALL_FAMILY) & F.col("candidate_group").isNotNull()).count()
+    vague = g.edge_rows(where=F.col("kind").isin(*CALL_FAMILY) & F.col("candidate_group").isNotNull()).count()
     parts = (("impacted-unresolved-calls", "under", x["open"] or 0), ("impacted-external-calls", "under", x["out"] or 0), ("impacted-candidate-set", "over", vague))
     return Contract(tuple(Reason(*p) for p in parts if p[2]))

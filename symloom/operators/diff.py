@@ -17,6 +17,7 @@ from .filters import EdgeFilter
 #: What makes two edges the same, and what may change.
 IDENTITY = ("src_fqn", "dst_fqn", "kind", "file", "anchor")
 CHANGING = ("condition", "confidence", "tier", "group_size", "cfg_condition")
+CHANGING_RAW = ("condition", "confidence", "tier", "cfg_condition")
 
 
 def identified(g: CodeGraph, by: tuple[str, ...] = ()) -> DataFrame:
@@ -24,8 +25,8 @@ def identified(g: CodeGraph, by: tuple[str, ...] = ()) -> DataFrame:
     count. Of edges with one identity the last by id stands. Group numbers are only counters, so the group's size is compared. by: columns
     of nodes and edges that part many graphs in one; they belong to the identity.
     """
-    n = g.nodes.select("nid", "fqn", "file")
-    e = g.edges.join(n.select(F.col("nid").alias("src"), F.col("fqn").alias("src_fqn"), "file"), "src").join(n.select(F.col("nid").alias("dst"), F.col("fqn").alias("dst_fqn")), "dst")
+    n = g.node_rows("fqn", "file")
+    e = g.edge_rows(*by, "src", "dst", "kind", "candidate_group", *CHANGING_RAW).join(n.select(F.col("nid").alias("src"), F.col("fqn").alias("src_fqn"), "file"), "src").join(n.select(F.col("nid").alias("dst"), F.col("fqn").alias("dst_fqn")), "dst")
     e = e.join(g.group_sizes, "candidate_group", "left").withColumn("group_size", F.coalesce("size", F.lit(0)))
     # the anchor tells apart parallel edges of different sites; edges of one site share it
     e = e.withColumn("anchor", F.lit(0))

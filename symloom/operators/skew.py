@@ -35,10 +35,11 @@ def _all_set(on: list[str]) -> Column:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: list[tuple] | None = None, salts: int = SALTS) -> DataFrame:
-    """left joined to right on equal names, where right holds each key at most once and left may be skewed.
+    """left joined to right on equal names, where left may be skewed; right holds a key once or a few times.
 
     `hot` (of hot_keys) are left's hot keys, by default none; their rows are spread over `salts` parts, and only those rows of
-    right are repeated. Everything else is a plain equi-join, so Spark picks the join. Null keys match nothing.
+    right are repeated. Everything else is a plain equi-join, so Spark picks the join. Null keys match nothing. The part is a hash of the row's own
+    values, so a task that runs again after a loss splits its rows the same way.
     """
     if not hot:
         return left.join(right, on, how)
@@ -47,6 +48,6 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     from pyspark.sql.types import StructType
 
     keys = F.broadcast(spark.createDataFrame(hot, StructType(fields)).withColumn("__hot", F.lit(True)))  # at most 1 / HOT_SHARE rows
-    l = left.join(keys, on, "left").withColumn("__salt", F.when(F.col("__hot"), (F.rand(7) * salts).cast("int")).otherwise(F.lit(0))).drop("__hot")
+    l = left.join(keys, on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("__hot")
     r = right.join(keys, on, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
     return l.join(r, [*on, "__salt"], how).drop("__salt")

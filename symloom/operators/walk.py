@@ -1,140 +1,152 @@
 """Walks over edges, level by level, for any number of roots at once.
 
-Every level is a join of the frontier with the edges, reduced to one row per (root, node) before it meets what was visited.
-Where the edge of discovery matters, the least path of node ids decides: this is what a queue that is filled in order of ids
-would find, without any order between tasks. Levels are written to the shared folder, so no lineage grows and nothing is
-lost with an executor.
+Every level is a join of the frontier with the edges, reduced to one row per (root, node) with map-side minima. Where the edge of discovery
+matters, the least path of node ids decides: this is what a queue that is filled in order of ids would find, without any order between
+tasks. A round puts HOPS levels into one plan: what a level finds again is outdone by its own shorter path when the round is reduced, so levels
+of a round need no driver between them, and a walk of at most HOPS steps is one lazy plan. Longer walks write the admitted steps once, as a
+narrow table, and each round's result to the shared folder: no lineage grows and nothing is lost with an executor. The steps of nodes
+that hold a large share of all steps are split over salted parts.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import confidence_rank
-from ..model import EXCEPTIONAL
-from ..session import cut, discard
-from . import walk_local
+from ..model import CONFIDENCES, EXCEPTIONAL
+from ..session import cut, discard, together
 from .skew import hot_keys, lookup_join
 
-BFS_SCHEMA = "root long, node long, depth int, path array<long>, edges array<long>, raised boolean, conf int"
+#: Levels of a round.
+HOPS = 4
+FOUND = ("root", "node", "depth", "path", "edges", "raised", "conf", "condition", "confidence")
 
 
 def oriented(edges: DataFrame, forward: bool = True) -> DataFrame:
-    """(node, peer, edge, spawns, raises, conf): edges as steps in the direction of the walk."""
+    """(node, peer, edge, spawns, raises, conf, condition, confidence): edges as steps in the direction of the walk."""
     a, b = ("src", "dst") if forward else ("dst", "src")
-    return edges.select(
-        F.col(a).alias("node"), F.col(b).alias("peer"), F.col("eid").alias("edge"), (F.col("kind") == "spawns").alias("spawns"), F.col("condition").isin(*EXCEPTIONAL).alias("raises"), F.coalesce(confidence_rank(F.col("confidence")), F.lit(0)).alias("conf"),
-    )
+    rank = "case confidence " + " ".join(f"when '{c}' then {i}" for i, c in enumerate(CONFIDENCES) if i) + " else 0 end"
+    raises = ", ".join(f"'{c}'" for c in EXCEPTIONAL)
+    return edges.selectExpr(f"{a} as node", f"{b} as peer", "eid as edge", "kind = 'spawns' as spawns", f"condition in ({raises}) as raises", f"{rank} as conf", "condition", "confidence")
 
 
 def _all(layers: list[DataFrame], *columns: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [x.select(*columns) for x in layers])
+    return reduce(DataFrame.unionByName, [x.select(*columns) for x in layers] if columns else layers)
 
 
-def _next(front: DataFrame, steps: DataFrame) -> DataFrame:
-    """front joined to its steps; the steps of a node with very many edges are spread, the front holds a node once per root."""
-    return front.join(steps, "node")
+def _next(front: DataFrame, steps: DataFrame, hot: list[tuple]) -> DataFrame:
+    """front joined to its steps. A small frontier is sent to the steps wherever they lie; else the steps of hot nodes are split over parts, with
+    the frontier's rows at these nodes in each part."""
+    return lookup_join(steps, front, ["node"], "inner", hot)
 
 
-def bfs(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, goals: DataFrame | None = None, local: bool = True) -> DataFrame:
-    """(root, node, depth, path, edges, raised, conf) of what seeds (root, node) reach, each once at its least depth; seeds themselves are left out.
+def _prepared(steps: DataFrame, most: int | None) -> tuple[DataFrame, list[tuple]]:
+    """The steps as a table of their own with its hot nodes, if the walk takes more than one round."""
+    if most is not None and most <= HOPS:
+        return steps, []
+    steps = cut(steps)
+    return steps, hot_keys(steps, ["node"])
 
-    path and edges lead from the seed to the node by the walk's own tree; raised tells whether an exceptional edge was crossed since the
-    last spawn, conf is the least confidence on that path. With goals (root, node) the walk ends when all are met. A graph of few
-    edges is walked on the driver unless local is off, with the same result.
+
+def _best(found: DataFrame, *rank: str) -> DataFrame:
+    """One row per (root, node): the least by `rank` and then by path and edges."""
+    rest = [c for c in FOUND if c not in ("root", "node", *rank)]
+    return found.groupBy("root", "node").agg(F.expr(f"min(struct({', '.join((*rank, *rest))})) as x")).select("root", "node", *[f"x.{c}" for c in FOUND[2:]])
+
+
+def bfs(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, goals: DataFrame | None = None) -> DataFrame:
+    """(root, node, depth, path, edges, raised, conf, condition, confidence) of what seeds (root, node) reach, each once at its least depth; seeds themselves
+    are left out.
+
+    path and edges lead from the seed to the node by the walk's own tree; raised tells whether an exceptional edge was crossed since the last spawn,
+    conf is the least confidence on that path, condition and confidence are those of the last edge. With goals (root, node) a root is followed no
+    further once all of its goals are met. Repeated steps change nothing.
     """
-    steps = steps.persist()
-    try:
-        if local and (held := walk_local.small(steps, seeds.select("root", "node").distinct())) is not None:
-            adj, own = held
-            ends = None if goals is None else {(r["root"], r["node"]) for r in goals.select("root", "node").limit(walk_local.ROOTS).collect()}
-            got = walk_local.bfs(adj, own.column("root").to_numpy(), own.column("node").to_numpy(), max_depth, ends)
-            if got is not None:
-                return steps.sparkSession.createDataFrame(got, BFS_SCHEMA)
-        start = seeds.select("root", "node").distinct().select("root", "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.array().cast("array<bigint>").alias("edges"), F.lit(False).alias("raised"), F.lit(2).alias("conf"))
-        layers = [cut(start)]
-        depth = 0
-        while max_depth is None or depth < max_depth:
-            depth += 1
-            here = _next(layers[-1].withColumnRenamed("conf", "front_conf"), steps)
-            found = here.select(
-                "root", F.col("peer").alias("node"),
-                F.struct("path", "edge", "edges", F.when(F.col("spawns"), False).otherwise(F.col("raised") | F.col("raises")).alias("raised"), F.least("front_conf", "conf").alias("conf")).alias("x"),
+    steps, hot = _prepared(steps, max_depth)
+    start = seeds.select("root", "node").distinct().selectExpr("root", "node", "0 as depth", "array(node) as path", "cast(array() as array<bigint>) as edges", "false as raised", "2 as conf", "cast(null as string) as condition", "cast(null as string) as confidence")
+    one_round = max_depth is not None and max_depth <= HOPS
+    front = start if one_round else cut(start)
+    layers, depth = [front], 0
+    while max_depth is None or depth < max_depth:
+        here, levels = front, []
+        for depth in range(depth + 1, depth + 1 + (HOPS if max_depth is None else min(HOPS, max_depth - depth))):
+            at = here.withColumnRenamed("conf", "front_conf").drop("condition", "confidence")
+            found = _next(at, steps, hot).where("not array_contains(path, peer)").selectExpr(
+                "root", "peer as node", f"{depth} as depth", "path", "struct(edge, edges) as edges", "not spawns and (raised or raises) as raised", "least(front_conf, conf) as conf", "condition", "confidence"
             )
-            best = found.groupBy("root", "node").agg(F.min("x").alias("x"))
-            best = best.join(_all(layers, "root", "node"), ["root", "node"], "left_anti")
-            new = cut(best.select("root", "node", F.lit(depth).alias("depth"), F.concat("x.path", F.array("node")).alias("path"), F.concat("x.edges", F.array("x.edge")).alias("edges"), "x.raised", "x.conf"))
-            if new.isEmpty():
-                discard(new)
+            if not one_round:
+                found = found.join(together(layers).select("root", "node"), ["root", "node"], "left_anti")
+            here = _best(found).selectExpr("root", "node", "depth", "concat(path, array(node)) as path", "concat(edges.edges, array(edges.edge)) as edges", *FOUND[5:])
+            levels.append(here)
+        if one_round:  # seeds stand at depth 0 and outdo what leads back to them
+            return _best(_all([start, *levels]), "depth").where(F.col("depth") > 0)
+        new = cut(levels[0] if len(levels) == 1 else _best(_all(levels), "depth"))
+        if new.isEmpty():
+            discard(new)
+            break
+        layers.append(new)
+        front = new.where(F.col("depth") == depth)
+        if goals is not None:
+            left = cut(goals.select("root", "node").distinct().join(together(layers).select("root", "node"), ["root", "node"], "left_anti").select("root").distinct())
+            if left.isEmpty():
                 break
-            layers.append(new)
-            if goals is not None and goals.join(new, ["root", "node"], "left_semi").count():
-                if goals.join(_all(layers, "root", "node"), ["root", "node"], "left_anti").isEmpty():
-                    break
-        if len(layers) == 1:
-            return layers[0].where(F.lit(False))
-        return reduce(DataFrame.unionByName, layers[1:])
-    finally:
-        steps.unpersist()
-
-
-def reached(steps: DataFrame, seeds: DataFrame, by_root: bool = False, local: bool = True) -> DataFrame:
-    """(node) or (root, node): all that seeds reach by any number of steps, seeds included."""
+            front = front.join(left, "root", "left_semi")
+    return together(layers[1:]) if len(layers) > 1 else front.where(F.lit(False))
+
+
+def reached(steps: DataFrame, seeds: DataFrame, by_root: bool = False, most: int | None = None) -> DataFrame:
+    """(node) or (root, node): all that seeds reach by any number of steps, or by up to `most`, seeds included."""
     key = ["root", "node"] if by_root else ["node"]
-    thin = steps.select("node", "peer").distinct().persist()
-    try:
-        if local and not by_root and (held := walk_local.small(thin.withColumn("edge", F.lit(0)), seeds.select("node").distinct())) is not None:
-            adj, own = held
-            return thin.sparkSession.createDataFrame(pa.table({"node": walk_local.reached(adj, own.column("node").to_numpy())}), "node long")
-        if local and by_root and (held := walk_local.small(thin.withColumn("edge", F.lit(0)), seeds.select("root", "node").distinct())) is not None:
-            adj, own = held
-            got = walk_local.reached_by_root(adj, own.column("root").to_numpy(), own.column("node").to_numpy())
-            if got is not None:
-                return thin.sparkSession.createDataFrame(got, "root long, node long")
-        front = cut(seeds.select(*key).distinct())
-        layers = [front]
-        hot = [] if by_root else hot_keys(thin, ["node"])
-        while True:
-            new = lookup_join(thin, front, ["node"], "inner", hot) if not by_root else front.join(thin, "node")
-            new = new.select(*(["root"] if by_root else []), F.col("peer").alias("node")).distinct()
-            front = cut(new.join(_all(layers, *key), key, "left_anti"))
-            if front.isEmpty():
-                discard(front)
-                return reduce(DataFrame.unionByName, layers)
-            layers.append(front)
-    finally:
-        thin.unpersist()
-
-
-def within(steps: DataFrame, seeds: DataFrame, least: int = 1, most: int = 8, local: bool = True) -> DataFrame:
+    thin, hot = _prepared(steps.select("node", "peer"), most)
+    one_round = most is not None and most <= HOPS
+    front = seeds.select(*key).distinct()
+    front = front if one_round else cut(front)
+    layers, hops = [front], 0
+    while most is None or hops < most:
+        here, levels = front, []
+        for _ in range(HOPS if most is None else min(HOPS, most - hops)):
+            hops += 1
+            here = _next(here, thin, hot).select(*key[:-1], F.col("peer").alias("node")).distinct()
+            if not one_round:
+                here = here.join(together(layers), key, "left_anti")
+            levels.append(here)
+        if one_round:
+            return _all([front, *levels]).distinct()
+        new = cut(_all(levels).distinct())
+        if new.isEmpty():
+            discard(new)
+            break
+        layers.append(new)
+        front = new
+    return together(layers)
+
+
+def within(steps: DataFrame, seeds: DataFrame, least: int = 1, most: int = 8) -> DataFrame:
     """(root, node): nodes that a walk of `least` to `most` steps reaches; nodes and edges may repeat, so a root may reach itself.
 
     A walk of no step yields nothing, so least 0 is as 1. Each level is a set; no visited set is taken off, which would lose circles.
     """
-    thin = steps.select("node", "peer").distinct().persist()
-    try:
-        front = seeds.select("root", "node").distinct()
-        if local and (held := walk_local.small(thin.withColumn("edge", F.lit(0)), front)) is not None:
-            adj, own = held
-            got = walk_local.within(adj, own.column("root").to_numpy(), own.column("node").to_numpy(), least, most)
-            if got is not None:
-                return thin.sparkSession.createDataFrame(got, "root long, node long")
-        levels = []
-        for k in range(1, most + 1):
-            front = cut(front.join(thin, "node").select("root", F.col("peer").alias("node")).distinct())
-            if front.isEmpty():
+    thin, hot = _prepared(steps.select("node", "peer"), most)
+    one_round = most <= HOPS
+    front = seeds.select("root", "node").distinct()
+    front = front if one_round else cut(front)
+    none, found, hops = front.where(F.lit(False)), [], 0
+    while hops < most:
+        here, levels = front, []
+        for _ in range(min(HOPS, most - hops)):
+            hops += 1
+            here = _next(here, thin, hot).select("root", F.col("peer").alias("node")).distinct()
+            levels.append(here.withColumn("hop", F.lit(hops)))
+        new = _all(levels)
+        if not one_round:
+            new = cut(new)
+            if new.isEmpty():
                 break
-            if k >= max(least, 1):
-                levels.append(front)
-        if not levels:
-            return front.where(F.lit(False))
-        return reduce(DataFrame.unionByName, levels).distinct()
-    finally:
-        thin.unpersist()
+        found.append(new.where(F.col("hop") >= max(least, 1)).select("root", "node"))
+        front = new.where(F.col("hop") == hops).select("root", "node")
+    return _all(found).distinct() if found else none
 
 
 def paths(steps: DataFrame, seeds: DataFrame, goals: DataFrame | None, least: int = 1, most: int | None = 6, trails: bool = False) -> DataFrame:
@@ -144,31 +156,32 @@ def paths(steps: DataFrame, seeds: DataFrame, goals: DataFrame | None, least: in
     A path to a goal ends where it first meets that goal; a trail may come back to its root. Without `most` the walk ends by itself,
     as no node or edge repeats.
     """
-    steps = steps.select("node", "peer", "edge", "spawns", "raises").persist()
-    try:
-        front = seeds.select("root", "node").distinct().select("root", "node", F.array("node").alias("path"), F.array().cast("array<bigint>").alias("edges"), F.lit(False).alias("raised"))
-        at = ["root", "node"] if goals is not None and "root" in goals.columns else ["node"]
-        marks = None if goals is None else goals.select(*at).distinct().withColumn("goal", F.lit(True))
-        out, k = [], 0
-        while most is None or k < most:
-            k += 1
+    steps, hot = _prepared(steps.select("node", "peer", "edge", "spawns", "raises").distinct(), most)
+    one_round = most is not None and most <= HOPS
+    front = seeds.select("root", "node").distinct().select("root", "node", F.lit(0).alias("hops"), F.array("node").alias("path"), F.array().cast("array<bigint>").alias("edges"), F.lit(False).alias("raised"), F.lit(False).alias("first"))
+    at = ["root", "node"] if goals is not None and "root" in goals.columns else ["node"]
+    out, k = [], 0
+    while most is None or k < most:
+        here, levels = front, []
+        for k in range(k + 1, k + 1 + (HOPS if most is None else min(HOPS, most - k))):
             fresh = ~F.array_contains("edges", F.col("edge")) if trails else ~F.array_contains("path", F.col("peer"))
-            first = ~F.array_contains(F.slice("path", 2, max(k, 1)), F.col("peer"))
-            new = front.join(steps, "node").where(fresh).select(
-                "root", F.col("peer").alias("node"), F.concat("path", F.array("peer")).alias("path"), F.concat("edges", F.array("edge")).alias("edges"), F.when(F.col("spawns"), False).otherwise(F.col("raised") | F.col("raises")).alias("raised"), first.alias("first")
+            first = ~F.array_contains(F.slice("path", 2, k), F.col("peer"))
+            here = _next(here.drop("hops", "first").withColumnRenamed("raised", "was"), steps, hot).where(fresh).select(
+                "root", F.col("peer").alias("node"), F.lit(k).alias("hops"), F.concat("path", F.array("peer")).alias("path"), F.concat("edges", F.array("edge")).alias("edges"), F.when(F.col("spawns"), False).otherwise(F.col("was") | F.col("raises")).alias("raised"), first.alias("first")
             )
-            new = new.withColumn("goal", F.lit(True)) if marks is None else new.join(marks, at, "left")
+            levels.append(here)
+        new = _all(levels)
+        if not one_round:
             new = cut(new)
             if new.isEmpty():
                 break
-            if k >= max(least, 1):
-                out.append(new.where(F.col("goal") & F.col("first")).select("root", "node", F.lit(k).alias("hops"), "path", "edges", "raised"))
-            front = new.drop("goal", "first")
-        if not out:
-            return front.select("root", "node", F.lit(0).alias("hops"), "path", "edges", "raised").where(F.lit(False))
-        return reduce(DataFrame.unionByName, out)
-    finally:
-        steps.unpersist()
+        out.append(new)
+        front = new.where(F.col("hops") == k)
+    if not out:
+        return front.select("root", "node", "hops", "path", "edges", "raised").where(F.lit(False))
+    found = _all(out).where(F.col("first") & (F.col("hops") >= max(least, 1)))
+    found = found if goals is None else found.join(goals.select(*at).distinct(), at, "left_semi")
+    return found.select("root", "node", "hops", "path", "edges", "raised")
 
 
 def capped(found: DataFrame, keys: list[str], order: list[Column], cap: int | None) -> DataFrame:

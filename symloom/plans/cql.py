@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import matches
 from ..functions.selector import SelectorError, select
-from ..graph import CodeGraph, confidence_rank
+from ..graph import CodeGraph
 from ..model import CALL_FAMILY, CONFIDENCES, NODE_KINDS
 from ..operators import walk
 from ..session import cut
@@ -58,7 +58,7 @@ class Compiler:
 
     # nodes and relations
     def nodes(self, var: str) -> DataFrame:
-        return self.g.nodes.select(F.struct(*_NODE).alias(var))
+        return self.g.node_rows(*_NODE).select(F.struct(*_NODE).alias(var))
 
     def node_condition(self, p: NodePattern, c: Column) -> Column:
         out = F.lit(True)
@@ -88,14 +88,14 @@ class Compiler:
             flips.add(t == "MEMBER_OF")
         if len(flips) > 1:
             raise CqlError("plan", "MEMBER_OF runs the other way and can't be mixed with other types", r.span)
-        e = self.g.edges.where(F.col("kind").isin(*(sorted(kinds) or CALL_FAMILY)))
+        e = self.g.edge_rows("src", "dst", *_EDGE, where=F.col("kind").isin(*(sorted(kinds) or CALL_FAMILY)))
         for key, (value, span) in r.props.items():
             if key == "condition":
                 e = e.where(F.col("condition") == F.lit(value))
             elif key == "confidence":
                 if value not in CONFIDENCES:
                     raise CqlError("plan", f"unknown confidence {value}", span)
-                e = e.where(F.coalesce(confidence_rank(F.col("confidence")), F.lit(0)) >= CONFIDENCES.index(value))
+                e = e if value == CONFIDENCES[0] else e.where(F.col("confidence").isin(*CONFIDENCES[CONFIDENCES.index(value) :]))
             else:
                 raise CqlError("plan", f"relations can't be constrained by {key}", span)
         return e, r.forward != (flips == {True})
@@ -213,8 +213,8 @@ class Compiler:
     def detailed(self, found: DataFrame, path: str) -> DataFrame:
         """found (root, node, path, edges) with the ids of path and edges replaced by what queries ask of them."""
         keyed = cut(found.select("root", "node", F.col("path").alias("__p"), F.col("edges").alias("__e")).distinct())
-        n = keyed.select("__p", "__e", F.posexplode("__p").alias("i", "nid")).distinct().join(self.g.nodes.select(*_NODE), "nid").groupBy("__p", "__e").agg(F.array_sort(F.collect_list(F.struct("i", F.struct(*_NODE).alias("x")))).alias("__n"))
-        e = keyed.select("__p", "__e", F.posexplode("__e").alias("i", "eid")).distinct().join(self.g.edges.select(*_EDGE), "eid").groupBy("__p", "__e").agg(F.array_sort(F.collect_list(F.struct("i", F.struct(*_EDGE).alias("x")))).alias("__r"))
+        n = keyed.select("__p", "__e", F.posexplode("__p").alias("i", "nid")).distinct().join(self.g.node_rows(*_NODE), "nid").groupBy("__p", "__e").agg(F.array_sort(F.collect_list(F.struct("i", F.struct(*_NODE).alias("x")))).alias("__n"))
+        e = keyed.select("__p", "__e", F.posexplode("__e").alias("i", "eid")).distinct().join(self.g.edge_rows(*_EDGE), "eid").groupBy("__p", "__e").agg(F.array_sort(F.collect_list(F.struct("i", F.struct(*_EDGE).alias("x")))).alias("__r"))
         full = keyed.join(n, ["__p", "__e"]).join(e, ["__p", "__e"])
         return full.select("root", "node", F.struct(F.transform("__n", lambda z: z["x"]).alias("nodes"), F.transform("__r", lambda z: z["x"]).alias("edges")).alias(path))
 
@@ -274,7 +274,7 @@ class Compiler:
         for col, _ in c.yields:
             if col not in (out, "confidence"):
                 raise CqlError("plan", f"{proc} yields {out} and confidence, not {col}", c.span)
-        flow = self.g.edges.where(F.col("kind") == "derives-from")
+        flow = self.g.raw_edges.where(F.col("kind") == "derives-from")
         if c.arg[0] == "literal" and isinstance(c.arg[1], str):
             subject = self.g.find(c.arg[1]).groupBy("graph_id").agg(F.min("nid").alias("root")).select(F.lit(c.arg[1]).alias("__arg"), "root")
         elif self.df is not None:
@@ -282,15 +282,14 @@ class Compiler:
             if kind != "str":
                 raise CqlError("eval", "the argument has to be a string", c.span)
             names = self.df.select(arg.alias("__arg")).distinct()
-            n = self.g.nodes.select("graph_id", "nid", F.col("fqn").alias("__arg"))
+            n = self.g.raw_nodes.select("graph_id", "nid", F.col("fqn").alias("__arg"))
             subject = names.join(n, "__arg").groupBy("__arg", "graph_id").agg(F.min("nid").alias("root")).select("__arg", "root")
         else:
             raise CqlError("eval", "the argument has to be a string", c.span)
         subject = cut(subject)
         found = walk.bfs(walk.oriented(flow, proc == "mutation_fanout"), subject.select("root", F.col("root").alias("node")), MOST_HOPS)
-        via = flow.select(F.col("eid").alias("__v"), "confidence")
         node = self.name("y")
-        rows = found.withColumn("__v", F.element_at("edges", -1)).join(via, "__v").join(subject, "root").join(self.nodes(node), F.col("node") == F.col(node)["nid"])
+        rows = found.select("root", "node", "confidence").join(subject, "root").join(self.nodes(node), F.col("node") == F.col(node)["nid"])
         rows = rows.select("__arg", *[(F.col(node) if col == out else F.col("confidence")).alias(alias) for col, alias in c.yields])
         for col, alias in c.yields:
             self.bind(alias, "node" if col == out else "str")

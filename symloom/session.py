@@ -56,6 +56,27 @@ def cut(df: DataFrame, drop: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Results of cut() of one schema as a single scan, however many they are."""
+    first = tables[0]
+    if len(tables) == 1:
+        return first
+    return first.sparkSession.read.schema(first.schema).parquet(*[t._symloom_path for t in tables])
+
+
+class scratch:
+    """`with scratch():` deletes, at its end, all tables that cut() wrote inside; results that are still wanted are to be read or written before."""
+
+    def __enter__(self) -> scratch:
+        self.before = len(_written)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for spark, path in _written[self.before :]:
+            _delete(spark, path)
+        del _written[self.before :]
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a result of cut()."""
     path = getattr(df, "_symloom_path", None)

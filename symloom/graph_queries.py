@@ -155,49 +155,7 @@ SELECT n.graph_id, n.nid AS test, n.fqn FROM w JOIN n ON n.nid = w.nid WHERE n.e
 query("impacted_tests", _IMPACT_SQL, True)(lambda g: ask.impacted_tests(g, g.raw_nodes.where(F.col("fqn").like("%::net::%") & (F.col("kind") == "function")).select("nid")).select("graph_id", "test", "fqn"))
 
 
-def _snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """(graph_id, series, seq) of the first two snapshots of each repository, as base (0) and head (1)."""
-    from .operators.snapshots import snapshot_order
-
-    return snapshot_order(table(spark, d, "graphs")).where(F.col("seq") <= 1)
-
-
-def _pair(spark: SparkSession, d: str) -> tuple[CodeGraph, CodeGraph]:
-    g, order = CodeGraph.load(spark, d), _snapshots(spark, d)
-    part = lambda s: order.where(F.col("seq") == s).select("graph_id")
-    return tuple(CodeGraph(g.nodes.join(part(s), "graph_id", "left_semi"), g.edges.join(part(s), "graph_id", "left_semi"), g.candidates) for s in (0, 1))
-
-
-_TWO = """o AS (SELECT graph_id, row_number() OVER (PARTITION BY repo ORDER BY committed_at, graph_id) - 1 AS seq FROM (SELECT DISTINCT graph_id, repo, committed_at FROM graphs)),
-sz AS (SELECT graph_id, candidate_group, count(*) AS size FROM (SELECT DISTINCT * FROM candidates) GROUP BY ALL),
-ie AS (SELECT o.seq, s.fqn AS src_fqn, t.fqn AS dst_fqn, e.kind, s.file, e.condition, e.confidence, e.tier, coalesce(sz.size, 0) AS group_size, e.cfg_condition FROM e JOIN o USING (graph_id) JOIN n s ON s.nid = e.src JOIN n t ON t.nid = e.dst
- LEFT JOIN sz ON sz.graph_id = e.graph_id AND sz.candidate_group = e.candidate_group WHERE o.seq <= 1 QUALIFY row_number() OVER (PARTITION BY o.seq, s.fqn, t.fqn, e.kind, s.file ORDER BY e.eid DESC) = 1),
-b AS (SELECT * FROM ie WHERE seq = 0), h AS (SELECT * FROM ie WHERE seq = 1)"""
-_JOINED = "FROM b FULL JOIN h ON b.src_fqn = h.src_fqn AND b.dst_fqn = h.dst_fqn AND b.kind = h.kind AND b.file = h.file"
-_CHANGED = "(" + " OR ".join(f"b.{c} IS DISTINCT FROM h.{c}" for c in ("condition", "confidence", "tier", "group_size", "cfg_condition")) + ")"
-SQL["diff_graphs"] = f"""WITH {_BASE}, {_TWO},
-nd AS (SELECT DISTINCT fqn, o.seq FROM n JOIN o USING (graph_id) WHERE o.seq <= 1)
-SELECT 'edge' AS record_type, coalesce(h.src_fqn, b.src_fqn) AS fqn, coalesce(h.dst_fqn, b.dst_fqn) AS dst_fqn, coalesce(h.kind, b.kind) AS kind, CASE WHEN b.seq IS NULL THEN 'added' WHEN h.seq IS NULL THEN 'removed' ELSE 'changed' END AS change {_JOINED} WHERE b.seq IS NULL OR h.seq IS NULL OR {_CHANGED}
-UNION ALL SELECT 'node', fqn, '', '', CASE WHEN min(seq) = 1 THEN 'added' ELSE 'removed' END FROM nd GROUP BY fqn HAVING count(*) = 1"""
-QUERIES["diff_graphs"] = lambda spark, d: diff.diff_graphs(*_pair(spark, d)).select("record_type", "fqn", "dst_fqn", "kind", "change")
-SQL["diff_filtered"] = f"""WITH {_BASE}, {_TWO} SELECT coalesce(h.src_fqn, b.src_fqn) AS fqn, coalesce(h.dst_fqn, b.dst_fqn) AS dst_fqn {_JOINED}
-WHERE b.seq IS NOT NULL AND h.seq IS NOT NULL AND {_CHANGED} AND b.kind = 'calls' AND (b.condition = 'exception' OR h.condition = 'exception')"""
-QUERIES["diff_filtered"] = lambda spark, d: diff.DiffFilter(("changed",), ("calls",), "exception").apply(diff.diff_graphs(*_pair(spark, d))).select("fqn", "dst_fqn")
-SQL["edges_newer"] = f"WITH {_BASE}, {_TWO} SELECT src_fqn, dst_fqn, kind, file FROM h ANTI JOIN b USING (src_fqn, dst_fqn, kind, file)"
-QUERIES["edges_newer"] = lambda spark, d: diff.newer_edges(*_pair(spark, d)).select("src_fqn", "dst_fqn", "kind", "file")
-SQL["dirty_files"] = """WITH o AS (SELECT graph_id, repo, row_number() OVER (PARTITION BY repo ORDER BY committed_at, graph_id) - 1 AS seq FROM (SELECT DISTINCT graph_id, repo, committed_at FROM graphs)),
-m AS (SELECT DISTINCT repo || '/' || path AS path, blob_oid, seq FROM manifest JOIN o USING (graph_id) WHERE seq <= 1), a AS (SELECT * FROM m WHERE seq = 0), b AS (SELECT * FROM m WHERE seq = 1)
-SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS state FROM a FULL JOIN b ON a.path = b.path WHERE a.blob_oid IS DISTINCT FROM b.blob_oid"""
-
-
-def _dirty(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "manifest").join(_snapshots(spark, d), "graph_id").select(F.concat_ws("/", "repo", "path").alias("path"), "blob_oid", "seq")
-    return diff.dirty_files(m.where("seq = 0"), m.where("seq = 1"))
-
-
-QUERIES["dirty_files"] = _dirty
-
-# the same over all pairs of consecutive snapshots of each repository: series is the repository's least graph_id, seq that of the base
+# pairs of consecutive snapshots of each repository: series is the repository's least graph_id, seq that of the base
 _BY = ("series", "seq")
 
 
@@ -214,58 +172,56 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _pairs(spark: SparkSession, d: str) -> tuple[CodeGraph, CodeGraph]:
     g = CodeGraph.load(spark, d)
     of = lambda x, side: x.join(side.select("graph_id", *_BY), "graph_id")
-    return tuple(CodeGraph(of(g.nodes, s), of(g.edges, s), g.candidates) for s in _sides(spark, d))
+    return tuple(CodeGraph(of(g.raw_nodes, s), of(g.raw_edges, s), g.candidates, g.unique) for s in _sides(spark, d))
 
 
 _EACH_O = """o AS (SELECT graph_id, repo, min(graph_id) OVER (PARTITION BY repo) AS series, row_number() OVER (PARTITION BY repo ORDER BY committed_at, graph_id) - 1 AS seq, count(*) OVER (PARTITION BY repo) AS snapshots FROM (SELECT DISTINCT graph_id, repo, committed_at FROM graphs)),
 side AS (SELECT graph_id, repo, series, seq, 0 AS side FROM o WHERE seq < snapshots - 1 UNION ALL SELECT graph_id, repo, series, seq - 1, 1 FROM o WHERE seq > 0)"""
+# per pair of snapshots and name of an edge what either side has; sides are told apart by what they hold, not by joins
 _EACH = f"""{_EACH_O},
 sz AS (SELECT graph_id, candidate_group, count(*) AS size FROM (SELECT DISTINCT * FROM candidates) GROUP BY ALL),
-ie AS (SELECT o.series, o.seq, o.side, s.fqn AS src_fqn, t.fqn AS dst_fqn, e.kind, s.file, e.condition, e.confidence, e.tier, coalesce(sz.size, 0) AS group_size, e.cfg_condition FROM e JOIN side o USING (graph_id) JOIN n s ON s.nid = e.src JOIN n t ON t.nid = e.dst
- LEFT JOIN sz ON sz.graph_id = e.graph_id AND sz.candidate_group = e.candidate_group QUALIFY row_number() OVER (PARTITION BY o.series, o.seq, o.side, s.fqn, t.fqn, e.kind, s.file ORDER BY e.eid DESC) = 1),
-b AS (SELECT * FROM ie WHERE side = 0), h AS (SELECT * FROM ie WHERE side = 1)"""
-_EACH_JOINED = f"{_JOINED} AND b.series = h.series AND b.seq = h.seq"
-_PAIR = "coalesce(h.series, b.series) AS series, coalesce(h.seq, b.seq) AS seq"
-SQL["diff_graphs_each"] = f"""WITH {_BASE}, {_EACH},
+facts AS (SELECT o.series, o.seq, o.side, s.fqn AS src_fqn, t.fqn AS dst_fqn, e.kind, s.file, ifnull(e.stmt_index, -1) AS anchor, arg_max({{'c': e.condition, 'f': e.confidence, 't': e.tier, 'g': ifnull(sz.size, 0), 'k': e.cfg_condition}}, e.eid) AS v
+ FROM side o JOIN e ON e.graph_id = o.graph_id JOIN n s ON s.nid = e.src JOIN n t ON t.nid = e.dst LEFT JOIN sz ON sz.graph_id = e.graph_id AND sz.candidate_group = e.candidate_group GROUP BY ALL),
+told AS (SELECT series, seq, src_fqn, dst_fqn, kind, file, anchor, count(*) AS sides, min(side) AS first_side, list(v) AS vs, count(DISTINCT v) AS versions FROM facts GROUP BY ALL)"""
+_HOW = "CASE WHEN sides = 2 THEN 'changed' WHEN first_side = 1 THEN 'added' ELSE 'removed' END"
+SQL["diff_graphs"] = f"""WITH {_BASE}, {_EACH},
 nd AS (SELECT DISTINCT o.series, o.seq, o.side, fqn FROM n JOIN side o USING (graph_id))
-SELECT {_PAIR}, 'edge' AS record_type, coalesce(h.src_fqn, b.src_fqn) AS fqn, coalesce(h.dst_fqn, b.dst_fqn) AS dst_fqn, coalesce(h.kind, b.kind) AS kind, CASE WHEN b.seq IS NULL THEN 'added' WHEN h.seq IS NULL THEN 'removed' ELSE 'changed' END AS change {_EACH_JOINED} WHERE b.seq IS NULL OR h.seq IS NULL OR {_CHANGED}
-UNION ALL SELECT series, seq, 'node', fqn, '', '', CASE WHEN min(side) = 1 THEN 'added' ELSE 'removed' END FROM nd GROUP BY series, seq, fqn HAVING count(*) = 1"""
-QUERIES["diff_graphs_each"] = lambda spark, d: diff.diff_graphs(*_pairs(spark, d), _BY).select(*_BY, "record_type", "fqn", "dst_fqn", "kind", "change")
-SQL["diff_filtered_each"] = f"""WITH {_BASE}, {_EACH} SELECT {_PAIR}, coalesce(h.src_fqn, b.src_fqn) AS fqn, coalesce(h.dst_fqn, b.dst_fqn) AS dst_fqn {_EACH_JOINED}
-WHERE b.seq IS NOT NULL AND h.seq IS NOT NULL AND {_CHANGED} AND b.kind = 'calls' AND (b.condition = 'exception' OR h.condition = 'exception')"""
-QUERIES["diff_filtered_each"] = lambda spark, d: diff.DiffFilter(("changed",), ("calls",), "exception").apply(diff.diff_graphs(*_pairs(spark, d), _BY)).select(*_BY, "fqn", "dst_fqn")
-SQL["edges_newer_each"] = f"WITH {_BASE}, {_EACH} SELECT series, seq, src_fqn, dst_fqn, kind, file FROM h ANTI JOIN b USING (series, seq, src_fqn, dst_fqn, kind, file)"
-QUERIES["edges_newer_each"] = lambda spark, d: diff.newer_edges(*_pairs(spark, d), _BY).select(*_BY, "src_fqn", "dst_fqn", "kind", "file")
-SQL["dirty_files_each"] = f"""WITH {_EACH_O},
+SELECT series, seq, 'edge' AS record_type, src_fqn AS fqn, dst_fqn, kind, anchor, {_HOW} AS change FROM told WHERE sides = 1 OR versions > 1
+UNION ALL SELECT series, seq, 'node', fqn, '', '', -1, CASE WHEN min(side) = 1 THEN 'added' ELSE 'removed' END FROM nd GROUP BY series, seq, fqn HAVING count(*) = 1"""
+QUERIES["diff_graphs"] = lambda spark, d: diff.diff_graphs(*_pairs(spark, d), _BY).select(*_BY, "record_type", "fqn", "dst_fqn", "kind", "anchor", "change")
+SQL["diff_filtered"] = f"""WITH {_BASE}, {_EACH} SELECT series, seq, src_fqn AS fqn, dst_fqn, anchor FROM told
+WHERE sides = 2 AND versions > 1 AND kind = 'calls' AND len(list_filter(vs, x -> x.c = 'exception')) > 0"""
+QUERIES["diff_filtered"] = lambda spark, d: diff.DiffFilter(("changed",), ("calls",), "exception").apply(diff.diff_graphs(*_pairs(spark, d), _BY)).select(*_BY, "fqn", "dst_fqn", "anchor")
+SQL["edges_newer"] = f"WITH {_BASE}, {_EACH} SELECT series, seq, src_fqn, dst_fqn, kind, file, anchor FROM told WHERE sides = 1 AND first_side = 1"
+QUERIES["edges_newer"] = lambda spark, d: diff.newer_edges(*_pairs(spark, d), _BY).select(*_BY, "src_fqn", "dst_fqn", "kind", "file", "anchor")
+SQL["dirty_files"] = f"""WITH {_EACH_O},
 m AS (SELECT DISTINCT o.series, o.seq, o.side, o.repo || '/' || path AS path, blob_oid FROM manifest JOIN side o USING (graph_id)), a AS (SELECT * FROM m WHERE side = 0), b AS (SELECT * FROM m WHERE side = 1)
 SELECT coalesce(a.series, b.series) AS series, coalesce(a.seq, b.seq) AS seq, coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS state FROM a FULL JOIN b ON a.path = b.path AND a.series = b.series AND a.seq = b.seq WHERE a.blob_oid IS DISTINCT FROM b.blob_oid"""
 
 
-def _dirty_each(spark: SparkSession, d: str) -> DataFrame:
+def _dirty(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "manifest")
     a, b = (m.join(s, "graph_id").select(*_BY, F.concat_ws("/", "repo", "path").alias("path"), "blob_oid") for s in _sides(spark, d))
     return diff.dirty_files(a, b, _BY)
 
 
-QUERIES["dirty_files_each"] = _dirty_each
-_COMMITS = """m AS (SELECT DISTINCT graph_id, path, blob_oid FROM manifest), o AS (SELECT DISTINCT graph_id, repo, committed_at FROM graphs),
-x AS (SELECT o.repo, m.graph_id, m.path, m.blob_oid, lag(m.blob_oid) OVER (PARTITION BY o.repo, m.path ORDER BY o.committed_at, m.graph_id) AS before FROM m JOIN o USING (graph_id)),
-cf AS (SELECT DISTINCT graph_id, repo || '/' || regexp_extract(path, '^(.*)/', 1) AS path FROM x WHERE before IS NULL OR before <> blob_oid),
-k AS (SELECT graph_id FROM cf GROUP BY 1 HAVING count(*) <= 50), f AS (SELECT cf.* FROM cf JOIN k USING (graph_id)), per AS (SELECT path, count(*) AS n FROM f GROUP BY 1)"""
+QUERIES["dirty_files"] = _dirty
+_COMMITS = """o AS (SELECT graph_id, repo, row_number() OVER (PARTITION BY repo ORDER BY committed_at, graph_id) AS nth FROM (SELECT DISTINCT graph_id, repo, committed_at FROM graphs)),
+m AS (SELECT DISTINCT graph_id, repo || '/' || path AS path, blob_oid FROM manifest JOIN o USING (graph_id)),
+f0 AS (SELECT h.graph_id, m.path FROM o h JOIN o b ON b.repo = h.repo AND b.nth = h.nth - 1 JOIN m ON m.graph_id = h.graph_id ANTI JOIN m old ON old.graph_id = b.graph_id AND old.path = m.path AND old.blob_oid = m.blob_oid),
+f AS (SELECT DISTINCT graph_id, path FROM f0 WHERE graph_id IN (SELECT graph_id FROM f0 GROUP BY 1 HAVING count(DISTINCT path) <= 50)), per AS (SELECT path, count(*) AS n FROM f GROUP BY 1)"""
 SQL["coupling"] = f"""WITH {_COMMITS} SELECT a.path AS file_a, b.path AS file_b, count(*) AS cochanges, any_value(pa.n) AS changes_a, any_value(pb.n) AS changes_b FROM f a JOIN f b ON a.graph_id = b.graph_id AND a.path < b.path
 JOIN per pa ON pa.path = a.path JOIN per pb ON pb.path = b.path GROUP BY 1, 2 HAVING count(*) >= 2"""
 
 
 def _coupling(spark: SparkSession, d: str) -> DataFrame:
-    """Folders that change in the same snapshots: a snapshot is a commit that touches the files whose blob is new."""
-    from pyspark.sql import Window as W
-
-    o = table(spark, d, "graphs").select("graph_id", "repo", "committed_at").distinct()
-    m = table(spark, d, "manifest").select("graph_id", "path", "blob_oid").distinct().join(o, "graph_id")
-    before = F.lag("blob_oid").over(W.partitionBy("repo", "path").orderBy("committed_at", "graph_id"))
-    touched = m.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("blob_oid")))
-    commits = touched.select(F.col("graph_id").alias("commit"), F.lit(1).alias("n_parents"), F.concat_ws("/", "repo", F.regexp_extract("path", "^(.*)/", 1)).alias("path"))
-    return diff.coupling(commits, limit=None)
+    """Files that change in the same snapshots: a snapshot is a commit that touches the files whose blob is new against the one before; first
+    snapshots are roots. As in the history of a repository, commits of over 50 files are bulk changes and tell nothing."""
+    base, head = _sides(spark, d)
+    m = table(spark, d, "manifest").select("graph_id", "path", "blob_oid").distinct()
+    of = lambda side: m.join(side, "graph_id").select(*_BY, "graph_id", F.concat_ws("/", "repo", "path").alias("path"), "blob_oid")
+    touched = of(head).join(of(base).drop("graph_id"), [*_BY, "path", "blob_oid"], "left_anti")
+    return diff.coupling(touched.select(F.col("graph_id").alias("commit"), F.lit(1).alias("n_parents"), "path"), limit=None)
 
 
 QUERIES["coupling"] = _coupling

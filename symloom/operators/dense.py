@@ -17,32 +17,36 @@ from pyspark.sql import functions as F
 
 #: Counters in one block.
 BLOCK = 1024
-#: Rows counted at once, and blocks held before they are passed on: bounds of a task's memory.
-CHUNK_ROWS, HELD_BLOCKS = 2_000_000, 20_000
+#: Rows counted at once, and bytes of counters that an array or the blocks held may take: bounds of a task's memory.
+CHUNK_ROWS, HELD_BYTES = 2_000_000, 64 << 20
+HELD_BLOCKS = HELD_BYTES // (8 * BLOCK)
 #: Parts into which the partial blocks of one place are split for the first step of the reduction.
 FAN_IN = 16
 
 
 def _count(groups: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(group, block, counters) of rows: bincount over the dense index offset[group] + code."""
-    names, inverse = np.unique(groups, return_inverse=True)
-    blocks = np.zeros(len(names), np.int64)
-    np.maximum.at(blocks, inverse, codes // BLOCK + 1)
-    offset = np.concatenate([[0], np.cumsum(blocks)])
-    if offset[-1] > 64 * HELD_BLOCKS:  # codes too sparse for one array: count by block alone
-        pair, counts = np.unique(np.stack([inverse, codes]), axis=1, return_counts=True)
-        place, first = np.unique(pair[0] * (codes.max() // BLOCK + 1) + pair[1] // BLOCK, return_index=True)
-        for i, a in enumerate(first):
-            b = first[i + 1] if i + 1 < len(first) else pair.shape[1]
-            dense = np.zeros(BLOCK, np.int64)
-            dense[pair[1, a:b] % BLOCK] = counts[a:b]
-            yield names[pair[0, a]], int(pair[1, a] // BLOCK), dense
+    """(group, block, counters) of rows: bincount over the blocks that occur, at most HELD_BLOCKS of them in one array however sparse the codes are."""
+    if not len(codes):
         return
-    total = np.bincount(offset[inverse] * BLOCK + codes, minlength=offset[-1] * BLOCK).reshape(-1, BLOCK)
-    for g, name in enumerate(names):
-        for b in range(blocks[g]):
-            if (row := total[offset[g] + b]).any():
-                yield name, b, row
+    names, inverse = np.unique(groups, return_inverse=True)
+    block = codes // BLOCK
+    width = int(block.max()) + 1
+    key = inverse * width + block
+    if len(names) * width <= HELD_BLOCKS:  # a small range needs no sorting
+        present = np.flatnonzero(np.bincount(key, minlength=1))
+        place = np.searchsorted(present, key)
+    else:
+        present, place = np.unique(key, return_inverse=True)
+    within = codes % BLOCK
+    order = np.argsort(place, kind="stable") if len(present) > HELD_BLOCKS else None
+    if order is not None:
+        place, within = place[order], within[order]
+    for low in range(0, len(present), HELD_BLOCKS):
+        high = min(len(present), low + HELD_BLOCKS)
+        a, b = (0, len(place)) if order is None else np.searchsorted(place, (low, high))
+        total = np.bincount((place[a:b] - low) * BLOCK + within[a:b], minlength=(high - low) * BLOCK).reshape(-1, BLOCK)
+        for k, row in zip(present[low:high], total):
+            yield names[k // width], int(k % width), row
 
 
 def _emit(held: dict) -> pa.RecordBatch:
@@ -54,7 +58,7 @@ def _accumulate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict = {}
     waiting, rows = [], 0
 
-    def fold():
+    def fold() -> Iterator[pd.DataFrame]:
         groups = np.concatenate([x["grp"].to_numpy() for x in waiting])
         codes = np.concatenate([x["code"].to_numpy() for x in waiting])
         for g, b, row in _count(groups, codes):
@@ -62,18 +66,18 @@ def _accumulate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held[g, b] = held[g, b] + row
             else:
                 held[g, b] = row.copy()
+            if len(held) >= HELD_BLOCKS:
+                yield _emit(held)
+                held.clear()
 
     for x in frames:
         waiting.append(x)
         rows += len(x)
         if rows >= CHUNK_ROWS:
-            fold()
+            yield from fold()
             waiting, rows = [], 0
-            if len(held) > HELD_BLOCKS:
-                yield _emit(held)
-                held.clear()
     if waiting:
-        fold()
+        yield from fold()
     if held:
         yield _emit(held)
 

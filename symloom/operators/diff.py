@@ -16,26 +16,25 @@ from .filters import EdgeFilter
 
 #: What makes two edges the same, and what may change.
 IDENTITY = ("src_fqn", "dst_fqn", "kind", "file", "anchor")
-CHANGING = ("condition", "confidence", "tier", "group_size", "cfg_condition")
 CHANGING_RAW = ("condition", "confidence", "tier", "cfg_condition")
+CHANGING = ("condition", "confidence", "tier", "group_size", "cfg_condition")
 
 
 def identified(g: CodeGraph, by: tuple[str, ...] = ()) -> DataFrame:
-    """Edges by identity: names of both ends, kind, the caller's file and the edge's rank among equal ones there; no lines, so moved lines don't
-    count. Of edges with one identity the last by id stands. Group numbers are only counters, so the group's size is compared. by: columns
-    of nodes and edges that part many graphs in one; they belong to the identity.
+    """Edges by identity: names of both ends, kind, the caller's file and the call site's place among the caller's statements (-1 for edges without a
+    site); no lines, so moved lines don't count. Of edges with one identity the last by id stands. Group numbers are only
+    counters, so the group's size is compared. by: columns of nodes and edges that part many graphs in one; they belong to the identity.
     """
     n = g.node_rows("fqn", "file")
-    e = g.edge_rows(*by, "src", "dst", "kind", "candidate_group", *CHANGING_RAW).join(n.select(F.col("nid").alias("src"), F.col("fqn").alias("src_fqn"), "file"), "src").join(n.select(F.col("nid").alias("dst"), F.col("fqn").alias("dst_fqn")), "dst")
-    e = e.join(g.group_sizes, "candidate_group", "left").withColumn("group_size", F.coalesce("size", F.lit(0)))
-    # the anchor tells apart parallel edges of different sites; edges of one site share it
-    e = e.withColumn("anchor", F.lit(0))
+    e = g.edge_rows(*by, "src", "dst", "kind", "candidate_group", "stmt_index", *CHANGING_RAW)
+    e = e.join(n.select(F.col("nid").alias("src"), F.col("fqn").alias("src_fqn"), "file"), "src").join(n.select(F.col("nid").alias("dst"), F.col("fqn").alias("dst_fqn")), "dst")
+    e = e.join(g.group_sizes, "candidate_group", "left").withColumn("group_size", F.coalesce("size", F.lit(0))).withColumn("anchor", F.coalesce("stmt_index", F.lit(-1)))
     best = e.groupBy(*by, *IDENTITY).agg(F.max(F.struct("eid", *CHANGING)).alias("x"))
     return best.select(*by, *IDENTITY, "x.*")
 
 
 def diff_graphs(base: CodeGraph, head: CodeGraph, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., record_type, fqn, dst_fqn, kind, file, change, what): added, removed and changed edges, added and removed nodes (by name).
+    """(by..., record_type, fqn, dst_fqn, kind, file, anchor, change, what): added, removed and changed edges, added and removed nodes (by name).
 
     by: see identified; graphs are compared where these columns are equal.
     """
@@ -45,11 +44,11 @@ def diff_graphs(base: CodeGraph, head: CodeGraph, by: tuple[str, ...] = ()) -> D
     change = F.when(F.col("b").isNull(), "added").when(F.col("h").isNull(), "removed").when(F.size(moved) > 0, "changed")
     conditions = F.array(F.col("b.condition"), F.col("h.condition"))
     e = both.withColumn("change", change).where(F.col("change").isNotNull()).select(
-        *by, F.lit("edge").alias("record_type"), F.col("src_fqn").alias("fqn"), "dst_fqn", "kind", "file", "change", F.when(F.col("change") == "changed", F.array_join(moved, ",")).otherwise("").alias("what"), conditions.alias("conditions")
+        *by, F.lit("edge").alias("record_type"), F.col("src_fqn").alias("fqn"), "dst_fqn", "kind", "file", "anchor", "change", F.when(F.col("change") == "changed", F.array_join(moved, ",")).otherwise("").alias("what"), conditions.alias("conditions")
     )
-    names = lambda g, flag: g.nodes.select(*by, "fqn").distinct().withColumn(flag, F.lit(True))
+    names = lambda g, flag: g.raw_nodes.select(*by, "fqn").distinct().withColumn(flag, F.lit(True))
     n = names(base, "b").join(names(head, "h"), [*by, "fqn"], "full_outer").where(F.col("b").isNull() | F.col("h").isNull())
-    n = n.select(*by, F.lit("node").alias("record_type"), "fqn", F.lit("").alias("dst_fqn"), F.lit("").alias("kind"), F.lit("").alias("file"), F.when(F.col("b").isNull(), "added").otherwise("removed").alias("change"), F.lit("").alias("what"), F.array().cast("array<string>").alias("conditions"))
+    n = n.select(*by, F.lit("node").alias("record_type"), "fqn", F.lit("").alias("dst_fqn"), F.lit("").alias("kind"), F.lit("").alias("file"), F.lit(-1).alias("anchor"), F.when(F.col("b").isNull(), "added").otherwise("removed").alias("change"), F.lit("").alias("what"), F.array().cast("array<string>").alias("conditions"))
     return e.unionByName(n)
 
 
@@ -88,15 +87,17 @@ def new_paths(base: CodeGraph, head: CodeGraph, source: str, target: str) -> Dat
     """(source, target, depth): ordered pairs of names, one in reach of the other at head but not at base, over calls and data flow."""
     admit = EdgeFilter(kinds=(*CALL_FAMILY, "derives-from"))
 
-    def pairs(g: CodeGraph) -> DataFrame:
-        a = g.find(source).select(F.col("nid").alias("root"), F.col("nid").alias("node"))
-        found = walk.bfs(walk.oriented(admit.apply(g)), a)
-        ends = g.find(target).select(F.col("nid").alias("node"), F.col("fqn").alias("target"))
-        names = g.nodes.select(F.col("nid").alias("root"), F.col("fqn").alias("source"))
-        x = found.select("root", "node", "depth").join(ends, "node").join(names, "root").where(F.col("root") != F.col("node"))
-        return x.groupBy("source", "target").agg(F.min("depth").alias("depth"))
-
-    return pairs(head).join(pairs(base).select("source", "target"), ["source", "target"], "left_anti")
+    def pairs(g: CodeGraph, ends: DataFrame | None = None) -> DataFrame:
+        """(source, target, root, node): pairs in reach, by sets of nodes alone."""
+        a = g.raw_nodes.where(matches(source, F.col("fqn"))).select(F.col("nid").alias("root"), F.col("fqn").alias("source")).distinct()
+        z = g.raw_nodes.where(matches(target, F.col("fqn"))).select(F.col("nid").alias("node"), F.col("fqn").alias("target")).distinct()
+        found = walk.reached(walk.oriented(admit.raw(g)), a.select("root", F.col("root").alias("node")), by_root=True).where(F.col("root") != F.col("node"))
+        return found.join(z, "node").join(a, "root").select("source", "target", "root", "node")
+
+    new = cut(pairs(head).join(pairs(base).select("source", "target").distinct(), ["source", "target"], "left_anti"))
+    # depths are asked for the new pairs alone, and a root is left once its goals are met
+    deep = walk.bfs(walk.oriented(admit.raw(head)), new.select("root", F.col("root").alias("node")), None, new.select("root", "node"))
+    return new.join(deep.select("root", "node", "depth"), ["root", "node"]).groupBy("source", "target").agg(F.min("depth").alias("depth"))
 
 
 def edge_age(edges: DataFrame, blame: DataFrame) -> DataFrame:

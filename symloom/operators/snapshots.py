@@ -1,22 +1,21 @@
 """What changed between consecutive full snapshots of a keyed table.
 
-Keys are mapped to persistent ordinals: a key's hash picks a block, and within the block keys are numbered. Per block and
-snapshot a zlib-compressed bitmap of ordinals and a column vector of row fingerprints, aligned by ordinal, are built; AND-NOT of
-neighbouring bitmaps gives what was added and removed, comparing the vectors under AND gives what changed. A block holds a
-bounded number of rows however large the table or one series of snapshots is, and all snapshots of a key are in its block.
+Keys are mapped to persistent ordinals, kept in a table that only grows: a key keeps its ordinal however many snapshots follow (`Ordinals`).
+Per snapshot and chunk of ordinals a run-compressed bitmap of the keys present and a column vector of row fingerprints, aligned by
+ordinal, are built. AND-NOT of neighbouring bitmaps, run by run, gives what was added and removed; comparing the vectors under AND
+gives what changed. A chunk holds a bounded number of rows however large the table is, and all snapshots of a key are in its chunk.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows aimed at in a block of ordinals, over all snapshots of one series.
+from ..session import cut
+
+#: Rows aimed at in a chunk, over all snapshots of its keys.
 BLOCK_ROWS = 20_000
 #: Bits of an ordinal below its block number.
 LOCAL_BITS = 24
@@ -49,43 +48,137 @@ def blocks_for(rows: int) -> int:
     return max(1, -(-rows // BLOCK_ROWS))
 
 
-def ordinals(rows: DataFrame, keys: list[str], block: Column) -> DataFrame:
-    """rows with `ord`: equal keys get equal ordinals, block number above LOCAL_BITS, rank within the block below.
-
-    One shuffle by block; the window sorts one block at a time, never a whole series.
-    """
-    from pyspark.sql import Window as W
-
-    local = F.dense_rank().over(W.partitionBy("__block").orderBy(*keys)) - 1
-    return rows.withColumn("__block", block).withColumn("ord", F.shiftleft(F.col("__block").cast("long"), LOCAL_BITS) + local).drop("__block")
+def chunk_bits(rows: int, keys: int) -> int:
+    """Low bits of an ordinal that a chunk spans, so that it holds about BLOCK_ROWS rows at that many rows a key."""
+    return min(LOCAL_BITS, max(0, int(BLOCK_ROWS * keys / max(1, rows)).bit_length() - 1))
 
 
-def _bitmap(ords: np.ndarray, n: int) -> bytes:
-    bits = np.zeros(n, bool)
-    bits[ords] = True
-    return zlib.compress(np.packbits(bits).tobytes(), 1)
+class Ordinals:
+    """A table (keys..., ord) in a folder: each key has one ordinal for good, and new keys are appended behind the old ones of their block.
 
+    A key's hash picks its block; ord is the block's number above LOCAL_BITS and the place within below. The number of blocks is settled when
+    the table is begun. Repeated keys count once; keys with a null are left out. Without a folder the table lives in the shared folder
+    of the session, for one run.
+    """
 
-def _bits(packed: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=n).astype(bool)
+    def __init__(self, spark: SparkSession, keys: list[str], blocks: int, folder: str | None = None):
+        self.spark, self.keys, self.folder = spark, keys, folder
+        self.table: DataFrame | None = None
+        self.blocks = blocks
+        if folder is not None:
+            try:
+                self.table = spark.read.parquet(f"{folder}/keys")
+                self.blocks = spark.read.parquet(f"{folder}/blocks").first()["blocks"]
+            except Exception as e:  # noqa: BLE001 - a table that is not there yet
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                spark.createDataFrame([(blocks,)], "blocks int").write.mode("overwrite").parquet(f"{folder}/blocks")
+
+    def extend(self, rows: DataFrame) -> DataFrame:
+        """The table with the keys of rows added. One shuffle by key and one by block; old rows are neither moved nor numbered anew."""
+        from pyspark.sql import Window as W
+
+        new = rows.select(*self.keys).dropna().distinct()
+        block = F.pmod(F.xxhash64(*self.keys), F.lit(self.blocks)).cast("long")
+        start = F.lit(0)
+        if self.table is not None:
+            new = new.join(self.table.select(*self.keys), self.keys, "left_anti")
+        new = new.withColumn("__b", block)
+        if self.table is not None:
+            held = self.table.groupBy(F.shiftright("ord", LOCAL_BITS).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))  # a row per block
+            new, start = new.join(held, "__b", "left"), F.coalesce("__n", F.lit(0))
+        place = F.row_number().over(W.partitionBy("__b").orderBy(*self.keys)) - 1 + start
+        new = new.select(*self.keys, (F.shiftleft("__b", LOCAL_BITS) + place).alias("ord"))
+        if self.folder is None:
+            new = cut(new)
+            self.table = new if self.table is None else self.table.unionByName(new)
+        else:
+            new.write.mode("append").parquet(f"{self.folder}/keys")
+            self.table = self.spark.read.parquet(f"{self.folder}/keys")
+        return self.table
+
+
+# bitmaps as runs: a sorted array of borders, at which membership begins and ends in turn
+
+
+def runs(ords: np.ndarray) -> np.ndarray:
+    """The bitmap of sorted distinct ordinals."""
+    if not len(ords):
+        return np.zeros(0, np.int64)
+    gap = np.flatnonzero(np.diff(ords) != 1)
+    out = np.empty(2 * (len(gap) + 1), np.int64)
+    out[0::2] = ords[np.concatenate(([0], gap + 1))]
+    out[1::2] = ords[np.concatenate((gap, [len(ords) - 1]))] + 1
+    return out
+
+
+def _combined(a: np.ndarray, b: np.ndarray, inverted: bool) -> np.ndarray:
+    """Borders of a AND b, or with `inverted` of a AND NOT b, by one merge of both lists of borders."""
+    at = np.concatenate((a, b))
+    order = np.argsort(at, kind="stable")
+    of_a = order < len(a)
+    in_a = np.cumsum(of_a) % 2 == 1
+    in_b = np.cumsum(~of_a) % 2 == 1
+    at, inside = at[order], in_a & (in_b ^ inverted)
+    last = np.ones(len(at), bool)
+    last[:-1] = at[1:] != at[:-1]  # of borders at one place only the state after all of them counts
+    at, inside = at[last], inside[last]
+    return at[inside != np.concatenate(([False], inside[:-1]))]
+
+
+def and_not(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _combined(a, b, True)
+
+
+def both_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _combined(a, b, False)
+
+
+def members(borders: np.ndarray) -> np.ndarray:
+    """The ordinals of a bitmap."""
+    start, n = borders[0::2], borders[1::2] - borders[0::2]
+    total = int(n.sum())
+    return np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total) if total else np.zeros(0, np.int64)
+
+
+def _mixed(mark: np.ndarray) -> np.ndarray:
+    """Marks spread over 64 bits, so that sums of them stand for sets."""
+    x = mark.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
 def diff_block(series: np.ndarray, seq: np.ndarray, final: np.ndarray, keys: list[np.ndarray], mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indexes of rows, the seq of the later snapshot and the change (0 added, 1 removed, 2 changed) within one block.
+    """Indexes of rows, the seq of the later snapshot and the change (0 added, 1 removed, 2 changed) within one chunk.
 
     series, seq: which snapshot a row is of. final: whether it is the series' last one, after which nothing is removed. keys: the key
-    columns. mark: fingerprints. Rows that repeat a key within a snapshot count once.
+    columns, ordinals or made of them. mark: fingerprints. Rows that repeat a key within a snapshot count once; if they differ, the set of their marks
+    is compared, in whatever order they come.
     """
+    z = np.zeros(0, np.int64)
+    if not len(series):
+        return z, z, z.astype(np.int8)
     index, at, change = [], [], []
-    order = np.lexsort([seq, *keys[::-1], series])
+    order = np.lexsort([mark, seq, *keys[::-1], series])
     s, q, m = series[order], seq[order], mark[order]
     new = np.ones(len(order), bool)
-    if len(order) > 1:
-        same = s[1:] == s[:-1]
-        for k in keys:
-            same &= k[order][1:] == k[order][:-1]
-        new[1:] = ~same
-    ordinal = np.cumsum(new) - 1  # of (series, key) in this block
+    same = s[1:] == s[:-1]
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    new[1:] = ~same
+    ordinal = np.cumsum(new) - 1  # of (series, key) in this chunk, in the order of the stored ordinals
+    apart = np.ones(len(order), bool)
+    apart[1:] = new[1:] | (q[1:] != q[:-1])
+    if not apart.all():
+        fresh = apart.copy()
+        fresh[1:] |= m[1:] != m[:-1]
+        start = np.flatnonzero(apart)
+        several = np.add.reduceat(fresh.astype(np.int64), start) > 1
+        sums = np.add.reduceat(np.where(fresh, _mixed(m), 0), start)
+        m = np.where(several, sums, m[start].astype(np.int64))
+        s, q, ordinal, order = s[start], q[start], ordinal[start], order[start]
     for one in np.unique(s):
         rows = np.flatnonzero(s == one)
         base, n = ordinal[rows[0]], ordinal[rows[-1]] - ordinal[rows[0]] + 1
@@ -93,25 +186,22 @@ def diff_block(series: np.ndarray, seq: np.ndarray, final: np.ndarray, keys: lis
         for step in np.unique(q[rows]):
             mine = rows[q[rows] == step]
             local = ordinal[mine] - base
-            vector, place = np.zeros(n, mark.dtype), np.zeros(n, np.int64)
+            vector, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
             vector[local], place[local] = m[mine], order[mine]
-            maps[step], vectors[step], where[step] = _bitmap(local, n), vector, place
+            maps[step], vectors[step], where[step] = runs(local), vector, place
             ends = step if final[order[mine[0]]] else ends
-        empty = _bitmap(np.zeros(0, int), n)
-        steps = sorted({int(x) for x in maps} | {int(x) + 1 for x in maps})
-        for step in steps:
+        for step in sorted({int(x) for x in maps} | {int(x) + 1 for x in maps}):
             if step == 0 or (ends is not None and step > ends):
                 continue
-            now, old = _bits(maps.get(step, empty), n), _bits(maps.get(step - 1, empty), n)
-            both = now & old
-            moved = np.flatnonzero(both & (vectors[step] != vectors[step - 1])) if both.any() else np.zeros(0, int)
-            for kind, (found, of) in enumerate(((np.flatnonzero(now & ~old), step), (np.flatnonzero(old & ~now), step - 1), (moved, step))):
+            now, old = maps.get(step, z), maps.get(step - 1, z)
+            common = members(both_of(now, old))
+            moved = common[vectors[step][common] != vectors[step - 1][common]] if len(common) else z
+            for kind, (found, of) in enumerate(((members(and_not(now, old)), step), (members(and_not(old, now)), step - 1), (moved, step))):
                 if len(found):
                     index.append(where[of][found])
                     at.append(np.full(len(found), step))
                     change.append(np.full(len(found), kind, np.int8))
     if not index:
-        z = np.zeros(0, np.int64)
         return z, z, z.astype(np.int8)
     return np.concatenate(index), np.concatenate(at), np.concatenate(change)
 

@@ -7,9 +7,9 @@ import json
 from pyspark.sql import DataFrame, Row
 
 
-def rows_of(df: DataFrame, limit: int = 10_000) -> list[Row]:
-    """Rows for showing: a page, bounded by limit."""
-    return df.limit(limit).collect()
+def rows_of(df: DataFrame, limit: int | None = None) -> list[Row]:
+    """Rows for showing; all unless a limit is given. What is too much for a terminal is better written as a table (`--out`)."""
+    return (df if limit is None else df.limit(limit)).collect()
 
 
 def table(rows: list[Row]) -> str:

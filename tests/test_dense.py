@@ -55,3 +55,17 @@ def test_symbols(spark):
 def test_empty(spark):
     E, N = spark.createDataFrame([], EDGES), spark.createDataFrame([], NODES)
     assert symbol_load.heavy(E, N).collect() == [] and symbol_load.degrees(E, N).collect() == []
+
+
+def test_sparse_codes_stay_within_the_bound():
+    """A hundred rows in a hundred groups with far codes, and more blocks than one array may hold."""
+    import tracemalloc
+
+    from symloom.operators import dense
+
+    for groups, codes in ((np.arange(100), np.full(100, 1_200_000)), (np.zeros(50_000, int), np.arange(50_000) * dense.BLOCK)):
+        tracemalloc.start()
+        got = {(int(g), b): int(row.sum()) for g, b, row in dense._count(groups, codes)}
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert got == {(int(g), int(c) // dense.BLOCK): 1 for g, c in zip(groups, codes)} and peak < 3 * dense.HELD_BYTES

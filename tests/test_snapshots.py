@@ -69,3 +69,30 @@ def test_emptied_snapshot_and_nulls(spark):
 
 def test_empty_tables(spark):
     assert run(spark, [], [], []) == set()
+
+
+def test_ordinals_stay_when_snapshots_are_added(spark, tmp_path):
+    from symloom.operators.snapshots import Ordinals
+
+    rows = lambda *x: spark.createDataFrame(list(x), "series int, fqn string")
+    first = {tuple(r[:2]): r[2] for r in Ordinals(spark, ["series", "fqn"], 2, str(tmp_path)).extend(rows(*[(1, f"f{i}") for i in range(20)], (1, "f0"), (None, "f1"))).collect()}
+    again = Ordinals(spark, ["series", "fqn"], 7, str(tmp_path))
+    second = {tuple(r[:2]): r[2] for r in again.extend(rows((1, "a"), (1, "f3"), (2, "f3"))).collect()}
+    assert len(first) == 20 and len(second) == 22 and len(set(second.values())) == 22 and again.blocks == 2
+    assert {k: v for k, v in second.items() if k in first} == first
+
+
+def test_run_bitmaps_and_sets_of_marks():
+    import numpy as np
+
+    from symloom.operators import snapshots as s
+
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ({x for x in range(rng.randrange(1, 40)) if rng.random() < 0.6} for _ in range(2))
+        ra, rb = (s.runs(np.array(sorted(x), np.int64)) for x in (a, b))
+        assert set(s.members(s.and_not(ra, rb)).tolist()) == a - b and set(s.members(s.both_of(ra, rb)).tolist()) == a & b
+    # marks 1 and 2 against 2 alone, in either order of rows
+    for marks in ([1, 2, 2], [2, 1, 2]):
+        i, at, change = s.diff_block(np.zeros(3, int), np.array([0, 0, 1]), np.array([False, False, True]), [np.zeros(3, int)], np.array(marks))
+        assert list(change) == [2] and list(at) == [1]

@@ -190,7 +190,7 @@ SELECT series, seq, 'edge' AS record_type, src_fqn AS fqn, dst_fqn, kind, anchor
 UNION ALL SELECT series, seq, 'node', fqn, '', '', -1, CASE WHEN min(side) = 1 THEN 'added' ELSE 'removed' END FROM nd GROUP BY series, seq, fqn HAVING count(*) = 1"""
 QUERIES["diff_graphs"] = lambda spark, d: diff.diff_graphs(*_pairs(spark, d), _BY).select(*_BY, "record_type", "fqn", "dst_fqn", "kind", "anchor", "change")
 SQL["diff_filtered"] = f"""WITH {_BASE}, {_EACH} SELECT series, seq, src_fqn AS fqn, dst_fqn, anchor FROM told
-WHERE sides = 2 AND versions > 1 AND kind = 'calls' AND len(list_filter(vs, x -> x.c = 'exception')) > 0"""
+WHERE sides = 2 AND versions > 1 AND kind = 'calls' AND list_contains(list_transform(vs, lambda x: x.c), 'exception')"""
 QUERIES["diff_filtered"] = lambda spark, d: diff.DiffFilter(("changed",), ("calls",), "exception").apply(diff.diff_graphs(*_pairs(spark, d), _BY)).select(*_BY, "fqn", "dst_fqn", "anchor")
 SQL["edges_newer"] = f"WITH {_BASE}, {_EACH} SELECT series, seq, src_fqn, dst_fqn, kind, file, anchor FROM told WHERE sides = 1 AND first_side = 1"
 QUERIES["edges_newer"] = lambda spark, d: diff.newer_edges(*_pairs(spark, d), _BY).select(*_BY, "src_fqn", "dst_fqn", "kind", "file", "anchor")

@@ -179,28 +179,29 @@ def diff_block(series: np.ndarray, seq: np.ndarray, final: np.ndarray, keys: lis
         sums = np.add.reduceat(np.where(fresh, _mixed(m), 0), start)
         m = np.where(several, sums, m[start].astype(np.int64))
         s, q, ordinal, order = s[start], q[start], ordinal[start], order[start]
-    for one in np.unique(s):
-        rows = np.flatnonzero(s == one)
-        base, n = ordinal[rows[0]], ordinal[rows[-1]] - ordinal[rows[0]] + 1
-        maps, vectors, where, ends = {}, {}, {}, None
-        for step in np.unique(q[rows]):
-            mine = rows[q[rows] == step]
-            local = ordinal[mine] - base
-            vector, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            vector[local], place[local] = m[mine], order[mine]
-            maps[step], vectors[step], where[step] = runs(local), vector, place
-            ends = step if final[order[mine[0]]] else ends
-        for step in sorted({int(x) for x in maps} | {int(x) + 1 for x in maps}):
-            if step == 0 or (ends is not None and step > ends):
-                continue
-            now, old = maps.get(step, z), maps.get(step - 1, z)
-            common = members(both_of(now, old))
-            moved = common[vectors[step][common] != vectors[step - 1][common]] if len(common) else z
-            for kind, (found, of) in enumerate(((members(and_not(now, old)), step), (members(and_not(old, now)), step - 1), (moved, step))):
+    # one bitmap and one vector per step for all series of the chunk: ordinals of different series don't meet
+    n = int(ordinal[-1]) + 1
+    ends = final[order].astype(bool)
+    by_step = np.argsort(q, kind="stable")  # ordinals stay sorted within a step
+    steps, start = np.unique(q[by_step], return_index=True)
+    of = dict(zip(steps.tolist(), np.split(by_step, start[1:])))
+    before, old, old_vector, old_place = -1, z, np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for step in sorted({*of, *(x + 1 for x in of)}):
+        mine = of.get(step, z)
+        now, vector, place = runs(ordinal[mine]), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        vector[ordinal[mine]], place[ordinal[mine]] = m[mine], mine
+        if before != step - 1:
+            old = z
+        if step:
+            common, gone = members(both_of(now, old)), members(and_not(old, now))
+            moved = common[vector[common] != old_vector[common]]
+            gone = old_place[gone]
+            for kind, found in enumerate((place[members(and_not(now, old))], gone[~ends[gone]], place[moved])):
                 if len(found):
-                    index.append(where[of][found])
+                    index.append(order[found])
                     at.append(np.full(len(found), step))
                     change.append(np.full(len(found), kind, np.int8))
+        before, old, old_vector, old_place = step, now, vector, place
     if not index:
         return z, z, z.astype(np.int8)
     return np.concatenate(index), np.concatenate(at), np.concatenate(change)

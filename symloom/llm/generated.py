@@ -1,50 +1,60 @@
 """Generated, minified or vendored source files and data saved as code.
 
-A Re-Pair grammar is inferred over each file's tokens (numbers in names as one sign, runs of literals as one token): if the grammar is
-far smaller than the sequence, a tool wrote the file. A file whose code is little but runs of literals is data, however regular these are. Long rules that come up in several repositories tell copied code, as do a notice of
-another project in the leading comment and a package folder. Minified files hold most tokens on very long lines.
+A Re-Pair grammar is inferred over each file's tokens (numbers in names as one sign, runs of literals as one token): if the grammar is far smaller than the
+sequence, a tool wrote the file. A file whose code is little but runs of literals is a data table, and one whose long literals no grammar shortens
+is encoded data. A second grammar, whose rules are known by their hash, is the same wherever a passage stands: a file mostly covered by rules
+that several repositories share is copied code. Minified files hold most tokens on very long lines. What a copy says of itself is evidence as well: a
+package folder, a banner with the package's version, or a version or copyright line that names a project the path names too.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_keys, lookup_join
 from ..session import cut
-from .lexing import lex
-from .repair import infer
+from .repair import infer_rounds, phrases
 from .syntax import plain_language
 
 #: Grammar size over sequence length up to which a file counts as written by a tool, and the least number of tokens to judge.
 REUSE, LEAST_TOKENS = 0.3, 50
 #: Share of a file's code characters in runs of literals from which it is data.
 LITERALS = 0.68
+#: Characters from which on a literal is judged alone, and the grammar size over its length from which it is encoded data.
+LONG_LITERAL, INCOMPRESSIBLE = 200, 0.6
 #: Tokens of a line from which on it is a minified one, and the share of tokens on such lines.
 LINE_TOKENS, LINE_SHARE = 100, 0.5
-#: Tokens of a rule from which on it tells copied code, and the share of a file such shared rules must cover.
-LONG_RULE, SHARED = 24, 0.5
+#: Tokens of a rule from which on it tells copied code, and the share of a file that shared rules together must cover, with LEAST_TOKENS at least, as files that
+#: only begin with the same lines are no copies.
+LONG_RULE, SHARED = 12, 0.5
 #: Neighbouring literals that make a run.
 RUN = 6
 
 # Folders that package managers and builds keep third-party code in; the next folder is the package.
 PACKAGE_FOLDERS = ("vendor", "third_party", "thirdparty", "3rdparty", "external", "deps", "node_modules", "bower_components", "site-packages", "Godeps", "Pods", "Carthage")
-_PACKAGE = re.compile(r"(?:^|/)(?:" + "|".join(PACKAGE_FOLDERS) + r")/(?:@[^/]+/)?[^/]+/.*[^/]$")
-#: Notices of another project's code in a comment.
-_NOTICE = re.compile(
-    r"imported unchanged from upstream|^\W*upstream: [\w.-]+ release|\b(?P<who>[\w.-]+) contributors\.\s+(?:Released|Licensed|Distributed) under"
-    r"|^\W*[\w-]+/[\w-]+ v?\d+\.\d+\.\d+(?:[+-][\w.]+)?\s*(?:\*/|:.*)?$|^\W*[\w-]+ \([\w-]+, build [0-9a-f]+\)"
-    r"|do not modify; vendored from|vendored from https?://|copied verbatim from",
-    re.I | re.M,
-)
 _COMMENT = re.compile(r"^\s*(?://|#(?!include|define|if|endif|pragma|!\[|\[)|/\*|\*|\"\"\"|--)")
-_LITERAL = frozenset(("NUM", "STR", "CHR"))
-_BETWEEN = frozenset((",", "PM", "NL"))
+#: A banner, as packages put it first: the package's name, perhaps with a file's, and a version of three parts.
+_BANNER = re.compile(r"^\W*@?[\w.-]+(?:/[\w.-]+)? v?\d+\.\d+\.\d+(?:[+-][\w.]+)?\b")
+#: What a line about a release or an owner holds.
+_RELEASE = re.compile(r"\b\d+\.\d+(?:\.\d+)?\b|\bcopyright\b|\blicen[cs]e\b|\(c\)|©", re.I)
+_WORD = re.compile(r"[A-Za-z][\w-]{2,}")
+
+_C_COMMENT = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
+_REST = r'|(?:0[xX][\da-fA-F_]+|\d[\w.]*)|[A-Za-z_$]\w*|\n|[^\s]'
+_DOUBLE, _SINGLE = r'"(?:\\[\s\S]|[^"\\\n])*"?', r"'(?:\\[\s\S]|[^'\\\n])*'?"
+_TOKENS = {
+    "python": re.compile(r"""#[^\n]*|[rbfuRBFU]{0,2}(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|""" + _DOUBLE + "|" + _SINGLE + ")" + _REST),
+    "typescript": re.compile(_C_COMMENT + "|" + _DOUBLE + "|" + _SINGLE + r"|`(?:\\[\s\S]|[^`\\])*`?" + _REST),
+    "go": re.compile(_C_COMMENT + "|" + _DOUBLE + r"|`[^`]*`?|'(?:\\.[^'\n]*|[^'\\\n])'" + _REST),
+    "rust": re.compile(_C_COMMENT + r'|b?r#*"[\s\S]*?"#*|b?' + _DOUBLE + r"|b?'(?:\\.[^'\n]*|[^'\\\n])'" + _REST),
+}
+_OTHER = re.compile(_C_COMMENT + r'|"""[\s\S]*?(?:"""|\Z)|' + _DOUBLE + "|" + _SINGLE + _REST)
+_COMMENTS, _LIT, _NAME, _SIGN, _LINE = range(5)
 
 
 def _leading_comment(content: str) -> str:
@@ -65,103 +75,132 @@ def _leading_comment(content: str) -> str:
     return "\n".join(out)
 
 
+def _class(token: str, python: bool) -> int:
+    c = token[0]
+    if c == "\n":
+        return _LINE
+    if (c == "#" and python) or token.startswith(("//", "/*")):
+        return _COMMENTS
+    if c.isdigit() or (c in "\"'`" and len(token) > 1) or (token[-1] in "\"'#" and len(token) > 2):
+        return _LIT
+    return _NAME if c.isalpha() or c in "_$" else _SIGN
+
+
 class Features:
-    """What a file's tokens say. kinds: generated, minified, data, vendored; rules: hash -> tokens covered, of its long rules."""
+    """What a file's tokens say. kinds: generated, minified, data, vendored; claims: lines of the leading comment about a release or an owner, as lists of
+    words; rules: (hash, start, length) of the long rules of its phrase grammar over `tokens` tokens."""
 
-    __slots__ = ("kinds", "rules", "tokens")
+    __slots__ = ("kinds", "claims", "rules", "tokens")
 
     def __init__(self, lang: str | None, content: str):
         self.kinds: set[str] = set()
-        self.rules: dict[int, int] = {}
-        self.tokens = 0
-        if _NOTICE.search(_leading_comment(content)):
+        z = np.zeros(0, np.int64)
+        self.rules, self.tokens = (z, z, z), 0
+        head = _leading_comment(content).splitlines()
+        if any(_BANNER.match(x) for x in head):
             self.kinds.add("vendored")
+        self.claims = [sorted({w.lower() for w in _WORD.findall(x)}) for x in head if _RELEASE.search(x)]
         if lang is None:
             return
-        toks = lex(lang, content, True)
-        kept, literals, i = [], [], 0
-        while i < len(toks):
-            j, n = i, 0
-            while j < len(toks) and (toks[j][0] in _LITERAL or (j > i and toks[j][0] in _BETWEEN)):
-                n += toks[j][0] in _LITERAL
-                j += 1
-            if n >= RUN:
-                literals += [s for t, s in toks[i:j] if t in _LITERAL]
-                kept.append(("LITERALS", ""))
-                i = j
-            else:
-                kept.append(toks[i])
-                i += 1
+        spelled = _TOKENS.get(lang, _OTHER).findall(content)
+        if not spelled:
+            return
+        code, names = pd.factorize(np.array(spelled, object))
+        python = lang == "python"
+        of = np.array([_class(x, python) for x in names], np.int8)
+        size = np.array([len(x) for x in names], np.int64)
+        kind = of[code]
+        line = np.cumsum(kind == _LINE)
+        real = (kind != _LINE) & (kind != _COMMENTS)
+        code, kind, line = code[real], kind[real], line[real]
+        if not len(code):
+            return
+        # runs of literals, with commas and signs between them
+        literal = kind == _LIT
+        between = np.isin(names, (",", "-", "+"))[code]
+        member = literal | between
+        begin = np.flatnonzero(member & ~np.concatenate(([False], member[:-1])))
+        end = np.flatnonzero(member & ~np.concatenate((member[1:], [False]))) + 1
+        many = np.concatenate(([0], np.cumsum(literal)))
+        long_one = np.concatenate(([0], np.cumsum(literal & (size[code] >= LONG_LITERAL))))
+        held = np.zeros(len(code), bool)
+        keep = np.ones(len(code), bool)
+        for a, b in zip(begin.tolist(), end.tolist()):
+            if many[b] - many[a] >= RUN or long_one[b] > long_one[a]:
+                while not literal[a]:
+                    a += 1
+                held[a:b] = literal[a:b]
+                keep[a + 1 : b] = False
+        lengths = size[code]
+        if lengths[held].sum() >= LITERALS * lengths.sum():
+            runs_hold = many[-1] >= RUN and lengths[held & (lengths < LONG_LITERAL)].sum() >= 0.5 * lengths[held].sum()
+            if runs_hold or _encoded([names[c] for c in code[held & (lengths >= LONG_LITERAL)]]):
+                self.kinds.add("data")
+        kept = code[keep]
         self.tokens = len(kept)
-        every = sum(len(s) for _, s in toks)
-        held = sum(map(len, literals))
-        if every and held >= LITERALS * every:
-            self.kinds.add("data")
-        lines = Counter(_line_numbers(content, toks))
-        if len(toks) >= LEAST_TOKENS and "data" not in self.kinds and len(kept) > LEAST_TOKENS // 2:
-            dense = sum(n for n in lines.values() if n >= LINE_TOKENS)
-            if dense - 2 * len(literals) >= LINE_SHARE * max(1, len(toks) - 2 * len(literals)):
+        if len(code) >= LEAST_TOKENS and "data" not in self.kinds and len(kept) > LEAST_TOKENS // 2:
+            per_line = np.bincount(line)[line] >= LINE_TOKENS
+            n_held = int(held.sum())
+            if per_line.sum() - 2 * n_held >= LINE_SHARE * max(1, len(code) - 2 * n_held):
                 self.kinds.add("minified")
+        inside = ~keep
+        run_start = np.concatenate((inside[1:], [False]))[keep]
         if len(kept) >= LEAST_TOKENS:
-            words: dict[str, int] = {}
-            plain = [words.setdefault(_sign(t, s), len(words)) for t, s in kept]
-            if infer(plain, len(words)).size() <= REUSE * len(kept):
+            signs: dict[str, int] = {"": 0}
+            sign = np.array([signs.setdefault(re.sub(r"\d+", "#", x) if k == _NAME else "\x00" if k == _LIT else x, len(signs)) for x, k in zip(names, of)], np.int64)[kept]
+            sign[run_start] = 0
+            used, sign = np.unique(sign, return_inverse=True)
+            # every symbol of the sequence stands in the grammar at least once
+            if len(used) <= REUSE * len(sign) and infer_rounds(sign, len(used)).size() <= REUSE * len(sign):
                 self.kinds.add("generated")
-        spelled: dict[str, int] = {}
-        exact = [spelled.setdefault(s or t, len(spelled)) for t, s in kept]
-        g = infer(exact, len(spelled))
-        names = list(spelled)
-        for r in range(len(g.rules)):
-            phrase = g.expand(g.first + r)
-            if len(phrase) >= LONG_RULE:
-                h = int.from_bytes(_digest("\x1f".join(names[x] for x in phrase)), "little", signed=True)
-                self.rules[h] = len(phrase) * g.uses[r]
-
-
-def _sign(terminal: str, spelling: str) -> str:
-    if terminal == "ID":
-        return re.sub(r"\d+", "#", spelling)
-    return terminal if terminal in _LITERAL else spelling or terminal
-
+        if len(kept) >= LONG_RULE:
+            hashes = pd.util.hash_array(np.asarray(names, object), categorize=False)[kept]
+            hashes[run_start] = 1
+            self.rules = phrases(hashes, LONG_RULE)
 
-def _digest(text: str) -> bytes:
-    import hashlib
 
-    return hashlib.blake2b(text.encode(), digest_size=8).digest()
-
-
-def _line_numbers(content: str, toks: list[tuple[str, str]]) -> Iterator[int]:
-    """The line of each token with a spelling, found in order."""
-    at, line, counted = 0, 0, 0
-    for _, s in toks:
-        if not s or s == "\n":
-            continue
-        p = content.find(s, at)
-        if p < 0:
-            continue
-        line += content.count("\n", counted, p)
-        counted = p
-        yield line
-        at = p + len(s)
+def _encoded(literals: list[str]) -> bool:
+    """Whether no grammar over the characters of long literals makes them much shorter."""
+    text = "".join(literals)
+    if not text:
+        return False
+    code, names = pd.factorize(np.array(list(text), object))
+    return infer_rounds(code, len(names)).size() >= INCOMPRESSIBLE * len(code)
 
 
 def features(blobs: DataFrame) -> DataFrame:
-    """(blob_oid, kinds, tokens, rules array<struct<h, n>>) of each distinct content; null contents are left out."""
+    """(blob_oid, kinds, tokens, claims, rules array<struct<h, at, n>>) of each distinct content; null contents are left out."""
 
-    @F.pandas_udf("kinds array<string>, tokens int, rules array<struct<h: long, n: int>>")
+    @F.pandas_udf("kinds array<string>, tokens int, claims array<array<string>>, rules array<struct<h: long, at: int, n: int>>")
     def judge(lang: pd.Series, content: pd.Series) -> pd.DataFrame:
         rows = [Features(l, c) for l, c in zip(lang, content)]
-        return pd.DataFrame({"kinds": [sorted(x.kinds) for x in rows], "tokens": pd.Series([x.tokens for x in rows], dtype="int32"), "rules": [[{"h": h, "n": n} for h, n in x.rules.items()] for x in rows]})
+        return pd.DataFrame(
+            {
+                "kinds": [sorted(x.kinds) for x in rows], "tokens": pd.Series([x.tokens for x in rows], dtype="int32"), "claims": [x.claims for x in rows],
+                "rules": [[{"h": h, "at": a, "n": n} for h, a, n in zip(*(y.tolist() for y in x.rules))] for x in rows],
+            }
+        )
 
     b = blobs.where(F.col("blob_oid").isNotNull() & F.col("content").isNotNull()).groupBy("blob_oid").agg(F.min(plain_language(F.col("lang"))).alias("lang"), F.min("content").alias("content"))
     return b.select("blob_oid", judge("lang", "content").alias("f")).select("blob_oid", "f.*")
 
 
-def _package_path(path) -> F.Column:
+def _package_path(path: Column) -> Column:
     folders = "|".join(re.escape(x) for x in PACKAGE_FOLDERS)
     return path.rlike(rf"(^|/)({folders})/(@[^/]+/)?[^/]+/.*[^/]$")
 
 
+def _named_by_path(repo: Column, path: Column, claims: Column) -> Column:
+    """Whether a line about a release or an owner names a project that the path names too, and not the repository itself. Of the path count the folders and
+    the first part of a file name of several."""
+    parts = F.transform(F.split(F.lower(path), "/"), lambda x: F.regexp_extract(x, r"^([a-z][\w-]*?)(?:_.*|-\d.*|\..*)?$", 1))
+    own = F.lower(repo)
+    file = F.element_at(F.split(F.lower(path), "/"), -1)
+    stem = F.regexp_extract(file, r"^([^.]*)", 1)
+    projects = F.array_except(parts, F.array(stem, F.lit("")))
+    return F.exists(claims, lambda line: ~F.array_contains(line, own) & (F.size(F.array_intersect(line, projects)) > 0))
+
+
 def files(graphs: DataFrame, manifest: DataFrame, blobs: DataFrame) -> DataFrame:
     """(repo, file, kinds): files that are not hand-written in some snapshot, and why.
 
@@ -174,13 +213,16 @@ def files(graphs: DataFrame, manifest: DataFrame, blobs: DataFrame) -> DataFrame
     feats = cut(features(blobs))
 
     owners = used.groupBy("blob_oid").agg(F.min("repo").alias("one"), F.max("repo").alias("other"))
-    long_rules = feats.where(F.size("rules") > 0).select("blob_oid", "tokens", F.explode("rules").alias("r")).select("blob_oid", "tokens", "r.h", "r.n")
-    owned = long_rules.join(owners, "blob_oid")
-    shared = owned.groupBy("h").agg(F.min("one").alias("one"), F.max("other").alias("other")).where(F.col("one") != F.col("other")).select("h")
-    covered = lookup_join(owned.select("blob_oid", "tokens", "h", "n"), shared, ["h"], "inner", hot_keys(long_rules, ["h"]))
-    copied = covered.groupBy("blob_oid").agg(F.max("n").alias("n"), F.max("tokens").alias("tokens")).where(F.col("n") >= SHARED * F.col("tokens")).select("blob_oid", F.lit("vendored").alias("kind"))
+    rules = feats.where(F.size("rules") > 0).select("blob_oid", F.explode("rules").alias("r")).select("blob_oid", "r.h", "r.at", "r.n")
+    shared = rules.select("blob_oid", "h").join(owners, "blob_oid").groupBy("h").agg(F.min("one").alias("one"), F.max("other").alias("other")).where(F.col("one") != F.col("other")).select("h")
+    covered = lookup_join(rules, shared, ["h"], "inner", hot_keys(rules, ["h"]))
+    # the union of the shared rules' places: a place counts from the furthest end before it on
+    places = covered.groupBy("blob_oid").agg(F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end")))).alias("x"))
+    union = F.aggregate("x", F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")), lambda s, p: F.struct(F.greatest(s["upto"], p["end"]).alias("upto"), (s["n"] + F.greatest(F.lit(0), p["end"] - F.greatest(s["upto"], p["at"]))).alias("n")))
+    copied = places.select("blob_oid", union["n"].alias("n")).join(feats.select("blob_oid", "tokens"), "blob_oid").where((F.col("n") >= SHARED * F.col("tokens")) & (F.col("n") >= LEAST_TOKENS)).select("blob_oid", F.lit("vendored").alias("kind"))
 
     told = feats.select("blob_oid", F.explode("kinds").alias("kind")).unionByName(copied)
     by_content = used.join(told, "blob_oid").select("repo", "path", "kind")
     by_path = used.where(_package_path(F.col("path"))).select("repo", "path", F.lit("vendored").alias("kind"))
-    return by_content.unionByName(by_path).groupBy("repo", F.col("path").alias("file")).agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    by_claim = used.join(feats.where(F.size("claims") > 0).select("blob_oid", "claims"), "blob_oid").where(_named_by_path(F.col("repo"), F.col("path"), F.col("claims"))).select("repo", "path", F.lit("vendored").alias("kind"))
+    return by_content.unionByName(by_path).unionByName(by_claim).groupBy("repo", F.col("path").alias("file")).agg(F.sort_array(F.collect_set("kind")).alias("kinds"))

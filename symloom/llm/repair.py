@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+
 
 class Grammar:
     """rules: (left, right) of each new symbol, numbered from `first`; final: what is left of the sequence; uses: occurrences of each rule
@@ -101,3 +103,87 @@ def infer(sequence: list[int], alphabet: int) -> Grammar:
         final.append(seq[i])
         i = nxt[i]
     return Grammar(alphabet, rules, final, uses)
+
+
+def infer_rounds(sequence: np.ndarray, alphabet: int) -> Grammar:
+    """A Re-Pair grammar made in rounds: each round replaces all pairs that are more frequent than every pair they overlap with.
+
+    The most frequent pair of all is among them, so a round makes at least one rule while some pair occurs twice without overlap. A sequence of n symbols takes
+    a number of rounds about logarithmic in n, each of a few array operations.
+    """
+    seq = np.asarray(sequence, np.int64)
+    rules: list[tuple[int, int]] = []
+    uses: list[int] = []
+    top = alphabet
+    while len(seq) > 1:
+        left, right = seq[:-1], seq[1:]
+        names, which = np.unique(left * (top + 1) + right, return_inverse=True)
+        # of a run of one symbol every second pair stands, as occurrences must not overlap
+        valid = np.ones(len(which), bool)
+        same = which[1:] == which[:-1]
+        if same.any():
+            at = np.arange(len(which))
+            start = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), at, 0))
+            valid = (at - start) % 2 == 0
+        count = np.bincount(which[valid], minlength=len(names))
+        if count.max() < 2:
+            break
+        score = np.where(valid & (count[which] > 1), count[which] * len(names) + (len(names) - which), 0)
+        take = score > 0
+        take[1:] &= score[1:] > score[:-1]
+        take[:-1] &= score[:-1] > score[1:]
+        taken = np.bincount(which[take], minlength=len(names))
+        chosen = taken > 1
+        take &= chosen[which]
+        number = np.cumsum(chosen) - 1 + top
+        for name in names[chosen].tolist():
+            rules.append((name // (top + 1), name % (top + 1)))
+        uses += taken[chosen].tolist()
+        at = np.flatnonzero(take)
+        seq = seq.copy()
+        seq[at] = number[which[at]]
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
+        seq = seq[keep]
+        top += int(chosen.sum())
+    return Grammar(alphabet, rules, seq.tolist(), uses)
+
+
+def phrases(tokens: np.ndarray, least: int, levels: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, length) of the rules of at least `least` tokens in a locally consistent grammar over 64-bit token hashes.
+
+    In each round a phrase ends before every symbol whose hash is a local minimum, and a phrase's symbol is a hash of its parts. Where a phrase ends depends
+    on its close neighbours alone, so the same passage has the same rules in every file it stands in, and a rule is known by its hash without a
+    common numbering.
+    """
+    sym = tokens.astype(np.uint64)
+    start = np.arange(len(sym))
+    n = len(sym)
+    out_h, out_s, out_n = [], [], []
+    with np.errstate(over="ignore"):
+        for level in range(levels):
+            if len(sym) < 2:
+                break
+            h = _mix(sym + np.uint64(0x9E3779B97F4A7C15) * np.uint64(level + 1))
+            cut = np.zeros(len(sym), bool)
+            cut[0] = True
+            cut[1:-1] = (h[1:-1] < h[:-2]) & (h[1:-1] <= h[2:])
+            first = np.flatnonzero(cut)
+            place = np.arange(len(sym)) - first[np.cumsum(cut) - 1]
+            sym = _mix(np.add.reduceat(_mix(h + np.uint64(0xD1B54A32D192ED03) * place.astype(np.uint64)), first))
+            start = start[first]
+            length = np.diff(np.append(start, n))
+            long = length >= least
+            out_h.append(sym[long])
+            out_s.append(start[long])
+            out_n.append(length[long])
+    if not out_h:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    return np.concatenate(out_h).view(np.int64), np.concatenate(out_s), np.concatenate(out_n)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -1,8 +1,10 @@
 """Template residue, filler, error pages and notices that scripts are required.
 
-One automaton (Aho-Corasick) holds all phrases; a document's paragraphs are run through it outside code. A paragraph whose
-letters are mostly covered by sentences full of such phrases is residue, and so is a placeholder that stands unfilled or was filled
-with a non-value. Mentions within other sentences cover too little of their paragraph to count.
+An automaton (Aho-Corasick) of short terms in several languages marks paragraphs that hold what such pages are told by (anchors: a status phrase, a
+word for scripts, a word of filler); in these a second automaton of the whole vocabulary of such pages measures how much of the
+paragraph's content words it covers. High coverage tells residue: a text that discusses an error has words of its own. Filler without
+telling terms is found by statistics: words that repeat, and words with Latin endings without any function word of a living
+language. A placeholder that stands unfilled or was filled with a non-value is residue wherever it stands.
 """
 
 from __future__ import annotations
@@ -16,68 +18,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of a sentence's letters that phrases must cover, and of a paragraph's letters that such sentences must make up.
-SENTENCE_SHARE, PARAGRAPH_SHARE = 0.5, 0.75
-
-# Phrases as such pages have them, in lower case; a run of digits is one 0. A phrase marked with a leading
-# `+` supports others and never decides alone.
-ERROR_PAGES = """
-not found|page not found|file not found|no such page|forbidden|bad gateway|gateway timed out|gateway timeout|service unavailable|server fault
-internal server error|too many requests|sign-in required|unauthorized|gone|access denied|permission denied|service temporarily down
-temporarily unavailable|request timeout|method not allowed|bad request|error 0|http 0|http error 0|error code 0|oops|status 0
-we could not find what you were looking for|the page you asked for has moved or never was here|the page you requested could not be found
-this page does not exist|this page cannot be displayed|the request could not be completed|something broke on our side|something went wrong
-an unexpected error occurred|you do not have the rights to view this page|you do not have permission to access|the gateway got no usable answer from the upstream host|upstream host|your session has ended|your session has expired|too many requests from your address|the named item is gone
-nosuchitem|we could not show this page|the document was withdrawn|this address is blocked|you may have mistyped the address
-your account lacks the right to see it|the host of|did not answer in time|service is being repaired
-fehler 0|die gewünschte seite gibt es nicht|seite nicht gefunden|zugriff verweigert|interner serverfehler
-erreur 0|vous n'avez pas le droit de voir cette page|page introuvable|page non trouvée|accès refusé|erreur interne du serveur
-el servidor no pudo atender la petición|página no encontrada|acceso denegado|error interno del servidor
-pagina non trovata|accesso negato|página não encontrada|acesso negado|pagina niet gevonden|strona nie została znaleziona|страница не найдена|页面不存在|ページが見つかりません
-+the link may be old|+try again later|+log in and try once more|+log in again to go on|+go to the start page|+go back to the start page
-+reload in 0 minutes|+reload in|+minutes|+wait 0 seconds and reload|+write to the site owner and quote 0-0|+write to the site owner|+if this goes on, write to the operator of this site
-+ray 0|+request id 0-0|+request id|+we have been told about it|+try the search box or the site map|+ask the owner of|+for access|+our|+sorry|service temporarily unavailable|our servers are busy right now|+please come back in 0 minutes|+please come back later
-+zurück zur startseite|+versuchen sie es später noch einmal|+inténtelo más tarde|+retour à la page d'accueil|+réessayez plus tard
+#: Share of a paragraph's content letters that the vocabulary must cover.
+COVERED = 0.7
+#: Words from which on statistics are asked, the share of distinct words up to which a paragraph only repeats itself, and for
+#: Latin the share of words with its endings and of function words of living languages.
+LEAST_WORDS, DISTINCT, LATIN, LIVING = 6, 0.34, 0.8, 0.05
+
+# What error pages, script notices and filler are told by, as web servers, frameworks, browsers and page builders put it.
+ERROR_ANCHORS = """
+not found|page not found|no such page|no such item|no such key|forbidden|bad gateway|gateway timed out|gateway timeout|service unavailable|temporarily unavailable|temporarily down|server fault|server error|internal server error
+too many requests|sign-in required|login required|unauthorized|gone|access denied|permission denied|request timeout|timed out|method not allowed|bad request|error 0|http 0|error code|status 0|oops|something went wrong|something broke
+session has ended|session has expired|session expired|we could not|could not be found|could not be completed|cannot be displayed|does not exist|upstream host|upstream server|unexpected error
+fehler 0|seite nicht gefunden|zugriff verweigert|serverfehler|erreur 0|page introuvable|page non trouvée|accès refusé|erreur interne|error interno|no pudo atender|página no encontrada|acceso denegado
+pagina non trovata|accesso negato|página não encontrada|acesso negado|pagina niet gevonden|nie została znaleziona|страница не найдена|页面不存在|ページが見つかりません
 """.strip().replace("\n", "|").split("|")
-SCRIPT_NOTICES = """
-enable javascript|please enable javascript|enable scripts|you must enable scripts|you need to enable javascript to run this app|javascript is switched off in your browser
-javascript is disabled|javascript is required|this page relies on javascript|this page requires javascript|this viewer needs javascript
-turn on scripts|turn on javascript|scripting has to be allowed|your browser blocks scripts|we noticed that javascript is not running
-scripts are blocked|allow scripts for this site and try again|your browser is too old or has scripting off|scripts and cookies have to be on
-checking that you are human|checking your browser before accessing|works only with scripts switched on|the documentation app does not run without them
-javascript must be enabled|without javascript
-bitte aktivieren sie javascript|aktivieren sie javascript, um diese seite zu sehen|javascript ist deaktiviert
-activez javascript pour afficher ce document|activez javascript|veuillez activer javascript|para ver este contenido, active javascript en su navegador
-active javascript|habilite javascript|attiva javascript|ative o javascript|schakel javascript in|włącz obsługę javascript|включите javascript|请启用javascript|javascriptを有効にしてください
-+cookies are needed as well|+supported browsers are listed below|+how to do this is explained in the help of your browser|+please turn it on in your browser and reload the page
-+this takes a few seconds|+without it nothing can be shown|+so this page stays blank|+so that the|+can be drawn|+to see the|+to continue to|+to load the docs|+and reload
+SCRIPT_ANCHORS = "javascript|scripts|scripting|checking that you are human|checking your browser|cookies".split("|")
+FILLER_ANCHORS = """
+lorem ipsum|goes here|go here|placeholder|dummy|sample|coming soon|under construction|not been written|to be written|will follow|only here to show|here to show the layout|your text|own text|own content|in the editor|insert
+blindtext|platzhaltertext|hier steht|aquí irá|próximamente|texto de ejemplo|à venir|texte de remplissage|testo segnaposto|in arrivo|texto de exemplo|em breve|asdf|qwer|blah|foo bar baz
 """.strip().replace("\n", "|").split("|")
-FILLER = """
-lorem ipsum|coming soon|this section has not been written yet|under construction|replace this sample text with your own text|this is sample text for the page body
-to be written|content will follow|aquí irá el contenido de la sección|aquí irá el contenido|próximamente|hier steht später der text zum modul
-hier steht später der text|blindtext|platzhaltertext|texte à venir|titre à venir|texte de remplissage|testo segnaposto|texto de exemplo
-asdf|qwer|qwerty|blah|test test|foo bar baz
-""".strip().replace("\n", "|").split("|")
-# Names of parts of a page, and the sentences in which filler names them.
-PARTS = (
-    "text", "title", "heading", "headline", "subtitle", "caption", "abstract", "intro", "introduction", "summary", "description", "paragraph", "list item",
-    "item", "link text", "link", "content", "section", "name", "body", "body text", "image", "picture", "table", "quote", "footer", "header", "label", "section text", "page text",
-)
-PART_SENTENCES = (
-    "{} goes here", "your {} goes here", "more {} goes here", "your {} here", "insert {}", "insert {} here", "insert your {} here", "add your {} in the editor", "add {} here", "placeholder {}, to be replaced",
-    "placeholder {}", "sample {}", "this {} is only here to show the layout", "dummy {} one", "dummy {} two", "dummy {} three", "dummy {} four", "dummy {} 0", "dummy {}",
-    "replace this {}", "this is a sample {}", "{} {} {}",
-)
-# Words of filler Latin, real and invented.
-FILLER_WORDS = frozenset(
-    """lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud
-    exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint
-    occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vestibulum pellentesque mauris maecenas praesent suspendisse vivamus
-    lumina torquem cassem fronda marevit ripetor pluvia pendulo orda senditum adisci misceret velimus nubora vela dulcat tacet solvem erimor laxum pontes vexil calvus noctum
-    querum tarditu ferram ravit umbrat ignoti moriet opacit quam nullae""".split()
+# The further words of such pages. A word's end may vary: `find` stands for finding, `server` for servers.
+ERROR_WORDS = """
+error http status code page address link url site website web server host gateway upstream proxy response answer request requests session login log sign sign-in service services item document file resource content name
+find found look message once more exist moved removed withdrawn deleted mistyped typed expired ended lost gone old here never denied forbidden blocked unauthorized allowed permission rights right access account view show display lack enough
+broke broken wrong unexpected internal fault failed complete completed unavailable temporarily temporary maintenance repair repaired down busy overload limit many much usable reply respond response timed timeout time out load loading again later soon
+try retry reload refresh return wait back start home homepage search box map menu contact write support administrator admin operator owner team quote id ray reference number told notified report sorry oops please minute minutes second seconds moment help
+asked ask wanted requested visit go come get got seen see side end continue
+fehler seite gewünschte nicht gefunden gibt zurück startseite zugriff verweigert versuchen später erneut serverfehler interner erreur droit voir page introuvable trouvée retour accueil réessayez plus tard accès refusé interne serveur
+error servidor pudo atender petición inténtelo tarde más página encontrada acceso denegado interno pagina trovata accesso negato não encontrada negado niet gevonden strona została znaleziona страница не найдена
+""".split()
+SCRIPT_WORDS = """
+javascript script scripts scripting enable enabled disable disabled active activate activated turn switch switched required require requires needs need must run running allow allowed block blocked off on works work without browser browsers viewer
+rely relies only app application page site content document documentation docs view see shown show drawn load graph continue please old too listed supported below help explained cookies cookie blank stays human checking check takes seconds noticed again try reload on your
+bitte aktivieren aktiviert seite sehen anzuzeigen deaktiviert activez activer afficher document veuillez navigateur para ver contenido active activar navegador habilite attiva visualizzare ative conteúdo schakel włącz obsługę включите
+""".split()
+FILLER_WORDS = """
+text title heading headline subtitle caption abstract intro introduction summary description paragraph list item link content section name body image picture table quote footer header label page module layout editor
+test goes go here placeholder dummy sample example replace replaced insert add added more own written write yet coming soon follow construction show only one two three four five first second third lorem ipsum
+blindtext platzhaltertext später steht hier modul aquí irá contenido sección próximamente texto ejemplo titre texte venir remplissage testo segnaposto exemplo asdf qwer qwerty blah foo bar baz
+""".split()
+# Function words of living languages, which texts in them can't do without.
+FUNCTION_WORDS = frozenset(
+    """the of and to a is that it for on with was at by be this from or are an which you not have has will can if all when but their they one there we our your its into so than then them these those no do does i he she as in been being
+    had may who what more about up out only also after before would could should must were
+    der die das und ist nicht mit auf für von den dem ein eine einer zu sich des im wird sind auch bei als er sie es wir ihr aus nach noch nur oder aber wenn dass
+    el la los las una por para que del se al lo como más pero sus su este esta son le les est pas dans qui avec au aux ce cette par plus il elle nous vous mais sur un et du une
+    gli di per non con della sono che questo alla nel dei uma não um os da em ao mais het een van zijn niet op te met voor dat w z na się nie jest i do""".split()
 )
-#: Words of these that other texts use too; they can't decide alone.
-_COMMON = frozenset("sed do ut et ad ex ea in eu non qui id est quam sit".split())
+#: Of these, words that are Latin too can't speak against it.
+_LATIN_TOO = frozenset("a e i o in et te me es as os non per ex at is se do una nos via lo la le si est sit ad ut".split())
+_LATIN_END = re.compile(r"(?:us|um|is|it|at|et|ut|am|em|im|es|os|as|or|ur|nt|ae|a|o|i|u)$")
 
 # Parts of a page around the text: neither residue nor content.
 _AROUND = re.compile(r"^\s*(?:back to top|menu\s+search\s+sign in|skip to (?:main )?content|share this page|home(?:\s*>\s*[\w -]+)+|(?:\(c\)|©)\s.{1,60}|all rights reserved)\s*\.?\s*$", re.I)
@@ -88,34 +78,29 @@ def _held(excluded: str) -> str:
     return rf"(?:[^{excluded}\n]|\n(?![^\S\n]*\n))"
 
 
-PLACEHOLDERS = re.compile(
-    "|".join(
-        (
-            r"\{\{\{?(?=[^{}]*[^{}\n])\s*+" + _held("{}") + r"*+\s*+\}?\}\}",  # {{ name }}
-            r"(?<![\w$#{%\\])\{(?:[A-Za-z_][\w.]*|\d{1,2})\}(?![\w}])",  # {name} {0}
-            rf"[$#]\{{\s*{_NAME}\s*\}}",  # ${NAME} #{name}
-            r"<%[=-]?" + _held("%<>") + "+%>",
-            r"\{%" + _held("%{}") + r"+%\}",
-            rf"\[\[\s*{_NAME}\s*\]\]",
-            rf"<<\s*{_NAME}\s*>>",
-            rf"\$\$\s*{_NAME}\s*\$\$",
-            rf"@@\s*{_NAME}\s*@@",
-            r"(?<![\w*])__[A-Z][A-Z0-9_.]*?__(?!\w)",
-            r"(?<![\w%])%[A-Z][A-Z0-9_.]*%(?![\w%])",
-            r"%\(\w[\w.]*\)[sdif]",
-            r"\[(?:INSERT|ENTER|ADD|YOUR|REPLACE|FILL IN)\b" + _held(r"\[\]") + r"*\]",
-            r"\[(?:insert|enter|your|replace|fill in|add your)\s" + _held(r"\[\]") + r"+\]",
-            r"<(?:your|insert|enter)[-_ ]" + _held("<>") + "+>",
-            r"<" + _held("<>/") + r"+\bgoes here>",
-            r"\bTODO_[A-Z][A-Z0-9_.]*\b",
-            r"(?<!\w)X{4,}(?!\w)",
-            r"\b(?:TKTK|TBD|TBA|T\.B\.D\.)(?!\w)",
-            r"\bX\.Y\.Z\b",
-            r"\[object Object\]",
-            r"\bInvalid Date\b",
-        )
-    )
-)
+# Forms of placeholders, each under the sign that begins it; what stands before the sign is looked at behind it.
+PLACEHOLDERS = {
+    "{": (
+        r"\{\{\{?(?=[^{}]*[^{}\n])\s*+" + _held("{}") + r"*+\s*+\}?\}\}",  # {{ name }}
+        r"\{(?<![\w$#{%\\]\{)(?:[A-Za-z_][\w.]*|\d{1,2})\}(?![\w}])",  # {name} {0}
+        r"\{%" + _held("%{}") + r"+%\}",
+        rf"\{{(?<=[$#]\{{)\s*{_NAME}\s*\}}",  # ${{NAME}} #{{name}}
+    ),
+    "<": (r"<%[=-]?" + _held("%<>") + "+%>", rf"<<\s*{_NAME}\s*>>", r"<(?:your|insert|enter)[-_ ]" + _held("<>") + "+>", r"<" + _held("<>/") + r"+\bgoes here>"),
+    "[": (rf"\[\[\s*{_NAME}\s*\]\]", r"\[(?:INSERT|ENTER|ADD|YOUR|REPLACE|FILL IN)\b" + _held(r"\[\]") + r"*\]", r"\[(?:insert|enter|your|replace|fill in|add your)\s" + _held(r"\[\]") + r"+\]", r"\[object Object\]"),
+    "$$": (rf"\$\$\s*{_NAME}\s*\$\$",),
+    "@@": (rf"@@\s*{_NAME}\s*@@",),
+    "__": (r"__(?<![\w*]__)[A-Z][A-Z0-9_.]*?__(?!\w)",),
+    "%": (r"%(?<![\w%]%)[A-Z][A-Z0-9_.]*%(?![\w%])", r"%\(\w[\w.]*\)[sdif]"),
+    "TODO_": (r"TODO_(?<!\wTODO_)[A-Z][A-Z0-9_.]*\b",),
+    "XXXX": (r"XXXX(?<!\wXXXX)X*(?!\w)",),
+    "TKTK": (r"TKTK(?<!\wTKTK)(?!\w)",),
+    "TB": (r"TB(?<!\wTB)[DA](?!\w)",),
+    "T.B.D.": (r"T\.B\.D\.(?<!\wT\.B\.D\.)(?!\w)",),
+    "X.Y.Z": (r"X\.Y\.Z(?<!\wX\.Y\.Z)\b",),
+    "Invalid Date": (r"Invalid Date(?<!\wInvalid Date)\b",),
+}
+PLACEHOLDERS = {sign: tuple(re.compile(f) for f in forms) for sign, forms in PLACEHOLDERS.items()}
 #: A bare non-value is residue unless the sentence talks about it: these words stand beside it then.
 _NON_VALUE = re.compile(r"(?<![\w.:/_-])(undefined|NaN|null|NULL)(?![\w(:/_-]|\.\w)")
 _ABOUT_BEFORE = frozenset("is are was were be been being or and not a an the no returns return returned as of type equals equal become becomes became isn't if than nor either both means gives when".split())
@@ -123,9 +108,8 @@ _ABOUT_AFTER = frozenset("or and value values check checks behaviour behavior po
 _FENCE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^[ ]{0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 _SPAN = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>")
-_SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n| \| ")
 _DIGITS = re.compile(r"\d+")
-_LETTERS = re.compile(r"[^\W_]")
+_WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
 def outside_code(text: str) -> str:
@@ -135,77 +119,95 @@ def outside_code(text: str) -> str:
     return "\n\n".join(_SPAN.sub("\x00", p) for p in re.split(r"\n[ \t]*\n", text))
 
 
-def _automaton() -> ahocorasick.Automaton:
+def _automaton(groups: dict[str, list[str]]) -> ahocorasick.Automaton:
+    """An automaton of the terms of each group; a term gives its length and its groups."""
+    of: dict[str, set[str]] = {}
+    for group, terms in groups.items():
+        for t in terms:
+            of.setdefault(t, set()).add(group)
     a = ahocorasick.Automaton()
-    for kind, phrases in (("error", ERROR_PAGES), ("script", SCRIPT_NOTICES), ("filler", [*FILLER, *(s.replace("{}", p) for s in PART_SENTENCES for p in PARTS)])):
-        for p in phrases:
-            weak = p.startswith("+")
-            p = p.lstrip("+")
-            a.add_word(p, (len(p), None if weak else kind))
+    for t, kinds in of.items():
+        a.add_word(t, (len(t), frozenset(kinds)))
     a.make_automaton()
     return a
 
 
-_machine: ahocorasick.Automaton | None = None
-
+_machines: tuple[ahocorasick.Automaton, ahocorasick.Automaton] | None = None
 
-def _plain(sentence: str) -> str:
-    s = html.unescape(sentence)
-    s = _TAG.sub(" ", s).replace("’", "'").replace(" ", " ").lower()
-    return " ".join(_DIGITS.sub("0", s).split())
 
+def _plain(paragraph: str) -> str:
+    s = _TAG.sub(" ", html.unescape(paragraph)) if "<" in paragraph or "&" in paragraph else paragraph
+    return " ".join(_DIGITS.sub("0", s.replace("’", "'").replace("\xa0", " ").lower()).split())
 
-def _length(s: str) -> int:
-    return len(_LETTERS.findall(s))
 
-
-def _sentence(s: str) -> tuple[int, int, str | None]:
-    """Letters of the sentence, letters covered by phrases, the kind of the first deciding phrase."""
-    covered, kind, upto = bytearray(len(s)), None, len(s)
-    for end, (n, k) in _machine.iter(s):
-        start = end - n + 1
-        if (start and s[start].isalnum() and s[start - 1].isalnum()) or (end + 1 < upto and s[end].isalnum() and s[end + 1].isalnum()):
+def _at_words(machine: ahocorasick.Automaton, s: str, whole: bool) -> Iterator[tuple[int, int, frozenset]]:
+    """(start, end, groups) of terms that begin at a word's start; with `whole` they end at a word's end, else endings of up to three letters may follow."""
+    n = len(s)
+    for last, (length, groups) in machine.iter(s):
+        a, b = last - length + 1, last + 1
+        if a and s[a].isalnum() and s[a - 1].isalnum():
             continue
-        covered[start : end + 1] = b"\1" * n
-        kind = kind or k
-    total = _length(s)
-    hit = sum(1 for c, m in zip(s, covered) if m and c.isalnum())
-    words = re.findall(r"[^\W\d_]+", s)
-    if len(words) >= 3:
-        latin = [w for w in words if w in FILLER_WORDS]
-        if len(latin) >= 0.6 * len(words) and len(set(latin) - _COMMON) >= 2:
-            return total, total, "filler"
-        if len(set(words)) == 1:
-            return total, total, "filler"
-    return total, hit, kind
+        if b < n and s[b].isalnum() and s[last].isalnum() and ord(s[last]) < 0x3000:
+            e = b
+            while e < n and s[e].isalnum():
+                e += 1
+            if whole or e - b > 3:
+                continue
+            b = e
+        yield a, b, groups
+
+
+def _statistics(s: str) -> bool:
+    """Whether a paragraph is filler by its words alone: it only repeats itself, or it is Latin in no one's language."""
+    words = _WORDS.findall(s)
+    n = len(words)
+    if n < LEAST_WORDS or "\x00" in s:
+        return False
+    if len(set(words)) <= DISTINCT * n and sum(map(len, set(words))) >= 4:
+        return len({x for x in words if x not in FUNCTION_WORDS}) <= max(3, DISTINCT * n / 2)
+    living = sum(w in FUNCTION_WORDS and w not in _LATIN_TOO for w in words)
+    return living <= LIVING * n and sum(_LATIN_END.search(w) is not None for w in words) >= LATIN * n
 
 
 def paragraph_kind(paragraph: str) -> str | None:
     """error, script or filler if the paragraph is nothing but that, else None."""
-    if _PAGE.match(paragraph):
+    global _machines
+    if _machines is None:
+        vocabulary = {"error": [*ERROR_ANCHORS, *ERROR_WORDS], "script": [*SCRIPT_ANCHORS, *SCRIPT_WORDS], "filler": [*FILLER_ANCHORS, *FILLER_WORDS]}
+        _machines = _automaton({"error": ERROR_ANCHORS, "script": SCRIPT_ANCHORS, "filler": FILLER_ANCHORS}), _automaton(vocabulary)
+    lines = [x for x in paragraph.split("\n") if x.strip() and not _AROUND.match(x)]
+    if not lines:
+        return None
+    told = any(_PAGE.match(x) for x in lines if "=" in x or "{" in x or "<" in x)
+    if told:
+        lines = [x for x in lines if not _PAGE.match(x)]
+        if not lines:
+            return "error"
+    elif _PAGE.match(paragraph):
         return "error"
-    whole, residue, kind = 0, 0, None
-    for raw in _SENTENCES.split(paragraph):
-        if not raw.strip() or _AROUND.match(raw):
-            continue
-        if _PAGE.match(raw):
-            whole += 20
-            residue += 20
-            kind = kind or "error"
-            continue
-        total, hit, k = _sentence(_plain(raw))
-        total += 3 * raw.count("\x00")
-        whole += total
-        if total and hit >= SENTENCE_SHARE * total:
-            residue += total
-            kind = kind or k
-    return kind if whole and residue >= PARAGRAPH_SHARE * whole else None
+    s = _plain("\n".join(lines))
+    anchors = {k for _, _, kinds in _at_words(_machines[0], s, True) for k in kinds}
+    if told:
+        anchors.add("error")
+    if not anchors:
+        return "filler" if _statistics(s) else None
+    covered = {k: bytearray(len(s)) for k in anchors}
+    for a, b, kinds in _at_words(_machines[1], s, False):
+        for k in kinds & anchors:
+            covered[k][a:b] = b"\1" * (b - a)
+    words = [(m.start(), m.end()) for m in _WORDS.finditer(s) if m[0] not in FUNCTION_WORDS]
+    total = sum(b - a for a, b in words) + 3 * s.count("\x00")
+    for k in ("error", "script", "filler"):
+        if k in anchors and total and sum(sum(covered[k][a:b]) for a, b in words) >= COVERED * total:
+            return k
+    return "filler" if _statistics(s) else None
 
 
 def placeholder(text: str) -> bool:
     """A placeholder stands in the text (without code), unfilled or filled with a non-value."""
-    if PLACEHOLDERS.search(text):
-        return True
+    for sign, forms in PLACEHOLDERS.items():
+        if sign in text and any(f.search(text) for f in forms):
+            return True
     for m in _NON_VALUE.finditer(text):
         before = re.findall(r"[\w'’]+", text[max(0, m.start() - 30) : m.start()].split("\n")[-1])
         after = re.findall(r"[\w'’]+", text[m.end() : m.end() + 30].split("\n")[0])
@@ -216,11 +218,8 @@ def placeholder(text: str) -> bool:
 
 def kinds(text: str | None) -> list[str]:
     """What residue a text holds: of placeholder, filler, error, script; empty for null and empty texts."""
-    global _machine
     if not text:
         return []
-    if _machine is None:
-        _machine = _automaton()
     text = outside_code(text)
     found = {"placeholder"} if placeholder(html.unescape(text)) else set()
     for p in text.split("\n\n"):

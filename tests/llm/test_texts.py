@@ -137,5 +137,30 @@ def test_residue_over_tables(spark):
 def test_placeholders_of_any_length():
     long = "customer.address.street_name | default('the street of the customer') | title"
     for text in (f"Dear {{{{ {long} }}}}, hello.", "{{ name\n | upper }}", f"<%= {long} or {long} %>", f"{{% if {long} and {long} %}}", f"[INSERT {long} {long}]", f"[insert the\n{long}]", f"<your {long}>", f"<{long} goes here>"):
-        assert residue.PLACEHOLDERS.search(text), text
-    assert not residue.PLACEHOLDERS.search("[INSERT a\n\nb]") and not residue.PLACEHOLDERS.search("{{}}")
+        assert residue.placeholder(text), text
+    assert not residue.placeholder("[INSERT a\n\nb]") and not residue.placeholder("{{}}")
+
+
+def test_residue_in_unseen_wording():
+    """Pages as servers and sites put them, none of which stands in the vocabulary as a sentence, and texts about such pages."""
+    error = (
+        "503 Service Temporarily Unavailable", "504 Gateway Time-out\nThe server didn't respond in time.", "Sorry, the page you requested could not be found. Please go back to the homepage.",
+        "Access Denied\nYou don't have permission to access this server. Reference #18.2c0", "403 Forbidden. Your account does not have access to this resource. Contact the site administrator.",
+        "Oops! Something went wrong. Please refresh the page or try again in a few minutes.", "Error 502: Bad Gateway. The upstream server returned an unexpected response.", "Your session expired. Please sign in again to continue.",
+        "404. Not found. The item you wanted was deleted or never existed.", "429 Too Many Requests: please wait 30 seconds and retry your request.",
+    )
+    script = (
+        "You need to enable JavaScript to run this app.", "This site requires JavaScript. Please enable it in your browser and reload the page.", "JavaScript is disabled. This page does not work without it.",
+        "Your browser does not run scripts, so the documentation can't be shown.", "Please allow scripts and cookies to continue.",
+    )
+    filler = ("Your headline goes here. Add your own text here.", "Sample text. Replace this text with your own content.", "Coming soon. Coming soon.", "Vestibus morantur elit, capitos ulla verum noctis. Prodest amicus labora tempestum.", "blah blah blah blah blah blah blah blah")
+    for kind, texts in (("error", error), ("script", script), ("filler", filler)):
+        found = sum(kind in residue.kinds("A real paragraph that tells how the walker reads its edges.\n\n" + t) for t in texts)
+        assert found >= 0.9 * len(texts), (kind, [t for t in texts if kind not in residue.kinds(t)])
+    about = (
+        "When the gateway times out, the walker retries the request with a longer lease and logs the segment it was in.", "A page that answers not found is kept in the index until the next crawl drops its edges.",
+        "Scripts in the tools folder build the browser bundle; the linter and the type checker run before it.", "We return forbidden for edges whose owner revoked the token, see the table of codes in the guide.",
+        "The placeholder node stands for symbols whose definition lies in another repository and is resolved at link time.", "Il nodo della rete che non ha archi viene tolto dalla lista prima della visita, come gli altri.",
+        "JavaScript modules are parsed by the brace frontend, which tells template literals from plain strings.", "walk, walk, load, bind, emit: these verbs begin most names of the sample and each was counted once per repository.",
+    )
+    assert [t for t in about if residue.kinds(t)] == []

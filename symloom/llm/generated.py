@@ -10,6 +10,7 @@ package folder, a banner with the package's version, or a version or copyright l
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import hot_keys, lookup_join
 from ..session import cut
-from .repair import infer_rounds, phrases
+from .repair import infer_rounds, phrases, sizes
 from .syntax import plain_language
 
 #: Grammar size over sequence length up to which a file counts as written by a tool, and the least number of tokens to judge.
@@ -34,6 +35,8 @@ LINE_TOKENS, LINE_SHARE = 100, 0.5
 LONG_RULE, SHARED = 12, 0.5
 #: Neighbouring literals that make a run.
 RUN = 6
+#: Characters of source judged at once: a bound of a task's memory.
+BATCH_CHARS = 2_000_000
 
 # Folders that package managers and builds keep third-party code in; the next folder is the package.
 PACKAGE_FOLDERS = ("vendor", "third_party", "thirdparty", "3rdparty", "external", "deps", "node_modules", "bower_components", "site-packages", "Godeps", "Pods", "Carthage")
@@ -75,11 +78,11 @@ def _leading_comment(content: str) -> str:
     return "\n".join(out)
 
 
-def _class(token: str, python: bool) -> int:
+def _class(token: str) -> int:
     c = token[0]
     if c == "\n":
         return _LINE
-    if (c == "#" and python) or token.startswith(("//", "/*")):
+    if token.startswith(("//", "/*")):
         return _COMMENTS
     if c.isdigit() or (c in "\"'`" and len(token) > 1) or (token[-1] in "\"'#" and len(token) > 2):
         return _LIT
@@ -94,69 +97,95 @@ class Features:
 
     def __init__(self, lang: str | None, content: str):
         self.kinds: set[str] = set()
-        z = np.zeros(0, np.int64)
-        self.rules, self.tokens = (z, z, z), 0
+        self.rules: list[tuple[int, int, int]] = []
+        self.tokens = 0
         head = _leading_comment(content).splitlines()
         if any(_BANNER.match(x) for x in head):
             self.kinds.add("vendored")
         self.claims = [sorted({w.lower() for w in _WORD.findall(x)}) for x in head if _RELEASE.search(x)]
-        if lang is None:
-            return
-        spelled = _TOKENS.get(lang, _OTHER).findall(content)
-        if not spelled:
-            return
-        code, names = pd.factorize(np.array(spelled, object))
-        python = lang == "python"
-        of = np.array([_class(x, python) for x in names], np.int8)
-        size = np.array([len(x) for x in names], np.int64)
-        kind = of[code]
-        line = np.cumsum(kind == _LINE)
-        real = (kind != _LINE) & (kind != _COMMENTS)
-        code, kind, line = code[real], kind[real], line[real]
-        if not len(code):
-            return
-        # runs of literals, with commas and signs between them
-        literal = kind == _LIT
-        between = np.isin(names, (",", "-", "+"))[code]
-        member = literal | between
-        begin = np.flatnonzero(member & ~np.concatenate(([False], member[:-1])))
-        end = np.flatnonzero(member & ~np.concatenate((member[1:], [False]))) + 1
-        many = np.concatenate(([0], np.cumsum(literal)))
-        long_one = np.concatenate(([0], np.cumsum(literal & (size[code] >= LONG_LITERAL))))
-        held = np.zeros(len(code), bool)
-        keep = np.ones(len(code), bool)
-        for a, b in zip(begin.tolist(), end.tolist()):
-            if many[b] - many[a] >= RUN or long_one[b] > long_one[a]:
-                while not literal[a]:
-                    a += 1
-                held[a:b] = literal[a:b]
-                keep[a + 1 : b] = False
-        lengths = size[code]
-        if lengths[held].sum() >= LITERALS * lengths.sum():
-            runs_hold = many[-1] >= RUN and lengths[held & (lengths < LONG_LITERAL)].sum() >= 0.5 * lengths[held].sum()
-            if runs_hold or _encoded([names[c] for c in code[held & (lengths >= LONG_LITERAL)]]):
-                self.kinds.add("data")
-        kept = code[keep]
-        self.tokens = len(kept)
-        if len(code) >= LEAST_TOKENS and "data" not in self.kinds and len(kept) > LEAST_TOKENS // 2:
-            per_line = np.bincount(line)[line] >= LINE_TOKENS
-            n_held = int(held.sum())
-            if per_line.sum() - 2 * n_held >= LINE_SHARE * max(1, len(code) - 2 * n_held):
-                self.kinds.add("minified")
-        inside = ~keep
-        run_start = np.concatenate((inside[1:], [False]))[keep]
-        if len(kept) >= LEAST_TOKENS:
-            signs: dict[str, int] = {"": 0}
-            sign = np.array([signs.setdefault(re.sub(r"\d+", "#", x) if k == _NAME else "\x00" if k == _LIT else x, len(signs)) for x, k in zip(names, of)], np.int64)[kept]
-            sign[run_start] = 0
-            used, sign = np.unique(sign, return_inverse=True)
-            # every symbol of the sequence stands in the grammar at least once
-            if len(used) <= REUSE * len(sign) and infer_rounds(sign, len(used)).size() <= REUSE * len(sign):
-                self.kinds.add("generated")
-        if len(kept) >= LONG_RULE:
-            hashes = pd.util.hash_array(np.asarray(names, object), categorize=False)[kept]
-            hashes[run_start] = 1
-            self.rules = phrases(hashes, LONG_RULE)
+
+
+def features_of(langs: list[str | None], contents: list[str]) -> list[Features]:
+    """Features of many files. Their tokens lie in one array, each told by its file, so that a batch costs few array operations, however short its files."""
+    out = [Features(l, c) for l, c in zip(langs, contents)]
+    spelled, count = [], np.zeros(len(out), np.int64)
+    for i, (l, c) in enumerate(zip(langs, contents)):
+        if l is not None:
+            tokens = _TOKENS.get(l, _OTHER).findall(c)
+            if l == "python":
+                tokens = [t for t in tokens if t[0] != "#"]
+            spelled += tokens
+            count[i] = len(tokens)
+    if not spelled:
+        return out
+    code, names = pd.factorize(np.array(spelled, object))
+    file = np.repeat(np.arange(len(out)), count)
+    of = np.array([_class(x) for x in names], np.int8)
+    size = np.array([len(x) for x in names], np.int64)
+    kind = of[code]
+    line = np.cumsum((kind == _LINE) | np.concatenate(([False], file[1:] != file[:-1])))  # lines of all files in one count
+    real = (kind != _LINE) & (kind != _COMMENTS)
+    code, kind, line, file = code[real], kind[real], line[real], file[real]
+    if not len(code):
+        return out
+    files = len(out)
+    total = lambda weights: np.bincount(file, weights, files).astype(np.int64)
+    per_file = np.bincount(file, minlength=files)
+
+    # runs of literals, with commas and signs between them; a run begins with a literal
+    literal = kind == _LIT
+    edge = np.concatenate(([True], file[1:] != file[:-1]))
+    member = literal | np.isin(names, (",", "-", "+"))[code]
+    begin = np.flatnonzero(member & (edge | ~np.concatenate(([False], member[:-1]))))
+    end = np.flatnonzero(member & np.concatenate((edge[1:] | ~member[1:], [True]))) + 1
+    upto, long_upto = np.concatenate(([0], np.cumsum(literal))), np.concatenate(([0], np.cumsum(literal & (size[code] >= LONG_LITERAL))))
+    run = (upto[end] - upto[begin] >= RUN) | (long_upto[end] > long_upto[begin])
+    begin, end = begin[run], end[run]
+    literals_at = np.flatnonzero(literal)
+    begin = literals_at[upto[begin]]  # the first literal of the run
+    depth = np.zeros(len(code) + 1, np.int64)
+    depth[begin] += 1
+    depth[end] -= 1
+    in_run = np.cumsum(depth[:-1]) > 0
+    starts = np.zeros(len(code), bool)
+    starts[begin] = True
+    held, keep = in_run & literal, ~in_run | starts
+
+    lengths = size[code]
+    held_chars, short_chars = total(lengths * held), total(lengths * (held & (lengths < LONG_LITERAL)))
+    full = (per_file > 0) & (held_chars >= LITERALS * total(lengths)) & (held_chars > 0)
+    table = full & (total(literal) >= RUN) & (short_chars >= 0.5 * held_chars)
+    for i in np.flatnonzero(full & ~table).tolist():
+        table[i] = _encoded([names[c] for c in code[(file == i) & held & (lengths >= LONG_LITERAL)]])
+    kept_n, held_n = total(keep), total(held)
+    dense = total(np.bincount(line)[line] >= LINE_TOKENS)
+    minified = (per_file >= LEAST_TOKENS) & ~table & (kept_n > LEAST_TOKENS // 2) & (dense - 2 * held_n >= LINE_SHARE * np.maximum(1, per_file - 2 * held_n))
+
+    kept, owner = code[keep], file[keep]
+    signs: dict[str, int] = {"": 0}
+    sign_of = np.array([signs.setdefault(re.sub(r"\d+", "#", x) if k == _NAME and not x.isalpha() else "\x00" if k == _LIT else x, len(signs)) for x, k in zip(names, of)], np.int64)
+    sign = np.where(starts[keep], 0, sign_of[kept])
+    # every symbol of a sequence stands in its grammar at least once, so a file of many different ones needs no grammar to be judged
+    distinct = np.bincount(np.unique(owner * len(signs) + sign) // len(signs), minlength=files)
+    asked = (kept_n >= LEAST_TOKENS) & (distinct <= REUSE * kept_n)
+    generated = np.zeros(files, bool)
+    if asked.any():
+        mine = asked[owner]
+        generated = asked & (sizes(sign[mine], owner[mine], files) <= REUSE * kept_n)
+
+    hashes = pd.util.hash_array(np.asarray(names, object), categorize=False)[kept]
+    hashes[starts[keep]] = 1
+    first = np.concatenate(([0], np.cumsum(kept_n)[:-1]))
+    h, at, n = phrases(hashes, owner, LONG_RULE)
+    by = owner[at] if len(at) else at
+    for x, flags in (("data", table), ("minified", minified), ("generated", generated)):
+        for i in np.flatnonzero(flags).tolist():
+            out[i].kinds.add(x)
+    for i, rule in zip(by.tolist(), zip(h.tolist(), (at - first[by]).tolist(), n.tolist())):
+        out[i].rules.append(rule)
+    for i, k in enumerate(kept_n.tolist()):
+        out[i].tokens = k
+    return out
 
 
 def _encoded(literals: list[str]) -> bool:
@@ -168,16 +197,28 @@ def _encoded(literals: list[str]) -> bool:
     return infer_rounds(code, len(names)).size() >= INCOMPRESSIBLE * len(code)
 
 
+def _judged(langs: list[str | None], contents: list[str]) -> Iterator[Features]:
+    """Features of many files, so many at a time that their contents stay within BATCH_CHARS, or one."""
+    a, held = 0, 0
+    for i, c in enumerate(contents):
+        if i > a and held + len(c) > BATCH_CHARS:
+            yield from features_of(langs[a:i], contents[a:i])
+            a, held = i, 0
+        held += len(c)
+    if a < len(contents):
+        yield from features_of(langs[a:], contents[a:])
+
+
 def features(blobs: DataFrame) -> DataFrame:
     """(blob_oid, kinds, tokens, claims, rules array<struct<h, at, n>>) of each distinct content; null contents are left out."""
 
     @F.pandas_udf("kinds array<string>, tokens int, claims array<array<string>>, rules array<struct<h: long, at: int, n: int>>")
     def judge(lang: pd.Series, content: pd.Series) -> pd.DataFrame:
-        rows = [Features(l, c) for l, c in zip(lang, content)]
+        rows = list(_judged(list(lang), list(content)))
         return pd.DataFrame(
             {
                 "kinds": [sorted(x.kinds) for x in rows], "tokens": pd.Series([x.tokens for x in rows], dtype="int32"), "claims": [x.claims for x in rows],
-                "rules": [[{"h": h, "at": a, "n": n} for h, a, n in zip(*(y.tolist() for y in x.rules))] for x in rows],
+                "rules": [[{"h": h, "at": a, "n": n} for h, a, n in x.rules] for x in rows],
             }
         )
 
@@ -213,13 +254,16 @@ def files(graphs: DataFrame, manifest: DataFrame, blobs: DataFrame) -> DataFrame
     feats = cut(features(blobs))
 
     owners = used.groupBy("blob_oid").agg(F.min("repo").alias("one"), F.max("repo").alias("other"))
-    rules = feats.where(F.size("rules") > 0).select("blob_oid", F.explode("rules").alias("r")).select("blob_oid", "r.h", "r.at", "r.n")
-    shared = rules.select("blob_oid", "h").join(owners, "blob_oid").groupBy("h").agg(F.min("one").alias("one"), F.max("other").alias("other")).where(F.col("one") != F.col("other")).select("h")
+    # rules travel with 64-bit hashes of the blob's id and the repository's name in their place
+    b = F.xxhash64("blob_oid").alias("b")
+    rules = feats.where(F.size("rules") > 0).select(b, F.explode("rules").alias("r")).select("b", "r.h", "r.at", "r.n")
+    owners = owners.select(b, F.xxhash64("one").alias("one"), F.xxhash64("other").alias("other"))
+    shared = cut(rules.select("b", "h").join(owners, "b").groupBy("h").agg(F.min(F.least("one", "other")).alias("one"), F.max(F.greatest("one", "other")).alias("other")).where(F.col("one") != F.col("other")).select("h"))
     covered = lookup_join(rules, shared, ["h"], "inner", hot_keys(rules, ["h"]))
     # the union of the shared rules' places: a place counts from the furthest end before it on
-    places = covered.groupBy("blob_oid").agg(F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end")))).alias("x"))
+    places = covered.groupBy("b").agg(F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end")))).alias("x"))
     union = F.aggregate("x", F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")), lambda s, p: F.struct(F.greatest(s["upto"], p["end"]).alias("upto"), (s["n"] + F.greatest(F.lit(0), p["end"] - F.greatest(s["upto"], p["at"]))).alias("n")))
-    copied = places.select("blob_oid", union["n"].alias("n")).join(feats.select("blob_oid", "tokens"), "blob_oid").where((F.col("n") >= SHARED * F.col("tokens")) & (F.col("n") >= LEAST_TOKENS)).select("blob_oid", F.lit("vendored").alias("kind"))
+    copied = places.select("b", union["n"].alias("n")).join(feats.select(b, "blob_oid", "tokens"), "b").where((F.col("n") >= SHARED * F.col("tokens")) & (F.col("n") >= LEAST_TOKENS)).select("blob_oid", F.lit("vendored").alias("kind"))
 
     told = feats.select("blob_oid", F.explode("kinds").alias("kind")).unionByName(copied)
     by_content = used.join(told, "blob_oid").select("repo", "path", "kind")

@@ -149,29 +149,50 @@ def infer_rounds(sequence: np.ndarray, alphabet: int) -> Grammar:
     return Grammar(alphabet, rules, seq.tolist(), uses)
 
 
-def phrases(tokens: np.ndarray, least: int, levels: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, length) of the rules of at least `least` tokens in a locally consistent grammar over 64-bit token hashes.
+def sizes(sequence: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """Sizes of the grammars of many sequences at once. Sequences stand one after another; owner tells the sequence of each place. As no two
+    sequences share a symbol, no pair of one occurs in another, and the joint grammar is that of each apart."""
+    order = np.lexsort((sequence, owner))
+    s, o = sequence[order], owner[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
+    symbol = np.empty(len(s), np.int64)
+    symbol[order] = np.cumsum(new) - 1
+    of = o[new]  # the sequence of each symbol
+    g = infer_rounds(symbol, len(of))
+    rules = np.array([left for left, _ in g.rules], np.int64)
+    # a rule's sequence is that of its left symbol, which was made before it
+    of = np.concatenate((of, np.zeros(len(rules), np.int64)))
+    for i, left in enumerate(rules.tolist()):
+        of[g.first + i] = of[left]
+    return np.bincount(of[np.asarray(g.final, np.int64)], minlength=owners) + 2 * np.bincount(of[g.first :], minlength=owners)
+
+
+def phrases(tokens: np.ndarray, owner: np.ndarray, least: int, levels: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, length) of the rules of at least `least` tokens in a locally consistent grammar over 64-bit token hashes; owner tells which of many
+    sequences, one after another, a token is of.
 
     In each round a phrase ends before every symbol whose hash is a local minimum, and a phrase's symbol is a hash of its parts. Where a phrase ends depends
     on its close neighbours alone, so the same passage has the same rules in every file it stands in, and a rule is known by its hash without a
     common numbering.
     """
     sym = tokens.astype(np.uint64)
-    start = np.arange(len(sym))
-    n = len(sym)
+    start, n = np.arange(len(sym)), len(sym)
     out_h, out_s, out_n = [], [], []
     with np.errstate(over="ignore"):
         for level in range(levels):
             if len(sym) < 2:
                 break
+            begins = np.ones(len(sym), bool)
+            begins[1:] = owner[1:] != owner[:-1]
             h = _mix(sym + np.uint64(0x9E3779B97F4A7C15) * np.uint64(level + 1))
-            cut = np.zeros(len(sym), bool)
-            cut[0] = True
-            cut[1:-1] = (h[1:-1] < h[:-2]) & (h[1:-1] <= h[2:])
+            cut = begins.copy()
+            inner = ~begins[1:-1] & ~begins[2:]
+            cut[1:-1] |= inner & (h[1:-1] < h[:-2]) & (h[1:-1] <= h[2:])
             first = np.flatnonzero(cut)
             place = np.arange(len(sym)) - first[np.cumsum(cut) - 1]
             sym = _mix(np.add.reduceat(_mix(h + np.uint64(0xD1B54A32D192ED03) * place.astype(np.uint64)), first))
-            start = start[first]
+            start, owner = start[first], owner[first]
             length = np.diff(np.append(start, n))
             long = length >= least
             out_h.append(sym[long])

@@ -33,7 +33,7 @@ def table(rng, n):
 
 
 def kinds(content, lang="python"):
-    return generated.Features(lang, content).kinds
+    return generated.features_of([lang], [content])[0].kinds
 
 
 def test_kinds_of_files():
@@ -120,12 +120,14 @@ def test_phrases_are_the_same_wherever_they_stand():
     passage = rng.integers(0, 2**62, 300)
     found = []
     for pad in (0, 7, 40):
-        h, at, n = repair.phrases(np.concatenate((rng.integers(0, 2**62, pad), passage, rng.integers(0, 2**62, 11))), 12)
+        tokens = np.concatenate((rng.integers(0, 2**62, pad), passage, rng.integers(0, 2**62, 11)))
+        h, at, n = repair.phrases(tokens, np.zeros(len(tokens), int), 12)
         found.append(set(h.tolist()))
         assert all(n >= 12) and all(at + n <= pad + 311)
     shared = found[0] & found[1] & found[2]
     assert len(shared) >= 0.7 * len(found[0])
-    assert not repair.phrases(np.zeros(0, np.int64), 12)[0].size
+    z = np.zeros(0, np.int64)
+    assert not repair.phrases(z, z, 12)[0].size
 
 
 def test_data_tables_of_any_content():
@@ -143,3 +145,15 @@ def test_notices_far_down_the_leading_comment():
     assert "vendored" in kinds(f'"""A module.\n\nPlain words.\n{notice}\n"""\n' + code(rng))
     assert "vendored" in kinds(f"/* A file\n   of words\n   {notice}\n*/\nint x;\n", "c")
     assert kinds(f'"""A module."""\nx = 1\n# {notice}\n' + code(rng)) == set()
+
+
+def test_batches_equal_single_files():
+    rng = random.Random(9)
+    accessors = "".join(f"def get_field_{i:04d}(msg):\n    return msg.field({rng.randrange(9999)}, {i})\n" for i in range(30))
+    files = [("python", code(rng)), (None, "x"), ("python", ""), ("python", table(rng, 60)), ("python", accessors), ("c", "int x = 1;"), ("python", table(rng, 9)), ("python", "# words alone"), ("go", code(rng, 9)), ("python", accessors)]
+    rng.shuffle(files)
+    langs, contents = zip(*files)
+    for x, l, c in zip(generated.features_of(list(langs), list(contents)), langs, contents):
+        one = generated.features_of([l], [c])[0]
+        assert (x.kinds, x.claims, sorted(x.rules), x.tokens) == (one.kinds, one.claims, sorted(one.rules), one.tokens)
+    assert generated.features_of([], []) == []

@@ -1,7 +1,7 @@
 """Source files that do not parse.
 
 Files are lexed into one row per terminal. Rows of a file stay in one partition, sorted, so windows need no further shuffle:
-- each terminal and its successor are anti-joined against the pairs of neighbours that the grammar permits;
+- each different pair of neighbours of a file is anti-joined against the pairs that the grammar permits;
 - running sums over opening and closing brackets give each terminal its depth and its enclosing bracket, which checks nesting;
 - per enclosing bracket, the terminals that stand directly in it are reduced to one production, which the grammar's automaton for
   that bracket accepts or not.
@@ -10,9 +10,6 @@ A file is at fault if any of the three fails.
 
 from __future__ import annotations
 
-import ast
-import warnings
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,21 +76,24 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(pairs, "lang int, tok short, nxt short"), spark.createDataFrame(brackets, "lang int, tok short, turn int, partner short")
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """(f1, f2, lang, pos, tok): a row of numbers per terminal, between a begin and an end mark; all rows of a file in one partition.
-
-    Files are lexed once, into a table with an array each; what travels to its partition is that array, before it becomes rows.
-    """
+def lexed(files: DataFrame) -> DataFrame:
+    """(f1, f2, lang, toks): the terminals of each file between a begin and an end mark, as numbers. Files are lexed once, into a table."""
     code = (F.array_position(F.array(*[F.lit(x) for x in _LANGS]), F.col("lang")) - 1).cast("int")
-    lexed = cut(files.select("f1", "f2", code.alias("lang"), _lexed("lang", "content").alias("toks")))
-    total = lexed.agg(F.sum(F.size("toks"))).first()[0] or 0
-    return lexed.repartition(max(1, -(-total // TASK_TOKENS)), "f1", "f2").select("f1", "f2", "lang", F.posexplode("toks").alias("pos", "tok"))
+    return cut(files.select("f1", "f2", code.alias("lang"), _lexed("lang", "content").alias("toks")))
+
+
+def tokens(arrays: DataFrame) -> DataFrame:
+    """(f1, f2, lang, pos, tok): a row per terminal; all rows of a file in one partition. What travels there is the array, before it becomes rows."""
+    total = arrays.agg(F.sum(F.size("toks"))).first()[0] or 0
+    return arrays.repartition(max(1, -(-total // TASK_TOKENS)), "f1", "f2").select("f1", "f2", "lang", F.posexplode("toks").alias("pos", "tok"))
 
 
-def wrong_neighbours(toks: DataFrame) -> DataFrame:
-    """(f1, f2) of files with a terminal whose successor the grammar doesn't permit."""
-    pairs, _ = _tables(toks.sparkSession)
-    next_ = toks.withColumn("nxt", F.lead("tok").over(W.partitionBy("f1", "f2").orderBy("pos"))).where(F.col("nxt").isNotNull())
+def wrong_neighbours(arrays: DataFrame) -> DataFrame:
+    """(f1, f2) of files with a terminal whose successor the grammar doesn't permit. Each pair of a file is a row once, where the file lies."""
+    pairs, _ = _tables(arrays.sparkSession)
+    shifted = F.slice("toks", F.lit(2), F.size("toks") - 1)
+    each = F.array_distinct(F.zip_with(F.slice("toks", F.lit(1), F.size("toks") - 1), shifted, lambda a, b: F.struct(a.alias("tok"), b.alias("nxt"))))
+    next_ = arrays.select("f1", "f2", "lang", F.explode(each).alias("x")).select("f1", "f2", "lang", "x.*")
     return next_.join(F.broadcast(pairs), ["lang", "tok", "nxt"], "left_anti").select("f1", "f2").distinct()  # the grammars fix the size of pairs
 
 
@@ -126,35 +126,16 @@ def wrong_structure(toks: DataFrame) -> DataFrame:
     return groups.where(~ok).select("f1", "f2").distinct()
 
 
-@F.pandas_udf(BooleanType())
-def _parses(lang: pd.Series, content: pd.Series) -> pd.Series:
-    out = []
-    for l, c in zip(lang, content):
-        ok = False
-        if l == "python":
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    ast.parse(c.removeprefix("﻿"))
-                ok = True
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                pass
-        out.append(ok)
-    return pd.Series(out)
-
-
 def invalid(blobs: DataFrame) -> DataFrame:
     """(blob_oid, lang) of the contents that are not valid syntax for their language (in its plain spelling).
 
     Rows with a null blob_oid or content and languages without a grammar are left out; repeated rows count once; an empty content is valid
-    where the language allows an empty file. Of several contents under one id and language the smallest counts. Python files that
-    the tests find at fault are confirmed by Python's own parser, as it is at hand; it only takes findings back.
+    where the language allows an empty file. Of several contents under one id and language the smallest counts.
     """
     files = distinct_files(blobs)
-    toks = tokens(files)
-    at_fault = cut(wrong_neighbours(toks).unionByName(wrong_structure(toks)).distinct())
-    named = files.join(at_fault, ["f1", "f2"], "left_semi")
-    return named.where((F.col("lang") != "python") | ~_parses("lang", "content")).select("blob_oid", "lang")
+    arrays = lexed(files)
+    at_fault = cut(wrong_neighbours(arrays).unionByName(wrong_structure(tokens(arrays))).distinct(), drop=arrays)
+    return files.select("f1", "f2", "blob_oid", "lang").join(at_fault, ["f1", "f2"], "left_semi").select("blob_oid", "lang")
 
 
 def rates(blobs: DataFrame, manifest: DataFrame, graphs: DataFrame) -> DataFrame:

@@ -295,8 +295,8 @@ class Compiler:
             self.bind(alias, "node" if col == out else "str")
         if self.df is None:
             self.df = rows.drop("__arg")
-        elif c.arg[0] == "literal":
-            raise CqlError("plan", "a procedure with a fixed argument has to come first", c.span)
+        elif c.arg[0] == "literal":  # the same answer for each row: a join on the argument itself
+            self.df = self.df.withColumn("__arg", F.lit(c.arg[1])).join(rows, "__arg").drop("__arg")
         else:
             self.df = self.df.withColumn("__arg", self.value(c.arg, {})[0]).join(rows, "__arg").drop("__arg")
         if c.where is not None:

@@ -177,18 +177,21 @@ def _receiver_types(rule: str, facts: Facts, todo: DataFrame, nodes: DataFrame)
 
 
 def _member_of(types: DataFrame, facts: Facts, nodes: DataFrame) -> DataFrame:
-    """(ref, dst): the method of that name in the type, or in the nearest type it inherits from (by last segment, up to eight steps)."""
+    """(ref, dst): the method of that name in the type, or in the nearest type it inherits from (by last segment), however far up."""
     has = nodes.where(F.col("kind") == "method").select(_parent(F.col("fqn")).alias("type"), _short(F.col("fqn")).alias("last"), F.col("node_id").alias("dst"))
     up = facts.relations.where(F.col("relation").isin("Inherits", "Implements")).select(F.array_join("subject", "::").alias("type"), F.element_at("object", -1).alias("name")).distinct()
     every = nodes.where(F.col("kind") == "type").select(F.col("fqn").alias("next"), _short(F.col("fqn")).alias("name"))
     step = cut(up.join(every, "name").select("type", "next").distinct())
     at, found = cut(types), []
-    for _ in range(8):
+    seen = at.select("ref", "type")
+    while True:
         hit = cut(at.join(has, ["type", "last"]).select("ref", "dst"))
         found.append(hit)
-        at = cut(at.join(hit.select("ref").distinct(), "ref", "left_anti").join(step, "type").select("ref", F.col("next").alias("type"), "last").distinct())
+        # types that were asked before are not asked again, so that circles of bases end
+        at = cut(at.join(hit.select("ref").distinct(), "ref", "left_anti").join(step, "type").select("ref", F.col("next").alias("type"), "last").distinct().join(seen, ["ref", "type"], "left_anti"))
         if at.isEmpty():
             break
+        seen = cut(seen.unionByName(at.select("ref", "type")))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

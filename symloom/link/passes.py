@@ -175,12 +175,13 @@ def summaries(flows: DataFrame, formals: DataFrame, returns: DataFrame, most: in
     while most is None or rounds < most:
         rounds += 1
         through = step if known is None else step.unionByName(calls.join(known.select(F.col("fn").alias("callee"), F.col("formal").alias("idx")), ["callee", "idx"]).select("fn", "a", "b")).distinct()
-        reach = cut(back)
-        while True:
-            more = cut(reach.unionByName(reach.join(through.withColumnRenamed("a", "at"), ["fn", "at"]).select("fn", F.col("b").alias("at"))).distinct())
-            if more.count() == reach.count():
+        through = cut(through)
+        reach = front = cut(back)
+        while True:  # only what is new is followed
+            front = cut(front.join(through.withColumnRenamed("a", "at"), ["fn", "at"]).select("fn", F.col("b").alias("at")).distinct().join(reach, ["fn", "at"], "left_anti"))
+            if front.isEmpty():
                 break
-            reach = more
+            reach = cut(reach.unionByName(front))
         known = cut(reach.join(formals.select("fn", F.col("idx").alias("formal"), F.col("local").alias("at")), ["fn", "at"]).select("fn", "formal").distinct())
         if known.count() == n:
             return known
@@ -193,9 +194,9 @@ def dirty_functions(changed: DataFrame, deps: DataFrame) -> DataFrame:
     if changed.isEmpty():
         return changed.select("fn")
     wild = deps.where(F.col("callee") == "*").select("fn")
-    reach = cut(changed.select("fn").unionByName(wild).distinct())
+    reach = front = cut(changed.select("fn").unionByName(wild).distinct())
     while True:
-        more = cut(reach.unionByName(deps.join(reach.withColumnRenamed("fn", "callee"), "callee").select("fn")).distinct())
-        if more.count() == reach.count():
-            return more
-        reach = more
+        front = cut(deps.join(front.withColumnRenamed("fn", "callee"), "callee").select("fn").distinct().join(reach, "fn", "left_anti"))
+        if front.isEmpty():
+            return reach
+        reach = cut(reach.unionByName(front))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import matches
+from ..functions.patterns import kind_of, matches
 from ..functions.selector import cross_language, select
 from ..graph import CodeGraph, token
 from ..model import CALL_FAMILY, CONFIDENCES, CUT_MARKERS
@@ -30,6 +30,26 @@ def resolve_one(g: CodeGraph, pattern: str) -> DataFrame:
     return g.raw_nodes.where(matches(pattern, F.col("fqn"))).groupBy("graph_id").agg(F.min("nid").alias("root")).select("root", F.col("root").alias("node"))
 
 
+class NotFound(ValueError):
+    """No node has the name asked for."""
+
+
+class Ambiguous(ValueError):
+    """A full name that several nodes of one graph have."""
+
+
+def anchor(g: CodeGraph, pattern: str) -> DataFrame:
+    """resolve_one where a unique subject is required: NotFound if nothing matches, Ambiguous if a full name has several nodes in a graph; of a pattern's or
+    a short name's matches the first by id is taken."""
+    hits = g.raw_nodes.where(matches(pattern, F.col("fqn"))).groupBy("graph_id").agg(F.min("nid").alias("root"), F.max("nid").alias("last"))
+    told = hits.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("root") < F.col("last")).alias("several")).first()
+    if not told["n"]:
+        raise NotFound(f"nothing is named {pattern}")
+    if told["several"] and kind_of(pattern) == "fqn":
+        raise Ambiguous(f"{pattern} names several nodes in {told['several']} graphs")
+    return hits.select("root", F.col("root").alias("node"))
+
+
 def _described(g: CodeGraph, found: DataFrame, *keys: str) -> DataFrame:
     """found with what is asked of its nodes. Duplicates of nodes go after the join, when few are left; keys name a row of found."""
     x = found.join(g.raw_nodes.select(*NODE).withColumnRenamed("nid", "node"), "node")
@@ -276,3 +296,21 @@ def page(rows: DataFrame, order: list[str], offset: int = 0, size: int = 20) ->
     if not 1 <= size <= 200:
         raise ValueError("a page has 1 to 200 rows")
     return rows.orderBy(*order).offset(offset).limit(size)
+
+
+# The cards of a pack, in order, and which of them can be asked for.
+CARDS = (
+    ("repo-atlas", "Repo Atlas & Hotspot Map", False), ("symbol-card", "Symbol Card", False), ("blast-radius", "Blast-Radius Card", False), ("dependency-footprint", "Dependency Footprint", True),
+    ("reachability", "Reachability & Paths", False), ("dead-code", "Dead-Code Inventory", False), ("entrypoints", "Entrypoint & Attack-Surface Catalog", False), ("interface-map", "Interface / Implementer Map", True),
+    ("data-flow", "Data-Flow Provenance", False), ("graph-diff", "PR Call-Graph Diff", False),
+)
+
+
+def pack(g: CodeGraph, symbol: str | None = None) -> dict:
+    """The manifest of a pack with its cards: the state of each graph, the list of cards, and the rows of those that can be asked for. A card about a
+    symbol says whether the name was found, as no rows for a name that is not there prove nothing."""
+    cards: dict = {"interface-map": {"rows": [r.asDict() for r in interface_map(g).collect()]}}
+    if symbol is not None:
+        found = not g.find(symbol).isEmpty()
+        cards["dependency-footprint"] = {"symbol": symbol, "resolved": found, "rows": [r.asDict() for r in dependency_footprint(g, symbol).collect()] if found else []}
+    return {"graphs": [r.asDict() for r in doctor(g).orderBy("graph_id").collect()], "card_registry": [{"token": t, "name": n, "implemented": i} for t, n, i in CARDS], "cards": cards}

@@ -88,7 +88,7 @@ def circles(rest: DataFrame) -> DataFrame:
     cur = cut(rest.select("g", "node", F.element_at("up", -1).alias("to"), F.array_min("up").alias("low")))
     before = None
     while True:
-        by = cur.groupBy("g", "to").agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("low"))
+        by = cur.groupBy("g", "to").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("low").cast("decimal(38,0)")).alias("low"))
         at = by.agg(F.count(F.lit(1)).alias("targets"), F.sum("low").cast("string").alias("lows"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
         if before == (at["targets"], at["lows"]) or not at["targets"]:
             break

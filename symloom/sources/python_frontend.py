@@ -17,7 +17,7 @@ from ..model import CONDITIONS, EFFECTS
 
 TABLES = {"defs": DEFS, "refs": REFS, "scopes": SCOPES, "imports": IMPORTS, "relations": RELATIONS, "flows": FLOWS}
 #: Raised when what is read from a file changes.
-VERSION = 1
+VERSION = 2
 
 # Callees and the effect they have, cut hints, and ways to start something.
 EFFECT_OF = {
@@ -28,6 +28,11 @@ EFFECT_OF = {
     "dynamic-code": "eval exec compile __import__ importlib.import_module".split(),
     "nondeterministic": "random.random random.randint random.choice time.time uuid.uuid4 os.urandom".split(),
 }
+# Methods that have an effect whatever object they are called on.
+EFFECT_OF_METHOD = {
+    "io-file": "read_text write_text read_bytes write_bytes mkdir rmdir unlink touch iterdir rglob readlines writelines".split(), "io-net": "connect sendall recv urlopen send_request getresponse".split(),
+    "blocking": "acquire sendall recv getresponse".split(), "io-proc": "check_output Popen".split(),
+}
 SPAWNS = frozenset("threading.Thread multiprocessing.Process asyncio.create_task asyncio.ensure_future loop.create_task executor.submit Thread Process create_task ensure_future".split())
 CUTS = {"eval": "dynamic", "exec": "dynamic", "__import__": "dynamic", "import_module": "dynamic", "getattr": "reflective", "setattr": "reflective", "delattr": "reflective", "hasattr": "reflective", "CDLL": "via-ffi", "WinDLL": "via-ffi"}
 
@@ -303,6 +308,9 @@ class Extractor(ast.NodeVisitor):
             for e, names in EFFECT_OF.items():
                 if text in names:
                     self.effect(e)
+            for e, names in EFFECT_OF_METHOD.items():
+                if len(chain) > 1 and chain[-1] in names:
+                    self.effect(e)
             spawn = text in SPAWNS
             if spawn:
                 self.effect("spawns")

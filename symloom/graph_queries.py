@@ -250,6 +250,38 @@ SELECT DISTINCT graph_id, method, dst FROM b WHERE dst IS NOT NULL""",
 QUERIES["link_cha"] = lambda spark, d: passes.cha(CodeGraph.load(spark, d)).edges.where(F.col("kind") == "calls-virtual").select("graph_id", "src", "dst", "rule", "confidence", "site_id")
 QUERIES["link_rta"] = lambda spark, d: passes.rta(passes.cha(CodeGraph.load(spark, d))).edges.where(F.col("kind") == "calls-virtual").select("graph_id", "src", "dst", "rule", "confidence", "site_id")
 
+# the same in SQL, from the facts of sites and types
+_CHA = f"""{_UP}, ty AS (SELECT graph_id, fqn AS type, min(nid) AS t FROM n WHERE kind = 'type' GROUP BY ALL),
+has AS (SELECT m.graph_id, ty.t, string_split(m.fqn, '::')[-1] AS method, m.nid AS body, m.is_abstract FROM n m JOIN ty ON ty.graph_id = m.graph_id AND ty.type = regexp_extract(m.fqn, '^(.*)::[^:]*$', 1) WHERE m.kind IN ('method', 'function')),
+can AS (SELECT DISTINCT graph_id, method, dst FROM (SELECT d.graph_id, d.method, CASE WHEN h.body IS NOT NULL AND NOT h.is_abstract THEN h.body WHEN h.body IS NULL AND NOT d.is_abstract THEN d.body END AS dst
+ FROM has d JOIN u ON u.super = d.t LEFT JOIN has h ON h.t = u.sub AND h.method = d.method) WHERE dst IS NOT NULL),
+site AS (SELECT graph_id, src, site_id, min(eid) AS eid FROM e WHERE kind = 'calls-virtual' AND rule = 'name-method' AND site_id IS NOT NULL GROUP BY ALL),
+hit AS (SELECT site.*, can.dst AS target FROM site JOIN e USING (eid) JOIN n ON n.nid = e.dst JOIN can ON can.graph_id = site.graph_id AND can.method = string_split(n.fqn, '::')[-1]),
+sized AS (SELECT *, count(*) OVER (PARTITION BY graph_id, src, site_id) AS size FROM hit),
+ce AS (SELECT e.graph_id, e.src, e.dst, e.kind, e.rule, e.confidence, e.site_id, len(e.cut_markers) AS cuts FROM e WHERE NOT (e.rule = 'name-method' AND e.site_id IS NOT NULL AND (e.graph_id, e.src, e.site_id) IN (SELECT (graph_id, src, site_id) FROM hit))
+ UNION ALL SELECT s.graph_id, s.src, s.target, e.kind, 'cha-trait-set', CASE WHEN s.size = 1 THEN 'probable' ELSE 'possible' END, s.site_id, len(e.cut_markers) + CASE WHEN s.size > 64 AND NOT list_contains(e.cut_markers, 'unresolved') THEN 1 ELSE 0 END FROM sized s JOIN e USING (eid))"""
+SQL["link_cha"] = f"WITH RECURSIVE {_BASE}, {_CHA} SELECT graph_id, src, dst, rule, confidence, site_id FROM ce WHERE kind = 'calls-virtual'"
+SQL["link_rta"] = f"""WITH RECURSIVE {_BASE}, {_CHA},
+live AS (SELECT nid FROM n WHERE entrypoint_kind IS NOT NULL OR kind IN ('function', 'method', 'lambda') AND graph_id NOT IN (SELECT graph_id FROM n WHERE entrypoint_kind IS NOT NULL) UNION SELECT ce.dst FROM live JOIN ce ON ce.src = live.nid AND ce.kind IN {_CALLS}),
+made AS (SELECT ce.*, n.fqn AS type FROM ce JOIN n ON n.nid = ce.dst WHERE ce.kind = 'instantiates' AND ce.src IN (SELECT nid FROM live)),
+judged AS (SELECT ce.*, regexp_extract(n.fqn, '^(.*)::[^:]*$', 1) AS type FROM ce JOIN n ON n.nid = ce.dst WHERE ce.rule = 'cha-trait-set' AND ce.site_id IS NOT NULL),
+kept AS (SELECT *, type = '' OR (graph_id, type) IN (SELECT (graph_id, type) FROM made) AS keep FROM judged),
+bysite AS (SELECT *, count(*) FILTER (keep) OVER w AS n_keep, count(*) OVER w AS n_all, max(cuts) OVER w AS site_cuts FROM kept WINDOW w AS (PARTITION BY graph_id, src, site_id)),
+cutting AS (SELECT *, site_cuts = 0 AND n_keep BETWEEN 1 AND n_all - 1 AND graph_id NOT IN (SELECT graph_id FROM made WHERE cuts > 0) AS pruned FROM bysite)
+SELECT graph_id, src, dst, rule, confidence, site_id FROM ce WHERE kind = 'calls-virtual' AND (rule <> 'cha-trait-set' OR site_id IS NULL)
+UNION ALL SELECT graph_id, src, dst, CASE WHEN pruned THEN 'rta-pruned' ELSE rule END, CASE WHEN pruned THEN 'probable' ELSE confidence END, site_id FROM cutting WHERE kind = 'calls-virtual' AND (keep OR NOT pruned)"""
+
+# circles of containment and of inheritance as components
+from .operators import components  # noqa: E402
+
+query(
+    "components_structure",
+    """--cte s AS (SELECT DISTINCT src, dst FROM e WHERE kind IN ('contains', 'inherits', 'implements') AND src <> dst), far AS (SELECT src AS a, dst AS b FROM s UNION SELECT far.a, s.dst FROM far JOIN s ON s.src = far.b),
+ends AS (SELECT src AS node FROM s UNION SELECT dst FROM s), part AS (SELECT ends.node, least(ends.node, min(x.b)) AS component FROM ends LEFT JOIN (SELECT f.a, f.b FROM far f JOIN far r ON r.a = f.b AND r.b = f.a) x ON x.a = ends.node GROUP BY 1)
+SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM part""",
+    True,
+)(lambda g: components.components(g.raw_edges.where(F.col("kind").isin("contains", "inherits", "implements"))))
+
 
 # what an answer may lack
 from .operators import contract  # noqa: E402

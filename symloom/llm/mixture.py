@@ -184,9 +184,10 @@ def mixture(documents: DataFrame, weights: DataFrame, total: int | None = None,
     start = sizes.select("pattern", "block", (F.sum("size").over(W.partitionBy("pattern").orderBy("block")) - F.col("size")).alias("start"))
     inside = F.sum("n_tokens").over(W.partitionBy("pattern", "block").orderBy("h", "text_id")) - F.col("n_tokens")
     placed = placed.withColumn("inside", inside).join(start, ["pattern", "block"]).withColumn("at", F.col("start") + F.col("inside"))
-    # the plan has a row per pattern, a set of listed sources; its size was seen above
-    placed = placed.join(F.broadcast(plan) if len(pieces) < 100_000 else plan, "pattern")
-    used = placed.select("members", "n_tokens", "at", F.explode("pieces").alias("p")).where((F.col("at") >= F.col("p.low")) & (F.col("at") < F.col("p.high")))
+    placed = placed.join(plan, "pattern")
+    # a text belongs to the piece that its middle lies in, so a quota is met to half a text at either border
+    middle = 2 * F.col("at") + F.col("n_tokens")
+    used = placed.select("members", "n_tokens", middle.alias("middle"), F.explode("pieces").alias("p")).where((F.col("middle") >= 2 * F.col("p.low")) & (F.col("middle") < 2 * F.col("p.high")))
     used = used.groupBy("members", "n_tokens", "p.source").agg(F.count(F.lit(1)).alias("uses"))
     doc = F.element_at(F.filter("members", lambda m: m["source"] == F.col("source")), 1)["doc_id"]
     return used.select(doc.alias("doc_id"), "source", "n_tokens", F.col("uses").cast("int").alias("uses"))

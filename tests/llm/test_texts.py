@@ -164,3 +164,32 @@ def test_residue_in_unseen_wording():
         "JavaScript modules are parsed by the brace frontend, which tells template literals from plain strings.", "walk, walk, load, bind, emit: these verbs begin most names of the sample and each was counted once per repository.",
     )
     assert [t for t in about if residue.kinds(t)] == []
+
+
+def test_mixture_keeps_caps_and_meets_shares_within_a_text(spark):
+    """Shares are met to a text, no text is used more often than its sources allow, and no larger total would be possible."""
+    rng = random.Random(8)
+    share, cap = {"guide": 0.5, "issue": 0.3, "note": 0.2}, {"guide": 2, "issue": 1, "note": 3}
+    rows = [(i, " ".join(rng.choices(["walk", "edge", "node", "leaf"], k=rng.randrange(1, 60))) + f" {i}", rng.choice(list(share))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1], rng.choice(list(share))) for i in range(40)]  # texts of two sources
+    w = spark.createDataFrame([(s, share[s], cap[s]) for s in share], "source string, target_share double, max_repeats int")
+    got = mixture.mixture(docs(spark, rows), w).collect()
+    text = {i: t for i, t, _ in rows}
+    of = {}
+    for i, t, s in rows:
+        of.setdefault(t, set()).add(s)
+    uses = {}
+    for r in got:
+        uses[text[r["doc_id"]]] = uses.get(text[r["doc_id"]], 0) + r["uses"]
+        assert r["source"] in of[text[r["doc_id"]]]
+    assert all(n <= min(cap[s] for s in of[t]) for t, n in uses.items())
+    size = {s: sum(r["n_tokens"] * r["uses"] for r in got if r["source"] == s) for s in share}
+    total, longest = sum(size.values()), max(r["n_tokens"] for r in got)
+    assert all(abs(size[s] - share[s] * total) <= 2 * longest for s in share)
+    tokens = {text[r["doc_id"]]: r["n_tokens"] for r in got}
+    for s in share:  # the source that binds is used up to its texts' caps
+        whole = sum(n * min(cap[x] for x in of[t]) for t, n in tokens.items() if s in of[t])
+        if size[s] >= whole - 2 * longest:
+            break
+    else:
+        raise AssertionError("no source is used up")

@@ -91,9 +91,10 @@ def tokens(arrays: DataFrame) -> DataFrame:
 def wrong_neighbours(arrays: DataFrame) -> DataFrame:
     """(f1, f2) of files with a terminal whose successor the grammar doesn't permit. Each pair of a file is a row once, where the file lies."""
     pairs, _ = _tables(arrays.sparkSession)
-    shifted = F.slice("toks", F.lit(2), F.size("toks") - 1)
-    each = F.array_distinct(F.zip_with(F.slice("toks", F.lit(1), F.size("toks") - 1), shifted, lambda a, b: F.struct(a.alias("tok"), b.alias("nxt"))))
-    next_ = arrays.select("f1", "f2", "lang", F.explode(each).alias("x")).select("f1", "f2", "lang", "x.*")
+    # a pair as one number, as sets of numbers are hashed and sets of structs are not; terminals are small numbers from 0 on
+    pair = F.expr("array_distinct(zip_with(slice(toks, 1, size(toks) - 1), slice(toks, 2, size(toks) - 1), (a, b) -> shiftleft(int(a), 16) | (int(b) & 65535)))")
+    each = arrays.select("f1", "f2", "lang", F.explode(pair).alias("x"))
+    next_ = each.select("f1", "f2", "lang", F.shiftright("x", 16).cast("short").alias("tok"), F.expr("cast(x & 65535 as smallint)").alias("nxt"))
     return next_.join(F.broadcast(pairs), ["lang", "tok", "nxt"], "left_anti").select("f1", "f2").distinct()  # the grammars fix the size of pairs
 
 
